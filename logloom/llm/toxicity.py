@@ -53,8 +53,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["label", "ids"])
 
 
-def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.6, l2: float = 1.0, epochs: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coordinates, weights and intercept. The intercept starts at the prior's log odds and learns along."""
+def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float = 0.3, beta: float = 1.0, share: float = 0.0115, l2: float = 0.1, epochs: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coordinates, weights and intercept. The intercept starts at the prior's log odds and learns along.
+
+    L1 is ``share`` of the positive examples (0.5 to 20): a coordinate needs about so many to count.
+    """
+    l1 = min(20.0, max(0.5, share * sum(y for y, _ in examples)))
     z, n = np.zeros(DIMS), np.zeros(DIMS)
     bias, bias_n = float(np.log(prior / (1 - prior))), 1.0
     rng = np.random.default_rng(seed)
@@ -71,7 +75,23 @@ def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float
             bias -= 0.02 * g / np.sqrt(bias_n)
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
     kept = np.flatnonzero(w)
-    return kept, w[kept].astype(np.float32), bias
+    slope, shift = calibrate(np.array([bias + w[ids].sum() for _, ids in examples]), np.array([y for y, _ in examples]), prior)
+    return kept, (slope * w[kept]).astype(np.float32), slope * bias + shift
+
+
+def calibrate(margins: np.ndarray, labels: np.ndarray, prior: float, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression on the margins, classes weighted to the prior; a slight ridge keeps it finite."""
+    weight = np.where(labels == 1, prior / max(labels.mean(), 1e-9), (1 - prior) / max(1 - labels.mean(), 1e-9))
+    x, theta = np.stack([margins, np.ones(len(margins))], 1), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -35, 35)))
+        grad = x.T @ (weight * (p - labels)) + 1.0 * (theta - [1.0, 0.0])
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        theta = theta - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(theta[0]), float(theta[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
