@@ -53,7 +53,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["label", "ids"])
 
 
-def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float = 0.3, beta: float = 1.0, share: float = 0.0115, l2: float = 0.1, epochs: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float = 0.5, beta: float = 1.0, share: float = 0.0115, l2: float = 0.1, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and intercept. The intercept starts at the prior's log odds and learns along.
 
     L1 is ``share`` of the positive examples (0.5 to 20): a coordinate needs about so many to count.
