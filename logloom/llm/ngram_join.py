@@ -98,23 +98,23 @@ def class_counts(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def keys_of(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Single tokens of rare classes and neighbouring pairs of frequent ones, for a similarity of 0.8."""
+def keys_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Single tokens of rare classes, in order, then neighbouring pairs of frequent ones, for a similarity of 0.8; and how many are single."""
     n = len(tokens)
     if n == 0:
-        return tokens
+        return tokens, 0
     base = n - (4 * n + 4) // 5 + 1
     f = counts[(tokens >> _SHIFT).astype(np.int64)]
     rare = tokens[f == 0]
     single = mix(rare[:base])
     if len(rare) >= base:
-        return single
+        return single, len(single)
     frequent = np.flatnonzero(f > 0)
     frequent = tokens[frequent[np.argsort(f[frequent], kind="stable")]]
     most = (4 * n) // 10 + 2 - 2 * len(rare)
     first = frequent[: max(0, most)]
     pairs = mix(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(first[1:]))
-    return np.concatenate([single, pairs])
+    return np.concatenate([single, pairs]), len(single)
 
 
 def components(edges: DataFrame, stage: Staging) -> DataFrame:
@@ -144,6 +144,33 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.withColumn("o", shared).filter(100 * F.col("o") >= 80 * (F.size("ta") + F.size("tb") - F.col("o"))).select("a", "b")
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (``a`` < ``b``) of rows ``x`` and ``y`` of a key that sizes and places allow to link.
+
+    The least key that linked sets share leaves both enough tokens from there on; a
+    pair passes if one of its keys does. Keys of pairs of tokens are placed at 0.
+    """
+    n, m = F.col("x.n"), F.col("y.n")
+    enough = F.ceil(4 * (n + m) / F.lit(9))
+    ok = (F.col("x.rid") != F.col("y.rid")) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (n - F.col("x.at") >= enough) & (m - F.col("y.at") >= enough)
+    return rows.filter(ok).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(1))
+        for i, j in row_chunks(offsets):
+            own = [signed(x) for x in sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.list_(pa.int64()))], ["rid", "tokens"])
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, stage: Staging, name: str) -> DataFrame:
+    """The token sets of documents that a pair asks for."""
+    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    texts = docs.select("_rid", "_text").join(wanted, F.col("_rid") == F.col("rid"), "left_semi")
+    return stage.write(texts.mapInArrow(_tokens, "rid bigint, tokens array<bigint>"), name)
+
+
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (least key reachable by links), ``_rid`` and ``_comp`` of every document.
 
@@ -161,7 +188,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(offsets):
-                n, a, b, keys = [], [], [], []
+                n, a, b, keys, singles = [], [], [], [], []
                 for tokens in sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     name = name_of(tokens)
                     n.append(len(tokens))
@@ -169,52 +196,38 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
                     b.append(name[1])
                     again = name in seen
                     seen.add(name)
-                    keys.append(None if again else signed(keys_of(tokens, counts)))
+                    own, single = keys_of(tokens, counts)
+                    keys.append(None if again else signed(own))
+                    singles.append(single)
                 size += int(offsets[j] - offsets[i])
                 if size >= _LOCAL_BYTES:
                     seen, size = set(), 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64()))], ["rid", "n", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(singles, pa.int32())], ["rid", "n", "s1", "s2", "keys", "singles"])
 
-    described = stage.write(docs.select("_rid", "_text").mapInArrow(describe, "rid bigint, n int, s1 bigint, s2 bigint, keys array<bigint>"), "described")
+    described = stage.write(docs.select("_rid", "_text").mapInArrow(describe, "rid bigint, n int, s1 bigint, s2 bigint, keys array<bigint>, singles int"), "described")
 
     # equal sets link
     low = described.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     equal = stage.write(described.select("rid", "s1", "s2", "n").join(low, ["s1", "s2", "n"]).select(F.col("rid").alias("a"), "b"), "equal")
 
-    # keys that documents share
-    rows = described.filter("keys is not null").select("rid", "n", F.explode("keys").alias("key"))
+    # keys that documents share; a key's first document stands against the others
+    rows = described.filter("keys is not null").select("rid", "n", F.posexplode("keys").alias("at", "key"), "singles").withColumn("at", F.when(F.col("at") < F.col("singles"), F.col("at")).otherwise(0))
     by = Window.partitionBy("key")
-    rows = rows.withColumn("k", F.count(F.lit(1)).over(by)).filter("k > 1").select("key", "rid", "n", F.first(F.struct("rid", "n")).over(by.orderBy("n", "rid")).alias("hub"))
+    own = F.struct("rid", "n", "at")
+    rows = rows.withColumn("k", F.count(F.lit(1)).over(by)).filter("k > 1").select("key", own.alias("x"), F.first(own).over(by.orderBy("n", "rid")).alias("hub"))
     groups = stage.write(rows, "groups")
-    wanted = groups.select("rid").distinct()
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, j in row_chunks(offsets):
-                own = [signed(x) for x in sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.list_(pa.int64()))], ["rid", "tokens"])
-
-    texts = docs.select("_rid", "_text").join(wanted, F.col("_rid") == F.col("rid"), "left_semi")
-    sets = stage.write(texts.mapInArrow(tokens, "rid bigint, tokens array<bigint>"), "sets")
-
-    near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
-    pairs = groups.select(F.col("hub.rid").alias("a"), F.col("hub.n").alias("na"), F.col("rid").alias("b"), F.col("n").alias("nb")).filter(near & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    tried = stage.write(pairs, "pairs")
-    links = stage.write(linked(tried, sets), "links")
+    tried = stage.write(_pairs(groups.select(F.col("hub").alias("x"), F.col("x").alias("y"))), "pairs")
+    links = stage.write(linked(tried, _sets(docs, tried, stage, "sets")), "links")
     edges = equal.unionByName(links)
     labels = components(edges, stage)
 
     # documents of one key in different components: verify what hasn't been yet
-    placed = groups.select("key", "rid", "n").join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    placed = groups.select("key", "x").withColumn("rid", F.col("x.rid")).join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("key", "x", F.coalesce("comp", "rid").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     rest = stage.write(placed.join(several, "key", "left_semi"), "rest")
-    x = rest.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rest.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    more = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stage.write(more.join(known, ["a", "b"], "left_anti"), "more")
-    found = stage.write(linked(more, sets), "found")
+    more = _pairs(rest.join(rest.select("key", F.col("x").alias("y"), F.col("c").alias("d")), "key").filter("c < d").select("x", "y"))
+    more = stage.write(more.join(tried, ["a", "b"], "left_anti"), "more")
+    found = stage.write(linked(more, _sets(docs, more, stage, "more_sets")), "found")
     if not found.isEmpty():
         labels = components(edges.unionByName(found), stage)
 
