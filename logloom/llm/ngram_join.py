@@ -14,7 +14,9 @@ order are the combinations that are indexed: their number is linear in the set.
 Documents of one key aren't expanded to all pairs at once. Each is verified against the
 key's first one; links are joined to components; and only documents of one key that lie
 in different components remain, which shrinks large groups of copies to nothing. What
-remains is verified in full.
+remains is verified in full. Before sets are fetched, pairs whose sizes, whose least
+key's place or whose bitmaps of parities rule the similarity out are dropped; none of
+these can drop a pair that links.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, Staging, hash_spans, keys_unique, mix, row_chunks, shingles, signed, text_buffers, whole_row, with_row_key, word_spans
 
 WORDS = 5
-#: Cells of the table of class counts, and documents of one task that make a token count.
-CELLS, OFTEN = 1 << 18, 4
-_SHIFT = np.uint64(64 - 18)
+#: Cells of the table of class counts (a byte each), and documents of one stretch of a task's text that make a token count.
+CELLS, OFTEN = 1 << 22, 2
+_SHIFT = np.uint64(64 - 22)
 _LOCAL_BYTES = 32 << 20
-_COUNT_ROWS = 4096  # cells in a row of partial counts
+_COUNT_ROWS = 1 << 16  # cells in a row of partial counts
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -60,7 +62,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if held:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= OFTEN
-            np.add.at(cells, (tokens[often] >> _SHIFT).astype(np.int64), counts[often])
+            cells[:] += np.bincount((tokens[often] >> _SHIFT).astype(np.int64), counts[often], CELLS).astype(np.int64)
 
     for batch in batches:
         data, offsets = text_buffers(batch.column(0))
@@ -78,26 +80,53 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for k in range(0, CELLS, _COUNT_ROWS):
         part = cells[k : k + _COUNT_ROWS]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["k", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], ["k", "x"])
 
 
 def _sum_counts(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_COUNT_ROWS, np.int64)
     for batch in tables:
         for x in batch.column(1):
-            total += np.frombuffer(x.as_py(), "<i8")
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["k", "x"])
+            total += np.frombuffer(x.as_py(), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["k", "x"])
 
 
 def class_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """For each class of tokens, how often tasks met its tokens in OFTEN documents or more; covers all documents."""
+    """For each class of tokens, how often stretches met its tokens in OFTEN documents or more, up to 255; covers all documents."""
     parts = docs.select(text).mapInArrow(_class_counts, "k int, x binary").groupBy("k").applyInArrow(_sum_counts, "k int, x binary")
-    out = np.zeros(CELLS, np.int64)
-    for r in parts.collect():  # CELLS numbers
-        out[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), "<i8")
+    out = np.zeros(CELLS, np.uint8)
+    for r in parts.collect():  # CELLS bytes
+        out[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), np.uint8)
     return out
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' counts in about as many cells as there are tokens.
+
+    Each token that two sets don't share changes one cell at most, so the cells in which
+    their bitmaps differ are no more than those tokens.
+    """
+    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps don't rule the similarity out; the longer one is folded to the shorter's cells."""
+    for batch in batches:
+        a, b, na, nb, ba, bb = (batch.column(i) for i in range(6))
+        keep = np.zeros(batch.num_rows, bool)
+        sizes = na.to_numpy().astype(np.int64) + nb.to_numpy()
+        for i, (x, y) in enumerate(zip(ba.to_pylist(), bb.to_pylist(), strict=True)):
+            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            while len(u) > len(v):
+                u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+            while len(v) > len(u):
+                v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+            keep[i] = 9 * int(np.bitwise_count(u ^ v).sum()) <= sizes[i]
+        yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+
+
 def keys_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """Single tokens of rare classes, in order, then neighbouring pairs of frequent ones, for a similarity of 0.8; and how many are single."""
     n = len(tokens)
@@ -156,6 +185,12 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter(ok).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
 
 
+def _plausible_pairs(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    one = pairs.join(bits.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    two = one.join(bits.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    return two.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_plausible, "a bigint, b bigint")
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
@@ -188,7 +223,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(offsets):
-                n, a, b, keys, singles = [], [], [], [], []
+                n, a, b, keys, singles, bits = [], [], [], [], [], []
                 for tokens in sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     name = name_of(tokens)
                     n.append(len(tokens))
@@ -199,12 +234,13 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
                     own, single = keys_of(tokens, counts)
                     keys.append(None if again else signed(own))
                     singles.append(single)
+                    bits.append(None if again else bitmap(tokens))
                 size += int(offsets[j] - offsets[i])
                 if size >= _LOCAL_BYTES:
                     seen, size = set(), 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(singles, pa.int32())], ["rid", "n", "s1", "s2", "keys", "singles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(bits, pa.binary())], ["rid", "n", "s1", "s2", "keys", "singles", "bits"])
 
-    described = stage.write(docs.select("_rid", "_text").mapInArrow(describe, "rid bigint, n int, s1 bigint, s2 bigint, keys array<bigint>, singles int"), "described")
+    described = stage.write(docs.select("_rid", "_text").mapInArrow(describe, "rid bigint, n int, s1 bigint, s2 bigint, keys array<bigint>, singles int, bits binary"), "described")
 
     # equal sets link
     low = described.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -216,7 +252,8 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     own = F.struct("rid", "n", "at")
     rows = rows.withColumn("k", F.count(F.lit(1)).over(by)).filter("k > 1").select("key", own.alias("x"), F.first(own).over(by.orderBy("n", "rid")).alias("hub"))
     groups = stage.write(rows, "groups")
-    tried = stage.write(_pairs(groups.select(F.col("hub").alias("x"), F.col("x").alias("y"))), "pairs")
+    bits = stage.write(described.filter("keys is not null").select("rid", "n", "bits"), "bits")
+    tried = stage.write(_plausible_pairs(_pairs(groups.select(F.col("hub").alias("x"), F.col("x").alias("y"))), bits), "pairs")
     links = stage.write(linked(tried, _sets(docs, tried, stage, "sets")), "links")
     edges = equal.unionByName(links)
     labels = components(edges, stage)
@@ -226,7 +263,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     rest = stage.write(placed.join(several, "key", "left_semi"), "rest")
     more = _pairs(rest.join(rest.select("key", F.col("x").alias("y"), F.col("c").alias("d")), "key").filter("c < d").select("x", "y"))
-    more = stage.write(more.join(tried, ["a", "b"], "left_anti"), "more")
+    more = stage.write(_plausible_pairs(more, bits).join(tried, ["a", "b"], "left_anti"), "more")
     found = stage.write(linked(more, _sets(docs, more, stage, "more_sets")), "found")
     if not found.isEmpty():
         labels = components(edges.unionByName(found), stage)
