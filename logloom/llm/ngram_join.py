@@ -11,8 +11,8 @@ two shared neighbours apart, so among the first 0.4 n + 2 frequent tokens (less
 each rare one) some pair of neighbours is the same in both sets. So neighbours in the
 order are the combinations that are indexed: their number is linear in the set.
 
-Documents of one key aren't expanded to all pairs at once. Each is verified against the
-key's first one; links are joined to components; and only documents of one key that lie
+Documents of one key aren't expanded to all pairs at once. Each is verified against one
+of them, which a hash picks for every key; links are joined to components; and only documents of one key that lie
 in different components remain, which shrinks large groups of copies to nothing. What
 remains is verified in full. Before sets are fetched, pairs whose sizes, whose least
 key's place or whose bitmaps of parities rule the similarity out are dropped; none of
@@ -167,8 +167,8 @@ def components(edges: DataFrame, stage: Staging) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (``a``, ``b``) of rows of ``sets`` (``rid``, ``tokens``) whose Jaccard similarity is 0.8 or more."""
-    one = pairs.join(sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb")), "b")
-    two = one.join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), "a")
+    one = pairs.hint("merge").join(sets.hint("merge").select(F.col("rid").alias("b"), F.col("tokens").alias("tb")), "b")
+    two = one.hint("merge").join(sets.hint("merge").select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
     return two.withColumn("o", shared).filter(100 * F.col("o") >= 80 * (F.size("ta") + F.size("tb") - F.col("o"))).select("a", "b")
 
@@ -186,8 +186,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _plausible_pairs(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    one = pairs.join(bits.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-    two = one.join(bits.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    one = pairs.hint("merge").join(bits.hint("merge").select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    two = one.hint("merge").join(bits.hint("merge").select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
     return two.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_plausible, "a bigint, b bigint")
 
 
@@ -202,7 +202,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(docs: DataFrame, pairs: DataFrame, stage: Staging, name: str) -> DataFrame:
     """The token sets of documents that a pair asks for."""
     wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    texts = docs.select("_rid", "_text").join(wanted, F.col("_rid") == F.col("rid"), "left_semi")
+    # wanted grows with the corpus: the same join at any size
+    texts = docs.select("_rid", "_text").hint("merge").join(wanted.hint("merge"), F.col("_rid") == F.col("rid"), "left_semi")
     return stage.write(texts.mapInArrow(_tokens, "rid bigint, tokens array<bigint>"), name)
 
 
@@ -246,11 +247,11 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     low = described.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     equal = stage.write(described.select("rid", "s1", "s2", "n").join(low, ["s1", "s2", "n"]).select(F.col("rid").alias("a"), "b"), "equal")
 
-    # keys that documents share; a key's first document stands against the others
+    # keys that documents share; one document of each, by a hash, stands against the others: so a group of copies gets many such
     rows = described.filter("keys is not null").select("rid", "n", F.posexplode("keys").alias("at", "key"), "singles").withColumn("at", F.when(F.col("at") < F.col("singles"), F.col("at")).otherwise(0))
     by = Window.partitionBy("key")
     own = F.struct("rid", "n", "at")
-    rows = rows.withColumn("k", F.count(F.lit(1)).over(by)).filter("k > 1").select("key", own.alias("x"), F.first(own).over(by.orderBy("n", "rid")).alias("hub"))
+    rows = rows.withColumn("k", F.count(F.lit(1)).over(by)).filter("k > 1").select("key", own.alias("x"), F.first(own).over(by.orderBy(F.xxhash64("key", "rid"), "rid")).alias("hub"))
     groups = stage.write(rows, "groups")
     bits = stage.write(described.filter("keys is not null").select("rid", "n", "bits"), "bits")
     tried = stage.write(_plausible_pairs(_pairs(groups.select(F.col("hub").alias("x"), F.col("x").alias("y"))), bits), "pairs")

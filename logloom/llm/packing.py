@@ -175,7 +175,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     tokens = stage.write(tokenize(docs, key, text, tokenizer, end), "tokens", codec="zstd")
     pieces = pack(tokens.select("row", "n"), window, stage=stage)
     cuts = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("cuts"))
-    joined = tokens.join(cuts, "row").select("key", "n", "ids", F.explode("cuts").alias("c"))
+    joined = tokens.hint("merge").join(cuts.hint("merge"), "row").select("key", "n", "ids", F.explode("cuts").alias("c"))
     part = F.expr("substring(ids, cast(2 * c.start + 1 as int), cast(2 * c.length as int))")
     return joined.select(F.col("key").alias(key), "c.*", F.col("n").alias("doc_tokens"), part.alias("ids"))
 

@@ -342,7 +342,8 @@ def repeated_runs(docs: DataFrame, stage: Staging) -> DataFrame:
     settled = settled.unionByName(judged.filter("again").select("rid", "first", "n"))
 
     asked = judged.filter("not again").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "n", "g", "big"))).alias("wanted"))
-    cut = docs.select("_rid", "_text").join(asked, F.col("_rid") == F.col("rid")).select("_rid", "_text", "wanted")
+    # what is asked for grows with the corpus: the same join at any size
+    cut = docs.select("_rid", "_text").hint("merge").join(asked.hint("merge"), F.col("_rid") == F.col("rid")).select("_rid", "_text", "wanted")
     cut = stage.write(cut.mapInArrow(_cut_contexts, "g bigint, rid bigint, first bigint, n int, context binary, big boolean"), "contexts", codec="zstd")
     columns = ["g", "rid", "first", "n", "context"]
     sorted_ = cut.filter("not big").select(columns).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks, "rid bigint, first bigint, n int")
@@ -393,7 +394,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", a
     keyed = with_row_key(rows, "_key", "_text")
     runs = stage.write(repeated_runs(keyed, stage), "runs")
     by_doc = runs.groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    joined = keyed.join(by_doc, F.col("_rid") == F.col("rid"), "left").select("row", "_text", "runs")
+    joined = keyed.hint("merge").join(by_doc.hint("merge"), F.col("_rid") == F.col("rid"), "left").select("row", "_text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
