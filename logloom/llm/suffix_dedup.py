@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Staging, _powers, _prefix, hash_windows, keyed_schema, mix, row_chunks, signed, text_buffers, whole_row, with_row_key
 
 WIDTH, ANCHOR = 100, 24
-#: Different stretches of one anchor up to which the bucket is sorted whole.
-BUCKET_STRETCHES = 2048
+#: Different stretches of one anchor up to which the bucket is sorted whole: about 4 MB of text, a quarter GB in the sort.
+BUCKET_STRETCHES = 1 << 15
 #: Bytes of text that one block of buckets holds, about; bounds a task's memory.
 BLOCK_BYTES = 2 << 20
 #: Text bytes whose equal stretches a task settles by itself before anything is shuffled.
