@@ -11,12 +11,15 @@ two shared neighbours apart, so among the first 0.4 n + 2 frequent tokens (less
 each rare one) some pair of neighbours is the same in both sets. So neighbours in the
 order are the combinations that are indexed: their number is linear in the set.
 
-Documents of one key aren't expanded to all pairs at once. Each is verified against one
-of them, which a hash picks for every key; links are joined to components; and only documents of one key that lie
-in different components remain, which shrinks large groups of copies to nothing. What
-remains is verified in full. Before sets are fetched, pairs whose sizes, whose least
-key's place or whose bitmaps of parities rule the similarity out are dropped; none of
-these can drop a pair that links.
+Keys of the same documents name one class, so that what copies or families have in
+common counts once. Documents of one class aren't expanded to all pairs at once. Each is
+verified against one of them, which a hash picks; links are joined to components; and
+only documents of one class that lie in different components remain, which shrinks large
+groups of copies to nothing. What remains is verified in full. Before sets are fetched,
+pairs whose sizes, whose least key's place or whose bitmaps of parities rule the
+similarity out are dropped; none of these can drop a pair that links. No step needs all
+rows of a key in one task: counts are combined before they are shuffled, and joins are
+plain ones, which Spark splits where they are skewed.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Staging, hash_spans, keys_unique, mix, row_chunks, shingles, signed, text_buffers, whole_row, with_row_key, word_spans
@@ -36,6 +39,10 @@ CELLS, OFTEN = 1 << 22, 2
 _SHIFT = np.uint64(64 - 22)
 _LOCAL_BYTES = 32 << 20
 _COUNT_ROWS = 1 << 16  # cells in a row of partial counts
+#: Bits of the small bitmaps that joins look at, and sizes from which they can't tell sets apart.
+_SMALL, _TELLS = 256, 1024
+#: Orders by which a class picks the document that the others are verified against; few, so that classes of a group pick alike.
+_ORDERS = 4
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -100,13 +107,13 @@ def class_counts(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens' counts in about as many cells as there are tokens.
+def bitmap(tokens: np.ndarray, bits: int = 0) -> bytes:
+    """Parities of the tokens' counts in ``bits`` cells (0: about as many as there are tokens).
 
     Each token that two sets don't share changes one cell at most, so the cells in which
     their bitmaps differ are no more than those tokens.
     """
-    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    bits = bits or max(64, 1 << max(0, len(tokens) - 1).bit_length())
     odd = np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -177,7 +184,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs (``a`` < ``b``) of rows ``x`` and ``y`` of a key that sizes and places allow to link.
 
     The least key that linked sets share leaves both enough tokens from there on; a
-    pair passes if one of its keys does. Keys of pairs of tokens are placed at 0.
+    pair passes if one of its keys does. Keys of pairs of tokens are placed after the
+    rare tokens: sets that have no rare token in common share frequent ones alone.
     """
     n, m = F.col("x.n"), F.col("y.n")
     enough = F.ceil(4 * (n + m) / F.lit(9))
@@ -224,7 +232,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(offsets):
-                n, a, b, keys, singles, bits = [], [], [], [], [], []
+                n, a, b, keys, singles, bits, small = [], [], [], [], [], [], []
                 for tokens in sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     name = name_of(tokens)
                     n.append(len(tokens))
@@ -236,40 +244,53 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
                     keys.append(None if again else signed(own))
                     singles.append(single)
                     bits.append(None if again else bitmap(tokens))
+                    small.append(None if again or len(tokens) >= _TELLS else np.frombuffer(bitmap(tokens, _SMALL), np.int64))
                 size += int(offsets[j] - offsets[i])
                 if size >= _LOCAL_BYTES:
                     seen, size = set(), 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(bits, pa.binary())], ["rid", "n", "s1", "s2", "keys", "singles", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(singles, pa.int32()), pa.array(bits, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["rid", "n", "s1", "s2", "keys", "singles", "bits", "small"])
 
-    described = stage.write(docs.select("_rid", "_text").mapInArrow(describe, "rid bigint, n int, s1 bigint, s2 bigint, keys array<bigint>, singles int, bits binary"), "described")
+    described = stage.write(docs.select("_rid", "_text").mapInArrow(describe, "rid bigint, n int, s1 bigint, s2 bigint, keys array<bigint>, singles int, bits binary, small array<bigint>"), "described")
 
     # equal sets link
     low = described.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     equal = stage.write(described.select("rid", "s1", "s2", "n").join(low, ["s1", "s2", "n"]).select(F.col("rid").alias("a"), "b"), "equal")
 
-    # keys that documents share; one document of each, by a hash, stands against the others: so a group of copies gets many such
-    rows = described.filter("keys is not null").select("rid", "n", F.posexplode("keys").alias("at", "key"), "singles").withColumn("at", F.when(F.col("at") < F.col("singles"), F.col("at")).otherwise(0))
-    by = Window.partitionBy("key")
+    # a class of keys is named by a hash of its documents; two that share a name by chance are one class, which loses no pair
+    rows = described.filter("keys is not null").select("rid", "n", F.posexplode("keys").alias("at", "key"), "singles").withColumn("at", F.least("at", "singles"))
+    named = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("rid")).alias("class")).filter("k > 1")
+    named = stage.write(named.select("key", "class"), "named")
+    rows = rows.select("rid", "n", "at", "key").hint("merge").join(named.hint("merge"), "key")
+    groups = stage.write(rows.groupBy("class", "rid").agg(F.min("n").alias("n"), F.min("at").alias("at")), "groups")
+    bits = stage.write(described.filter("keys is not null").select("rid", "n", "bits", "small"), "bits")
+    sizes = stage.write(described.select("rid", "n"), "sizes")
+    stage.discard("named")
+    stage.discard("described")
+
+    # one document of each class stands against the others
     own = F.struct("rid", "n", "at")
-    rows = rows.withColumn("k", F.count(F.lit(1)).over(by)).filter("k > 1").select("key", own.alias("x"), F.first(own).over(by.orderBy(F.xxhash64("key", "rid"), "rid")).alias("hub"))
-    groups = stage.write(rows, "groups")
-    bits = stage.write(described.filter("keys is not null").select("rid", "n", "bits"), "bits")
-    tried = stage.write(_plausible_pairs(_pairs(groups.select(F.col("hub").alias("x"), F.col("x").alias("y"))), bits), "pairs")
+    hubs = groups.groupBy("class").agg(F.min(F.struct(F.xxhash64("rid", F.pmod("class", F.lit(_ORDERS))).alias("h"), "rid", "n", "at")).alias("x")).select("class", "x")
+    against = hubs.hint("merge").join(groups.select("class", own.alias("y")).hint("merge"), "class")
+    tried = stage.write(_plausible_pairs(_pairs(against), bits), "pairs")
     links = stage.write(linked(tried, _sets(docs, tried, stage, "sets")), "links")
+    stage.discard("sets")
     edges = equal.unionByName(links)
     labels = components(edges, stage)
 
-    # documents of one key in different components: verify what hasn't been yet
-    placed = groups.select("key", "x").withColumn("rid", F.col("x.rid")).join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("key", "x", F.coalesce("comp", "rid").alias("c"))
-    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = stage.write(placed.join(several, "key", "left_semi"), "rest")
-    more = _pairs(rest.join(rest.select("key", F.col("x").alias("y"), F.col("c").alias("d")), "key").filter("c < d").select("x", "y"))
-    more = stage.write(_plausible_pairs(more, bits).join(tried, ["a", "b"], "left_anti"), "more")
+    # documents of one class in different components: verify what hasn't been yet
+    placed = groups.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("c", F.coalesce("comp", "rid")).drop("comp")
+    several = placed.groupBy("class").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("class")
+    rest = placed.hint("merge").join(several.hint("merge"), "class", "left_semi")
+    rest = stage.write(rest.hint("merge").join(bits.select("rid", "small").hint("merge"), "rid").select("class", "c", F.struct("rid", "n", "at", "small").alias("x")), "rest")
+    differ = sum((F.bit_count(F.col("x.small")[i].bitwiseXOR(F.col("y.small")[i])) for i in range(_SMALL // 64)), F.lit(0))
+    other = rest.select("class", F.col("x").alias("y"), F.col("c").alias("d"))
+    more = rest.hint("merge").join(other.hint("merge"), "class").filter("c < d").filter(F.coalesce(9 * differ <= F.col("x.n") + F.col("y.n"), F.lit(True)))
+    more = stage.write(_plausible_pairs(_pairs(more), bits).join(tried, ["a", "b"], "left_anti"), "more")
     found = stage.write(linked(more, _sets(docs, more, stage, "more_sets")), "found")
     if not found.isEmpty():
         labels = components(edges.unionByName(found), stage)
 
-    own = described.select("rid", "n").join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rid").alias("_comp"))
+    own = sizes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rid").alias("_comp"))
     named = docs.select("_key", "_rid").join(own.distinct(), F.col("_rid") == F.col("rid"))
     least = named.groupBy("_comp").agg(F.min("_key").alias("component_id"))
     return named.join(least, "_comp").select(F.col("_key").alias(key), "n_shingles", "component_id", "_rid", "_comp")
