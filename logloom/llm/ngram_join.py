@@ -43,6 +43,8 @@ _COUNT_ROWS = 1 << 16  # cells in a row of partial counts
 _SMALL, _TELLS = 256, 1024
 #: Orders by which a class picks the document that the others are verified against; few, so that classes of a group pick alike.
 _ORDERS = 4
+#: Least classes of a document by which a pair that shares many is told to have come out before.
+_MARKS = 16
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -281,10 +283,15 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     placed = groups.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("c", F.coalesce("comp", "rid")).drop("comp")
     several = placed.groupBy("class").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("class")
     rest = placed.hint("merge").join(several.hint("merge"), "class", "left_semi")
-    rest = stage.write(rest.hint("merge").join(bits.select("rid", "small").hint("merge"), "rid").select("class", "c", F.struct("rid", "n", "at", "small").alias("x")), "rest")
+    rest = stage.write(rest.select("class", "rid", "n", "at", "c"), "unsettled")
+    # a pair comes out at the first of the classes that both have among their least _MARKS, else at all they share; so a document's least place holds for all its classes
+    marks = rest.groupBy("rid").agg(F.min("at").alias("at"), F.slice(F.sort_array(F.collect_list("class")), 1, _MARKS).alias("marks"))
+    rest = rest.drop("at").hint("merge").join(marks.hint("merge"), "rid").hint("merge").join(bits.select("rid", "small").hint("merge"), "rid")
+    rest = stage.write(rest.select("class", "c", F.struct("rid", "n", "at", "small", "marks").alias("x")), "rest")
     differ = sum((F.bit_count(F.col("x.small")[i].bitwiseXOR(F.col("y.small")[i])) for i in range(_SMALL // 64)), F.lit(0))
     other = rest.select("class", F.col("x").alias("y"), F.col("c").alias("d"))
-    more = rest.hint("merge").join(other.hint("merge"), "class").filter("c < d").filter(F.coalesce(9 * differ <= F.col("x.n") + F.col("y.n"), F.lit(True)))
+    first = F.coalesce(F.array_min(F.array_intersect("x.marks", "y.marks")) >= F.col("class"), F.lit(True))
+    more = rest.hint("merge").join(other.hint("merge"), "class").filter("c < d").filter(first).filter(F.coalesce(9 * differ <= F.col("x.n") + F.col("y.n"), F.lit(True)))
     more = stage.write(_plausible_pairs(_pairs(more), bits).join(tried, ["a", "b"], "left_anti"), "more")
     found = stage.write(linked(more, _sets(docs, more, stage, "more_sets")), "found")
     if not found.isEmpty():
