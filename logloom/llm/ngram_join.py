@@ -69,9 +69,13 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def settle() -> None:
         if held:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()  # in place: a task's memory is what limits the stretch
+            firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            counts = np.diff(firsts, append=len(tokens))
             often = counts >= OFTEN
-            cells[:] += np.bincount((tokens[often] >> _SHIFT).astype(np.int64), counts[often], CELLS).astype(np.int64)
+            np.add.at(cells, (tokens[firsts[often]] >> _SHIFT).astype(np.int64), counts[often])
 
     for batch in batches:
         data, offsets = text_buffers(batch.column(0))
@@ -83,7 +87,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             size += int(offsets[j] - offsets[i])
             if size >= _LOCAL_BYTES:
                 settle()
-                held, size = [], 0
+                size = 0
                 seen.clear()
     settle()
     for k in range(0, CELLS, _COUNT_ROWS):
