@@ -279,7 +279,8 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= BLOCK_BYTES:
             table = pa.concat_tables(held)
             g = table["g"].to_numpy()
-            cut = int(np.searchsorted(np.cumsum(np.diff(g) != 0) + 1, (np.diff(g) != 0).sum()) + 1) if (np.diff(g) != 0).any() else 0
+            changes = np.flatnonzero(np.diff(g) != 0)
+            cut = int(changes[-1]) + 1 if len(changes) else 0
             if cut:
                 yield out(table.slice(0, cut))
                 held = [table.slice(cut)]

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,27 @@ def test_suffix_dedup(spark, docs, texts, whole, monkeypatch):
     check_repeats(enumerate(texts), {r["row"]["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in out})
 
 
+def test_blocks_end_between_buckets(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1000)
+    rng = random.Random(2)
+    say = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    small, hot = say(120), [say(120) for _ in range(4)]
+    # batches of five rows: a small bucket, a bucket longer than a batch, two short ones
+    buckets = [(5, [small, small]), (7, [*hot, say(110), hot[0], *hot[1:], say(130), hot[0]]), (8, [hot[2], hot[2]]), (9, [say(105)])]
+    rows = [(g, rid, 0, len(c) - 99, c) for rid, (g, c) in enumerate((g, c) for g, cs in buckets for c in cs)]
+    schema = pa.schema([("g", pa.int64()), ("rid", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("context", pa.binary())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 5]), schema)], schema=schema) for i in range(0, len(rows), 5)]
+    got = {(r["rid"], r["first"] + k) for b in suffix_dedup._sort_blocks(iter(batches)) for r in b.to_pylist() for k in range(r["n"])}
+    seen, expected = set(), set()
+    for g, rid, first, n, c in rows:
+        for k in range(n):
+            if (g, c[k : k + 100]) in seen:
+                expected.add((rid, first + k))
+            seen.add((g, c[k : k + 100]))
+    # strings meet in one bucket only, but a block may hold several
+    assert expected <= got and all(any(c[k : k + 100] in x for _, r, _, _, x in rows if r < rid) for rid, k in got for c in [rows[rid][4]])
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     text = np.concatenate([rng.integers(97, 99, 600), np.full(300, 97), np.tile(rng.integers(97, 100, 40), 12)]).astype(np.uint8)
