@@ -3,7 +3,9 @@
 A bidirectional window network, written in numpy, predicts every word from the two words
 on either side: their embeddings go through one tanh layer to a softmax over classes and
 a softmax over the words of the class, so probabilities are exact and cheap. A document's
-score is the sum of its words' conditional log-probabilities.
+score is the sum of its words' conditional log-probabilities. A word outside the
+vocabulary has the probability of number 0 times that of its spelling, by a chain over bytes
+counted on all such words.
 
 The vocabulary comes from counts over all documents. Training covers all documents too:
 each task trains a copy of the network on every sixteenth word of its own documents, and
@@ -29,6 +31,7 @@ EMBED, HIDDEN, SIDE = 12, 32, 2
 STRIDE, ROUNDS = 16, 2
 _BATCH = 2048
 _PIECE = 4096  # parameters in a row when copies are averaged
+_HELD = np.array([LOWER[b] == b and b not in b" \t\n\x0b\x0c\r" for b in range(256)])  # bytes of words
 _SHAPES = {"e": (VOCABULARY + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "d": (CLASSES,), "u": (CLASSES, HIDDEN, PER_CLASS), "v": (CLASSES, PER_CLASS)}
 
 
@@ -116,6 +119,63 @@ class Trainer:
         self.seen += n
 
 
+def spelling_table(pairs: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the next byte after each byte from counts of pairs; row 256 begins a word, column 256 ends it.
+
+    Rows are smoothed with the frequencies of all bytes that words can hold, so they sum to 1.
+    """
+    held = np.append(_HELD, True)
+    once = np.where(held, pairs.sum(0) + 0.5, 0.0)
+    share = np.tile(once / once.sum(), (257, 1))
+    share[256, 256] = 0  # no word is empty
+    share[256] /= share[256].sum()
+    table = (pairs + 16 * share) / (pairs.sum(1, keepdims=True) + 16)
+    return np.log(np.maximum(table, 1e-300))
+
+
+def spelled(table: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The log-probability of each word's bytes. Words share no bytes."""
+    if not len(starts):
+        return np.zeros(0)
+    steps = np.zeros(len(low))
+    steps[1:] = table[low[:-1], low[1:]]
+    steps[starts] = table[256, low[starts]]
+    bounds = np.stack([starts, ends], 1).ravel()
+    sums = np.add.reduceat(np.append(steps, 0.0), bounds)[::2]
+    return sums + table[low[ends - 1], 256]
+
+
+def _spellings(numbers: Numbers, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs of neighbouring bytes in words outside the vocabulary."""
+    pairs = np.zeros(257 * 257, np.int64)
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(0))
+        for i, j in row_chunks(offsets):
+            low = LOWER[data[offsets[i] : offsets[j]]].astype(np.int64)
+            starts, ends, _ = word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            other = numbers(hash_spans(low.astype(np.uint8), starts, ends)) == 0
+            starts, ends = starts[other], ends[other]
+            if not len(starts):
+                continue
+            inner = np.zeros(len(low) + 1, np.int8)
+            inner[starts + 1] += 1
+            inner[ends] -= 1
+            at = np.flatnonzero(np.cumsum(inner[:-1]))
+            codes = np.concatenate([low[at - 1] * 257 + low[at], 256 * 257 + low[starts], low[ends - 1] * 257 + 256])
+            pairs += np.bincount(codes, minlength=len(pairs))
+    seen = np.flatnonzero(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(pairs[seen])], ["pair", "n"])
+
+
+def spelling(docs: DataFrame, numbers: Numbers, text: str = "text") -> np.ndarray:
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+    counts = docs.select(text).mapInArrow(lambda batches: _spellings(shared.value, batches), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = np.zeros(257 * 257)
+    for r in counts.collect():  # at most 257 * 257
+        pairs[r["pair"]] = r["n"]
+    return spelling_table(pairs.reshape(257, 257))
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, firsts = word_spans(data, offsets)
     return hash_spans(LOWER[data], starts, ends), firsts
@@ -189,7 +249,8 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table["piece"].slice(0, 1), "seen": pa.array([seen.sum()]), "x": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Numbers, dict[str, np.ndarray]]:
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Numbers, dict[str, np.ndarray], np.ndarray]:
+    """Vocabulary, weights and the table of spellings."""
     spark = docs.sparkSession
     numbers, frequency = vocabulary(docs, text)
     p = initial(frequency)
@@ -234,24 +295,27 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int =
         got = few.groupBy("piece").applyInArrow(_mean, "piece int, seen double, x binary").orderBy("piece").collect()
         if got:
             p = _shaped(np.concatenate([np.frombuffer(bytes(r["x"]), "<f4") for r in got]))
-    return numbers, p
+    return numbers, p, spelling(docs, numbers, text)
 
 
-def score(docs: DataFrame, model: tuple[Numbers, dict[str, np.ndarray]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Numbers, dict[str, np.ndarray], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_words``, ``log_likelihood`` (summed) and ``mean_log_likelihood`` (0 without words) of whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, p = shared.value
+        numbers, p, table = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(offsets):
-                words, firsts = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ids = numbers(words)
+                low = LOWER[data[offsets[i] : offsets[j]]]
+                starts, ends, firsts = word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids = numbers(hash_spans(low, starts, ends))
                 sums = np.zeros(len(ids) + 1)
                 for k in range(0, len(ids), 16384):
                     at = np.arange(k, min(k + 16384, len(ids)))
                     sums[at + 1] = log_probabilities(p, contexts(ids, firsts, at), ids[at])
+                other = np.flatnonzero(ids == 0)
+                sums[other + 1] += spelled(table, low, starts[other], ends[other])
                 total = np.cumsum(sums)
                 ll, n = total[firsts[1:]] - total[firsts[:-1]], np.diff(firsts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ll), pa.array(ll / np.maximum(n, 1))], ["key", "n_words", "log_likelihood", "mean_log_likelihood"])

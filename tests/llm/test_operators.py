@@ -333,6 +333,24 @@ def test_lm_scoring(spark, docs):
     assert abs(total - 1) < 1e-3
 
 
+def test_spelling_of_unknown_words(spark):
+    table = lm_scoring.spelling_table(np.random.default_rng(3).integers(0, 3, (257, 257)) * np.append(lm_scoring._HELD, True))
+    assert np.allclose(np.exp(table).sum(1), 1)
+    low, starts, ends = np.frombuffer(b"ab  c\xc3 d", np.uint8), np.array([0, 4, 7]), np.array([2, 6, 8])
+    chains = [[256, *w, 256] for w in (b"ab", b"c\xc3", b"d")]
+    assert np.allclose(lm_scoring.spelled(table, low, starts, ends), [sum(table[a, b] for a, b in zip(c, c[1:])) for c in chains])
+
+    rng = random.Random(8)
+    common = ["".join(rng.choice("aeionrst") for _ in range(5)) for _ in range(300)]
+    rare = iter(range(10**9))
+    prose = lambda: " ".join(rng.choice(common) for _ in range(60))
+    noise = lambda: " ".join(f"{hashlib.md5(str(next(rare)).encode()).hexdigest()[:8]}" for _ in range(60))
+    rows = [(i, prose()) for i in range(40)] + [(100 + i, noise()) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    out = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_scoring.score(docs, lm_scoring.fit(docs)).collect()}
+    assert max(v for k, v in out.items() if k >= 100) < min(v for k, v in out.items() if k < 100)
+
+
 def test_awkward_rows(awkward):
     joined = ngram_join.similarity_components(awkward).collect()
     assert len(joined) == 6 and sum(r["component_id"] == 1 for r in joined) >= 3
