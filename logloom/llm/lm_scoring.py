@@ -7,9 +7,9 @@ score is the sum of its words' conditional log-probabilities. A word outside the
 vocabulary has the probability of number 0 times that of its spelling, by a chain over bytes
 counted on all such words.
 
-The vocabulary comes from counts over all documents. Training covers all documents too:
-each task trains a copy of the network on every sixteenth word of its own documents, and
-the copies are averaged by the words that they saw, in rounds.
+The vocabulary comes from counts over all documents. Training covers all words of all documents:
+each task trains a copy of the network on the words of its own documents, and the copies
+are averaged by the words that they saw, in rounds; each word is a target in one of them.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from .common import LOWER, hash_spans, keyed_schema, mix, row_chunks, signed, te
 CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS  # number 0 stands for all other words
 EMBED, HIDDEN, SIDE = 12, 32, 2
-#: A word in so many is a training target, another one in each round.
-STRIDE, ROUNDS = 16, 2
-_BATCH = 2048
+#: A word in so many is a training target, another one in each round: over all rounds, every word once.
+STRIDE = ROUNDS = 2
+_BATCH, _LARGE_BATCH = 2048, 16384  # batches grow with the words seen
 _PIECE = 4096  # parameters in a row when copies are averaged
 _HELD = np.array([LOWER[b] == b and b not in b" \t\n\x0b\x0c\r" for b in range(256)])  # bytes of words
 _SHAPES = {"e": (VOCABULARY + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "d": (CLASSES,), "u": (CLASSES, HIDDEN, PER_CLASS), "v": (CLASSES, PER_CLASS)}
@@ -64,19 +64,31 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the rows by class, and the classes' runs in it."""
+    cls = (target // PER_CLASS).astype(np.uint8)  # small numbers are sorted by radix
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(bounds)):
-        yield int(k), order[bounds[k] : bounds[k + 1]]
+    return order, [(int(k), slice(bounds[k], bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds))]
 
 
 def log_probabilities(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    h = np.tanh(p["e"][around].reshape(len(around), -1) @ p["w"] + p["b"])
-    cls, within = target // PER_CLASS, target % PER_CLASS
-    out = _log_softmax(h @ p["c"] + p["d"])[np.arange(len(h)), cls]
-    for k, rows in _by_class(cls):
-        out[rows] += _log_softmax(h[rows] @ p["u"][k] + p["v"][k])[np.arange(len(rows)), within[rows]]
+    order, runs = _by_class(target)
+    cls, within = target[order] // PER_CLASS, target[order] % PER_CLASS
+    h = np.tanh(p["e"].take(around.take(order, axis=0), axis=0).reshape(len(around), -1) @ p["w"] + p["b"])
+    some = _log_softmax(h @ p["c"] + p["d"])[np.arange(len(h)), cls]
+    for k, rows in runs:
+        x = h[rows] @ p["u"][k] + p["v"][k]
+        some[rows] += _log_softmax(x)[np.arange(len(x)), within[rows]]
+    out = np.empty_like(some)
+    out[order] = some
     return out
 
 
@@ -92,17 +104,19 @@ class Trainer:
         self.p[k][at] -= self.rate * grad / np.sqrt(self.g[k][at])
 
     def train(self, around: np.ndarray, target: np.ndarray) -> None:
+        order, runs = _by_class(target)
+        around, target = around.take(order, axis=0), target[order]
         p, n = self.p, len(target)
-        x = p["e"][around].reshape(n, -1)
+        x = p["e"].take(around, axis=0).reshape(n, -1)
         h = np.tanh(x @ p["w"] + p["b"])
         cls, within = target // PER_CLASS, target % PER_CLASS
-        dc = np.exp(_log_softmax(h @ p["c"] + p["d"]))
+        dc = _softmax(h @ p["c"] + p["d"])
         dc[np.arange(n), cls] -= 1
         dh = dc @ p["c"].T
         scale = np.float32(1 / np.sqrt(n))
-        for k, rows in _by_class(cls):
-            d = np.exp(_log_softmax(h[rows] @ p["u"][k] + p["v"][k]))
-            d[np.arange(len(rows)), within[rows]] -= 1
+        for k, rows in runs:
+            d = _softmax(h[rows] @ p["u"][k] + p["v"][k])
+            d[np.arange(len(d)), within[rows]] -= 1
             dh[rows] += d @ p["u"][k].T
             self._step("u", k, h[rows].T @ d * scale)
             self._step("v", k, d.sum(0) * scale)
@@ -112,10 +126,10 @@ class Trainer:
         dx = (da @ p["w"].T).reshape(-1, EMBED)
         self._step("w", slice(None), x.T @ da * scale)
         self._step("b", slice(None), da.sum(0) * scale)
-        flat = around.ravel()
+        flat = around.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         ids, first = np.unique(flat[order], return_index=True)
-        self._step("e", ids, np.add.reduceat(dx[order], first, axis=0) * scale)
+        self._step("e", ids, np.add.reduceat(dx.take(order, axis=0), first, axis=0) * scale)
         self.seen += n
 
 
@@ -228,6 +242,12 @@ def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Numbers, np.ndarray
     return Numbers(np.array([r["h"] for r in top], np.int64).view(np.uint64)), frequency
 
 
+def targets(words: np.ndarray, turn: int, stride: int) -> np.ndarray:
+    """The places of the words to predict in a round: over ``stride`` rounds, each place once."""
+    at = np.arange(len(words), dtype=np.uint64)
+    return np.flatnonzero(mix(words + at) % np.uint64(stride) == np.uint64(turn % stride))
+
+
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in _SHAPES]).astype(np.float32)
 
@@ -266,8 +286,11 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int =
                     return
                 a, t = np.concatenate(around), np.concatenate(target)
                 order = np.random.default_rng(trainer.seen + turn).permutation(len(t))
-                for k in range(0, len(t), _BATCH):
-                    trainer.train(a[order[k : k + _BATCH]], t[order[k : k + _BATCH]])
+                k = 0
+                while k < len(t):
+                    some = order[k : k + min(max(_BATCH, trainer.seen // 16), _LARGE_BATCH)]
+                    trainer.train(a[some], t[some])
+                    k += len(some)
                 around.clear()
                 target.clear()
 
@@ -275,13 +298,12 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int =
                 data, offsets = text_buffers(batch.column(0))
                 for i, j in row_chunks(offsets):
                     words, firsts = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    at = np.arange(len(words), dtype=np.uint64)
-                    at = np.flatnonzero(mix(words + at) % np.uint64(stride) == np.uint64(turn % stride))
+                    at = targets(words, turn, stride)
                     if len(at):
                         ids = numbers(words)
                         around.append(contexts(ids, firsts, at))
                         target.append(ids[at])
-                    flush(4 * _BATCH)
+                    flush(4 * _LARGE_BATCH)
             flush(1)
             if trainer.seen:
                 x = _flat(trainer.p)

@@ -351,6 +351,13 @@ def test_spelling_of_unknown_words(spark):
     assert max(v for k, v in out.items() if k >= 100) < min(v for k, v in out.items() if k < 100)
 
 
+def test_every_word_is_a_target_once():
+    words = np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64)
+    words[1000:3000] = words[0]
+    taken = [lm_scoring.targets(words, turn, lm_scoring.STRIDE) for turn in range(lm_scoring.ROUNDS)]
+    assert np.sort(np.concatenate(taken)).tolist() == list(range(5000))
+
+
 def test_awkward_rows(awkward):
     joined = ngram_join.similarity_components(awkward).collect()
     assert len(joined) == 6 and sum(r["component_id"] == 1 for r in joined) >= 3
