@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import Detection
+from .parse import parse_statistics
+
 
 def field_profile(entries: DataFrame, most: int = 5) -> DataFrame:
     """For each field: presence and its rate, nulls (empty texts) and their rate, distinct values, the most frequent ones."""
@@ -47,8 +50,31 @@ def file_statistics(entries: DataFrame, names: tuple[str, ...], detection: float
     return out.withColumn("detection_confidence", F.lit(detection)).withColumn("quality", quality_score(F.col("detection_confidence"), F.col("success_rate"), F.col("mean_extraction"), F.col("mean_confidence")))
 
 
+def file_details(entries: DataFrame, detection: Detection) -> DataFrame:
+    """For each source: the format, its counts of fields, fields of rates under 0.5 and of null rates over 0.3, and the share of the most frequent error in the lines.
+
+    Fields are those of the schema and all that occur, by falling rate, then by name. Declared
+    fields (never sampled) have no confidence to count.
+    """
+    names = F.array(*[F.lit(n) for n in detection.names]) if detection.fields else F.array().cast("array<string>")
+    each = entries.select("source_file", "fields", F.explode(F.array_union(names, F.map_keys("fields"))).alias("field"))
+    value = F.col("fields")[F.col("field")]
+    counted = each.groupBy("source_file", "field").agg(F.count_if(F.map_contains_key("fields", F.col("field"))).alias("hits"), F.count_if(value == "").alias("empty"))
+    errors = parse_statistics(entries)
+    classes = [F.col(c) for c in ("timestamp_parsing", "field_extraction", "format_mismatch", "type_conversion", "other")]
+    lines = errors.select("source_file", "total_lines", (F.greatest(*classes) / F.col("total_lines")).alias("top_error_share"))
+    rated = counted.join(lines, "source_file").withColumn("rate", F.col("hits") / F.col("total_lines"))
+    listed = lambda test: F.transform(F.array_sort(F.array_compact(F.collect_list(F.when(test, F.struct((-F.col("rate")).alias("r"), F.col("field").alias("field")))))), lambda x: x["field"])
+    fields = rated.groupBy("source_file").agg(listed(F.col("rate") < 0.5).alias("poor_fields"), listed(F.col("empty") / F.col("total_lines") > 0.3).alias("null_fields"))
+    sampled = [f.confidence for f in detection.fields if f.frequency]
+    return lines.drop("total_lines").join(fields, "source_file", "left").withColumns({
+        "format": F.lit(detection.format), "n_fields": F.lit(len(detection.fields)), "n_timestamp_fields": F.lit(sum(f.is_timestamp for f in detection.fields)),
+        "n_high_fields": F.lit(sum(c >= 0.8 for c in sampled)), "n_low_fields": F.lit(sum(c < 0.5 for c in sampled)), "n_samples": F.lit(len(detection.samples)),
+    })
+
+
 def recommendations(files: DataFrame) -> DataFrame:
-    """Up to five hints for each row of file statistics, in a fixed order of rules."""
+    """Up to five hints for each row of file statistics with its details, in a fixed order of rules."""
     c = {f: (F.col(f) if f in files.columns else F.lit(None)) for f in ("poor_fields", "null_fields", "n_timestamp_fields", "n_low_fields", "n_high_fields", "top_error_share")}
     rules = F.array(
         F.when(F.col("detection_confidence") < 0.7, F.lit("check the detected format")),
@@ -63,12 +89,16 @@ def recommendations(files: DataFrame) -> DataFrame:
 
 
 def global_insights(files: DataFrame) -> DataFrame:
-    """Over all files: their number, mean quality and success, and how many fall in each band of quality."""
+    """Over all files: their number, mean quality and success, and how many fall in each band of quality; with ``format``, how many have each format."""
     q = F.col("quality")
-    return files.agg(
+    out = files.agg(
         F.count(F.lit(1)).alias("n_files"), F.avg("quality").alias("mean_quality"), F.avg("success_rate").alias("mean_success"), F.avg("detection_confidence").alias("mean_detection"),
         F.count_if(q >= 0.9).alias("excellent"), F.count_if((q >= 0.7) & (q < 0.9)).alias("good"), F.count_if((q >= 0.5) & (q < 0.7)).alias("fair"), F.count_if(q < 0.5).alias("poor"),
     )
+    if "format" not in files.columns:
+        return out
+    each = files.groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+    return out.join(F.broadcast(each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("format", "n")))).alias("formats"))))  # one row each
 
 
 def problem_files(files: DataFrame, below: float = 0.5) -> DataFrame:

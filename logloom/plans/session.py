@@ -39,7 +39,7 @@ class LogSession:
 
     def analyze(self, entries: DataFrame, detection: Detection) -> dict[str, DataFrame]:
         """The profile, the time series, the file statistics and the recommendations of entries of one detection."""
-        files = stats.file_statistics(entries, detection.names, detection.confidence)
+        files = stats.file_statistics(entries, detection.names, detection.confidence).join(stats.file_details(entries, detection), "source_file")
         return {"fields": stats.field_profile(entries), "hours": stats.hourly(entries), "days": stats.daily(entries), "time": stats.time_series(entries), "files": files, "recommendations": stats.recommendations(files)}
 
     def report(self, entries: DataFrame, detection: Detection) -> DataFrame:

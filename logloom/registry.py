@@ -213,7 +213,8 @@ def quality_score(spark, sf_dir):
 
 
 def recommendations(spark, sf_dir):
-    files = stats.file_statistics(_broken(spark, sf_dir, "cast(event_id % 10 as string)"), JSON.names, 0.6)
+    entries = _broken(spark, sf_dir, "cast(event_id % 10 as string)")
+    files = stats.file_statistics(entries, JSON.names, 0.6).join(stats.file_details(entries, JSON), "source_file")
     return stats.recommendations(files).select("source_file", F.explode("recommendations").alias("hint"))
 
 

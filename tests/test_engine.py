@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import timestamps
 from logloom.functions.values import convert, infer_type
-from logloom.model import Detection, fields_of
+from logloom.model import Detection, Field, fields_of
 from logloom.operators import detect, parse, search, stats
 from logloom.operators.search import QueryBuilder, SearchFilter, SearchQuery, TimeFilter
 from logloom.plans.session import LogSession
@@ -107,6 +107,31 @@ def test_quality_and_comparison(spark):
     assert [(x["field"], x["best_file"], x["worst_file"], x["variance"]) for x in r] == [("f", "a", "b", 0.125)]
 
 
+def test_all_hints(spark):
+    rows = ['{"a": "1", "at": "2023-07-27T14:30:00Z", "b": ""}'] * 6 + ["nonsense"] * 2
+    other = lines(spark, ['{"a": "1", "at": "2023-07-27T14:30:00Z", "b": "x"}'] * 3, "fine")
+    declared = Detection("json", 1.0, fields_of(a="integer", b="string", at="timestamp", c="string"))
+    e = parse.parse(lines(spark, rows).unionByName(other), Detection("json", 1.0, fields_of(a="integer", b="string", at="timestamp")), NOW)
+    files = stats.file_statistics(e, declared.names, 0.6).join(stats.file_details(e, declared), "source_file")
+    got = {r["source_file"]: r["recommendations"] for r in stats.recommendations(files).collect()}
+    first = "check the detected format"
+    assert got == {"s": [first, "many lines fail to parse", "rarely extracted: c", "often empty: b", "one kind of error is frequent"], "fine": [first, "rarely extracted: c"]}
+    assert stats.global_insights(files).first()["formats"] == {"json": 2}
+    unsure = Detection("json", 1.0, tuple(Field(n, frequency=3, confidence=0.4) for n in ("a", "b")))
+    files = stats.file_statistics(e, unsure.names, 1.0).join(stats.file_details(e, unsure), "source_file")
+    assert {r["source_file"]: r["recommendations"] for r in stats.recommendations(files).collect()}["fine"] == ["no timestamp field", "most fields are uncertain"]
+
+
+def test_broken_events_hints(spark, tmp_path):
+    from logloom.registry import QUERIES
+
+    rows = [(i, datetime(2024, 1, 1, 0, i % 60), i, "view", 1.5) for i in range(100)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["source_file"], r["hint"]) for r in QUERIES["recommendations"](spark, str(tmp_path)).collect()}
+    more = {(s, h) for s in "37" for h in ("many lines fail to parse", "one kind of error is frequent")} | {("3", "rarely extracted: event_id, event_type, ts"), ("7", "rarely extracted: user_id, value")}
+    assert got == {(str(k), "check the detected format") for k in range(10)} | more
+
+
 def test_files_round_trip(spark, tmp_path):
     body = "\n".join(f'{{"n": "{i}", "at": "2023-07-27T14:30:0{i}Z"}}' for i in range(5)).encode() + b"\n\xff\n"
     for name, data in (("a.log", body), ("b.log.gz", gzip.compress(body)), ("c.log.bz2", bz2.compress(body)), ("d.log.xz", lzma.compress(body))):
