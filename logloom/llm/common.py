@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,27 +31,40 @@ class Staging:
     """Parquet tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
     They cut lineage: a stage that has been written isn't computed again when an
-    executor is lost. Where the setting is absent (tests), a temporary folder serves.
+    executor is lost. They go when the application ends. Without the setting a local
+    master (tests) gets a temporary folder; a cluster gets an error, since its executors
+    share no local folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         self.spark, self.root, self.paths = spark, f"{base}/{label}-{uuid.uuid4().hex}", {}
 
+    def _path(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def write(self, df: DataFrame, name: str, codec: str = "lz4_raw", keep: bool = True) -> DataFrame:
         """Write ``df`` and return it as read back; its shuffle files go once it is written."""
         path = f"{self.root}/{name}"
         with shuffles_dropped(self.spark):
             df.write.option("compression", codec).parquet(path)
+        if not self.paths:
+            at, files = self._path(self.root)
+            files.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
         return out
 
     def discard(self, name: str) -> None:
         """Delete a staged table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = self._path(self.paths[name])
+        files.delete(at, True)
 
 
 @contextlib.contextmanager
@@ -83,20 +97,24 @@ def keys_unique(df: DataFrame, key: str) -> bool:
 
 
 def with_row_key(df: DataFrame, key: str, text: str, name: str = "_rid") -> DataFrame:
+    return row_keys(df, key, text, name)[0]
+
+
+def row_keys(df: DataFrame, key: str, text: str, name: str = "_rid") -> tuple[DataFrame, bool]:
     """Add a long that identifies each distinct (key, text) and orders by key, then by the text's hash.
 
-    Where keys are present and unique it is the key itself. Otherwise (nulls, or one key
-    for several texts) the distinct pairs are numbered in order, null keys first; rows
-    repeated whole share a number.
+    Where keys are whole numbers, present and unique it is the key itself. Otherwise (other
+    types, nulls, or one key for several texts) the distinct pairs are numbered in order,
+    null keys first; rows repeated whole share a number. Also tells whether no rows share one.
     """
-    if keys_unique(df, key):
-        return df.withColumn(name, F.col(key).cast("long"))
+    if isinstance(df.schema[key].dataType, T.IntegralType) and keys_unique(df, key):
+        return df.withColumn(name, F.col(key).cast("long")), True
     spark, hashed = df.sparkSession, F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
     ids = df.select(F.col(key).alias("_k"), hashed.alias("_h")).distinct()
     ids = Staging(spark, "rowkeys").write(ids.repartitionByRange("_k", "_h").withColumn("_p", F.spark_partition_id()), "ids")
     numbered = running_rank(ids, "_p", ["_k", "_h"], name).select("_k", "_h", name)
     keyed = df.withColumn("_kh", hashed)
-    return keyed.join(numbered, keyed[key].eqNullSafe(numbered["_k"]) & (keyed["_kh"] == numbered["_h"])).drop("_k", "_h", "_kh")
+    return keyed.join(numbered, keyed[key].eqNullSafe(numbered["_k"]) & (keyed["_kh"] == numbered["_h"])).drop("_k", "_h", "_kh"), False
 
 
 def running_rank(df: DataFrame, part: str, order: list[str], name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Staging, hash_spans, keys_unique, mix, row_chunks, shingles, signed, text_buffers, whole_row, with_row_key, word_spans
+from .common import LOWER, Staging, hash_spans, mix, row_chunks, row_keys, shingles, signed, text_buffers, whole_row, with_row_key, word_spans
 
 WORDS = 5
 #: Cells of the table of class counts (a byte each), and documents of one stretch of a task's text that make a token count.
@@ -162,20 +162,35 @@ def keys_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
 def components(edges: DataFrame, stage: Staging) -> DataFrame:
     """(``id``, ``comp``) for the ends of edges (``a``, ``b``): the least id that each can reach.
 
-    Every round takes over the least label among neighbours, then the label of one's label.
+    In every round each node goes over to the first node within two edges, in an order that
+    a hash deals anew; nodes that go to one merge, and the edges between merged nodes are
+    the next round's. Whatever is left is a window's minimum, so a path loses two thirds of
+    its nodes in a round and a star all but one: the rounds grow with the logarithm of a
+    component's size, however long its chains are.
     """
-    both = edges.filter("a != b").select("a", "b").unionByName(edges.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stage.write(both, f"edges{len(stage.paths)}")
-    labels = stage.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), f"labels{len(stage.paths)}")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        closer = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        new = closer.join(jump, "comp", "left").select("id", "old", F.least("comp", "further").alias("comp"))
-        new = stage.write(new, f"labels{len(stage.paths)}")
-        labels = new.select("id", "comp")
-        if new.filter("old != comp").isEmpty():
-            return labels
+    tag = len(stage.paths)
+    first = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
+    live = stage.write(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"live{tag}-0")
+    labels, turn = None, 0
+    while not live.isEmpty():
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(first("b")).alias("f")).select(F.col("a").alias("id"), F.least("f", first("a")).alias("f"))
+        far = both.join(near.select(F.col("id").alias("b"), "f"), "b").groupBy(F.col("a").alias("id")).agg(F.min("f")["to"].alias("to"))
+        moved = stage.write(far, f"moved{tag}-{turn}")
+        if labels is None:
+            labels = stage.write(moved.select("id", F.col("to").alias("label")), f"labels{tag}-0")
+        else:
+            labels = stage.write(labels.join(moved.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"labels{tag}-{turn}")
+            stage.discard(f"labels{tag}-{turn - 1}")
+        ends = live.join(moved.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(moved.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        live = stage.write(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"live{tag}-{turn + 1}")
+        stage.discard(f"live{tag}-{turn}")
+        stage.discard(f"moved{tag}-{turn}")
+        turn += 1
+    if labels is None:
+        return live.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    least = labels.groupBy("label").agg(F.min("id").alias("comp"))
+    return stage.write(labels.join(least, "label").select("id", "comp"), f"components{tag}")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,9 +243,14 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     link with nothing. Null keys don't name a component unless all its keys are null.
     Rows that repeat a key count apart, rows repeated whole alike.
     """
+    keyed = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")), "_key", "_text")
+    return _similarity_components(keyed).withColumnRenamed("_key", key)
+
+
+def _similarity_components(docs: DataFrame) -> DataFrame:
+    """Of documents with ``_rid``, ``_key`` and ``_text``."""
     spark = docs.sparkSession
     stage = Staging(spark, "jaccard")
-    docs = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")), "_key", "_text")
     shared = spark.sparkContext.broadcast(class_counts(docs, "_text"))  # CELLS numbers
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,16 +324,17 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     own = sizes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rid").alias("_comp"))
     named = docs.select("_key", "_rid").join(own.distinct(), F.col("_rid") == F.col("rid"))
     least = named.groupBy("_comp").agg(F.min("_key").alias("component_id"))
-    return named.join(least, "_comp").select(F.col("_key").alias(key), "n_shingles", "component_id", "_rid", "_comp")
+    return named.join(least, "_comp").select("_key", "n_shingles", "component_id", "_rid", "_comp")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first document of every component, with all columns; of rows repeated whole one stays."""
-    found = similarity_components(docs, key, text)
-    first = found.filter("_rid = _comp").select(F.col("_rid").alias("_keep")).distinct()
     rows = docs.select(whole_row(docs).alias("_row"), F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    kept = with_row_key(rows, "_key", "_text").join(first, F.col("_rid") == F.col("_keep"), "left_semi")
-    return (kept if keys_unique(docs, key) else kept.dropDuplicates(["_rid"])).select("_row.*")
+    keyed, unique = row_keys(rows, "_key", "_text")
+    found = _similarity_components(keyed.select("_rid", "_key", "_text"))
+    first = found.filter("_rid = _comp").select(F.col("_rid").alias("_keep")).distinct()
+    kept = keyed.join(first, F.col("_rid") == F.col("_keep"), "left_semi")
+    return (kept if unique else kept.dropDuplicates(["_rid"])).select("_row.*")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, lm_scoring, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_output, toxicity, url_filter
+from logloom.llm import common, decontam, lm_scoring, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_output, toxicity, url_filter
 from logloom.llm.common import hash_spans, shingles, word_spans
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, shard int, key string, score double"
@@ -141,6 +141,25 @@ def test_ngram_join(docs, texts, often, monkeypatch):
     assert got == jaccard_components(enumerate(texts))
 
 
+@pytest.mark.parametrize("shape", ["shuffled chain", "chain in order", "star", "two rings"])
+def test_components_need_few_rounds(spark, shape, monkeypatch):
+    n = 10_000 if shape == "shuffled chain" else 2000
+    ids = list(range(n))
+    if shape == "shuffled chain":
+        random.Random(9).shuffle(ids)
+    pairs = list(zip(ids, ids[1:]))
+    if shape == "star":
+        pairs = [(n // 2, i) for i in ids] * 2
+    if shape == "two rings":
+        pairs = [(i, (i + 2) % n) for i in ids]
+    rounds, write = [], common.Staging.write
+    monkeypatch.setattr(common.Staging, "write", lambda self, df, name, **k: (rounds.append(name) if name.startswith("moved") else None, write(self, df, name, **k))[1])
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(4)
+    got = {r["id"]: r["comp"] for r in ngram_join.components(edges, common.Staging(spark, "test")).collect()}
+    assert got == {i: i % 2 if shape == "two rings" else 0 for i in ids} and len(rounds) <= 20
+    assert ngram_join.components(edges.filter("false"), common.Staging(spark, "test")).count() == 0
+
+
 def test_frequent_pairs_are_complete():
     """Sets of 0.8 or more share a key, whatever is frequent."""
     rng = np.random.default_rng(2)
