@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 1 << 20
 #: Bytes whose powers are kept by the rolling hash.
 _BLOCK = 1 << 20
+#: Queries leave no shuffle files once they have ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _BASE = 0x9E3779B97F4A7C15
@@ -52,7 +53,7 @@ class Staging:
     def write(self, df: DataFrame, name: str, codec: str = "lz4_raw", keep: bool = True) -> DataFrame:
         """Write ``df`` and return it as read back; its shuffle files go once it is written."""
         path = f"{self.root}/{name}"
-        with shuffles_dropped(self.spark):
+        with settings(self.spark, {_CLEANUP: "true"}):
             df.write.option("compression", codec).parquet(path)
         if not self.paths:
             at, files = self._path(self.root)
@@ -68,14 +69,16 @@ class Staging:
 
 
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Queries made inside leave no shuffle files once they have ended."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for the queries run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def keyed_schema(docs: DataFrame, key: str, rest: str, name: str = "key") -> T.StructType:
