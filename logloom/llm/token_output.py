@@ -3,7 +3,9 @@
 Each task packs the documents of one stretch of its input at a time: pieces go, longest
 first, to the open sequence with the least room that still fits. The tree's leaves are
 room sizes and its inner nodes count the open sequences below, so the search takes a
-step for each level. Overlong documents are split into whole windows and a rest.
+step for each level. Overlong documents are split into whole windows and a rest. The
+emptiest sequences of a stretch are packed again with the next one, so that only a task's
+last stretch leaves part-empty ones.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .tokens import table
 
 #: Tokens that are packed together, about; memory and the best fit's reach grow with it.
 STRETCH = 4 << 20
+#: Fills sequences up; beyond all token ids.
+PAD = 65535
 
 
 class RoomTree:
@@ -71,69 +75,78 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def packed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 4096, tokenizer: str = "word_bpe_49k.json", end: int = 49407, pad: int = 49407, stretch: int = STRETCH) -> DataFrame:
+def packed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 4096, tokenizer: str = "word_bpe_49k.json", end: int = 49407, pad: int = PAD, stretch: int = STRETCH) -> DataFrame:
     """One row for each packed sequence.
 
     ``task``, ``sequence``: its name; ``input_ids``: ``window`` 16-bit little-endian ids, padded
-    with ``pad``; ``cu_seqlens``: where segments begin, and the end of the last; ``resets``: the
-    position that each segment's first token has in its document's window count (0 for each
-    segment, since positions restart there); ``doc_ids`` and ``doc_starts``: the document of
-    each segment and the ids before it there. A document is its text's ids and ``end``; null
-    and empty texts are ``end`` alone. Joining a document's segments by ``doc_starts`` gives
-    it back whole. Equal rows and keys are packed each for itself.
+    with ``pad``, which no text makes; ``cu_seqlens``: where segments begin, and the end of the
+    last; ``resets``: the places at which position ids begin again at 0, which are those of
+    segments and of the padding, if any; ``doc_ids`` and ``doc_starts``: the document of each
+    segment and the ids before it there. A document is its text's ids and ``end``; null and
+    empty texts are ``end`` alone. Joining a document's segments by ``doc_starts`` gives it back
+    whole. Rows that repeat a key or a whole row, and rows without a key, are packed each for
+    itself; other columns aren't looked at. An empty table gives no rows.
     """
 
-    def pack(names: pa.Array, docs_ids: list[bytes], first: int) -> pa.RecordBatch:
-        owner, starts, lengths = [], [], []
-        for k, x in enumerate(docs_ids):
-            for s in range(0, len(x) // 2, window):
-                owner.append(k)
-                starts.append(s)
-                lengths.append(min(window, len(x) // 2 - s))
-        sizes = np.array(lengths, np.int64)
+    def pack(names: pa.Array, pieces: list[tuple[bytes, int]], first: int, last: bool) -> tuple[pa.RecordBatch, pa.Array, list[tuple[bytes, int]]]:
+        """The sequences, without the emptiest ones if more text follows: their pieces are packed again with it."""
+        sizes = np.array([len(x) // 2 for x, _ in pieces], np.int64)
         into, n = best_fit(sizes, window)
+        filled = np.bincount(into, sizes, n).astype(np.int64)
+        emptiest = np.argsort(filled, kind="stable")
+        again = np.zeros(n, bool)
+        again[emptiest] = (np.cumsum(filled[emptiest]) <= stretch // 4) & (filled[emptiest] < window) & (not last)
+        number = np.cumsum(~again) - 1
+        back = np.flatnonzero(again[into])
         order = np.argsort(into, kind="stable")
+        order = order[~again[into[order]]]
+        n = int((~again).sum())
         matrix = np.full((n, window), pad, "<u2")
-        at, cu, who, began = np.zeros(n, np.int64), [[0] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
+        at, cu, who, began = [0] * n, [[0] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
         for k in order.tolist():
-            s = into[k]
-            x = docs_ids[owner[k]]
-            matrix[s, at[s] : at[s] + lengths[k]] = np.frombuffer(x, "<u2", lengths[k], 2 * starts[k])
-            at[s] += lengths[k]
-            cu[s].append(int(at[s]))
-            who[s].append(owner[k])
-            began[s].append(starts[k])
+            s, (x, start) = int(number[into[k]]), pieces[k]
+            size = len(x) // 2
+            matrix[s, at[s] : at[s] + size] = np.frombuffer(x, "<u2")
+            at[s] += size
+            cu[s].append(at[s])
+            who[s].append(k)
+            began[s].append(start)
         flat = np.concatenate([np.asarray(x, np.int64) for x in who]) if n else np.zeros(0, np.int64)
         cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in who])]).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n, TaskContext.get().partitionId() if TaskContext.get() else 0), pa.int64()),
                 pa.array(np.arange(first, first + n), pa.int64()),
                 pa.array([r.tobytes() for r in matrix], pa.binary()),
                 pa.array(cu, pa.list_(pa.int32())),
-                pa.array([[0] * len(x) for x in who], pa.list_(pa.int32())),
+                pa.array([x if x[-1] < window else x[:-1] for x in cu], pa.list_(pa.int32())),
                 pa.ListArray.from_arrays(cut, names.take(pa.array(flat))),
                 pa.array(began, pa.list_(pa.int64())),
             ],
             ["task", "sequence", "input_ids", "cu_seqlens", "resets", "doc_ids", "doc_starts"],
         )
+        return out, names.take(pa.array(back)), [pieces[k] for k in back.tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, done = table(tokenizer), 0
-        names, ids, held = [], [], 0
+        names, pieces, held = [], [], 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(offsets):
                 flat, bounds = t.ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
-                names.append(batch.column(0).slice(i, j - i))
-                ids += [flat[a:b].astype("<u2").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                owner = []
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    for s in range(a, b, window):
+                        owner.append(i + k)
+                        pieces.append((flat[s : min(s + window, b)].astype("<u2").tobytes(), s - a))
+                names.append(batch.column(0).take(pa.array(owner, pa.int64())))
                 held += len(flat)
                 if held >= stretch:
-                    out = pack(pa.concat_arrays(names), ids, done)
-                    done, names, ids, held = done + out.num_rows, [], [], 0
+                    out, left, pieces = pack(pa.concat_arrays(names), pieces, done, False)
+                    done, names, held = done + out.num_rows, [left], sum(len(x) for x, _ in pieces) // 2
                     yield from (out.slice(k, 256) for k in range(0, out.num_rows, 256))
-        if ids:
-            out = pack(pa.concat_arrays(names), ids, done)
+        if pieces:
+            out, _, _ = pack(pa.concat_arrays(names), pieces, done, True)
             yield from (out.slice(k, 256) for k in range(0, out.num_rows, 256))
 
     kind = docs.schema[key].dataType.simpleString()
