@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, whole_row
 
 #: Labelled rows that the covering takes at most, by the smallest seeded hash of their key.
 FIT_ROWS = 20_000
@@ -25,16 +25,23 @@ _WINDOW = 5
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's columns with a struct ``stats``; null and empty texts have zeros throughout."""
+    """The input's columns with a struct ``stats``, which takes the place of a column of that name.
+
+    Null and empty texts have zeros throughout. Rows don't look at each other, so ties,
+    repeated rows and null keys make no difference; an empty table stays empty.
+    """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    bare = F.translate(t, BLANKS, "")
-    count = lambda chars: (F.char_length(bare) - F.char_length(F.translate(bare, chars, ""))).cast("long")
-    words = F.array_remove(F.split(F.translate(t, BLANKS, " " * len(BLANKS)), " "), "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    first = docs.withColumn("_w", words).withColumn("_l", lines)
+    bare = F.translate(F.col("_t"), BLANKS, "")
+    count = lambda chars: (F.char_length("_b") - F.char_length(F.translate("_b", chars, ""))).cast("long")
+    words = F.array_remove(F.split(F.translate("_t", BLANKS, " " * len(BLANKS)), " "), "")
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    first = docs.select(whole_row(docs).alias("_row"), t.alias("_t")).select("_row", words.alias("_w"), lines.alias("_l"), bare.alias("_b"))
+    first = first.withColumn("_d", F.size(F.array_distinct("_w")))
+    # each word is hashed once; without an equal pair of words no window can repeat
+    first = first.withColumn("_x", F.when((F.size("_w") > _WINDOW) & (F.col("_d") < F.size("_w")), F.transform("_w", lambda w: F.xxhash64(w))))
     # one hash for each window of words; a text without equal ones is settled by their distinct count
-    at = lambda i, k: F.get(F.col("_w"), i + k)
-    hashes = F.when(F.size("_w") >= _WINDOW, F.transform(F.sequence(F.lit(0), F.size("_w") - _WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(_WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    at = lambda i, k: F.get(F.col("_x"), i + k)
+    hashes = F.when(F.col("_x").isNotNull(), F.transform(F.sequence(F.lit(0), F.size("_x") - _WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(_WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     second = first.withColumn("_h", hashes)
     pairs = F.array_sort(F.transform(F.col("_h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     third = second.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), pairs).otherwise(F.lit(None)))
@@ -46,7 +53,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("_w").cast("long")
     stats = F.struct(
         n.alias("n_words"),
-        F.char_length(bare).cast("long").alias("word_chars"),
+        F.char_length("_b").cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -54,9 +61,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         count("0123456789").alias("n_digits"),
         count(".,;:!?\"'()[]{}").alias("n_marks"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.col("_d").cast("long").alias("n_distinct"),
     )
-    return fourth.withColumn("stats", stats).drop("_w", "_l", "_h", "_s", "_r")
+    return fourth.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "stats"], stats.alias("stats"))
 
 
 def feature_columns(stats: str = "stats") -> dict[str, Column]:
