@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ def texts():
     out = [say(rng.randint(20, 200)) for _ in range(40)]
     out += [base] * 6 + [" ".join(w if rng.random() > 0.01 else "zz" for w in base.split()) for _ in range(25)]
     out += [say(40) + " " + passage + " " + say(40) for _ in range(8)]
-    out += [None, "", "   ", "one two", "one two", "a" * 700, "é" * 200 + " ünïcode Ä", say(3000), "Line one\nLine one\nLine two", "x!! $$ ## " * 20, base.upper()]
+    out += [None, "", "   ", "one two", "one two", "a" * 700, "é" * 200 + " ünïcode Ä", say(3000), (say(90) + " ") * 9, "Line one\nLine one\nLine two", "x!! $$ ## " * 20, base.upper()]
     return out
 
 
@@ -222,7 +223,11 @@ def test_sharding(docs, texts):
 
 
 def test_statistics(docs, texts):
-    got = {r["doc_id"]: r["stats"] for r in quality_rules.statistics(docs).select("doc_id", "stats").collect()}
+    clash = docs.withColumnsRenamed({"lang": "_w", "source": "_x", "n_chars": "stats", "row": "_row"})
+    out = quality_rules.statistics(clash)
+    assert out.columns == [c for c in clash.columns if c != "stats"] + ["stats"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {(r["_w"], r["_x"], r["_row"]) for r in got.values()} == {("en", "s", "r")}
     for i, t in enumerate(texts):
         t = t or ""
         w, word = [], ""
@@ -230,11 +235,11 @@ def test_statistics(docs, texts):
             w, word = (w + [word] if word else w, "") if c in BLANKS else (w, word + c)
         lines = [x for x in t.split("\n") if any(c not in BLANKS for c in x)]
         windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
-        twice = {x for x in windows if windows.count(x) > 1} if len(windows) < 500 else set()
-        repeat = {k + d for k, x in enumerate(windows) if x in twice for d in range(5)}
-        s = got[i]
+        times = Counter(windows)
+        repeat = {k + d for k, x in enumerate(windows) if times[x] > 1 for d in range(5)}
+        s = got[i]["stats"]
         assert (s["n_words"], s["word_chars"], s["n_symbols"], s["n_dup_lines"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
-        assert len(windows) >= 500 or s["n_repeat_words"] == len(repeat)
+        assert s["n_repeat_words"] == len(repeat) and s["n_distinct"] == len(set(w))
 
 
 def test_rules_are_learned():
@@ -329,13 +334,34 @@ def test_token_output(docs, texts):
     got = {}
     for r in token_output.packed_rows(docs, window=128, stretch=3000).collect():
         ids = np.frombuffer(bytes(r["input_ids"]), "<u2")
-        assert len(ids) == 128 and r["cu_seqlens"][0] == 0 and len(r["resets"]) == len(r["doc_ids"])
+        end = r["cu_seqlens"][-1]
+        assert len(ids) == 128 and r["cu_seqlens"][0] == 0 and (ids[end:] == token_output.PAD).all() and token_output.PAD not in ids[:end]
+        position, expected = np.zeros(128, int), np.zeros(128, int)
+        for a, b in zip(r["resets"], [*r["resets"][1:], 128]):
+            position[a:b] = range(b - a)
+        for a, b in zip(r["cu_seqlens"], [*r["cu_seqlens"][1:], 128]):
+            expected[a:b] = range(b - a)
+        assert position.tolist() == expected.tolist()
         for d, s, a, b in zip(r["doc_ids"], r["doc_starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
             got.setdefault(d, {})[s] = ids[a:b].tolist()
     for i, x in enumerate(texts):
         assert sum((got[i][s] for s in sorted(got[i])), []) == [*np.frombuffer(t.ids(x), "<u2").tolist(), 49407]
 
 
+def test_written_matrices(docs, awkward, tmp_path):
+    spark = docs.sparkSession
+    token_output.write_packed(docs, str(tmp_path / "packed"), window=256)
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    key = lambda df: sorted((bytes(r["input_ids"]), tuple(r["cu_seqlens"]), tuple(r["resets"]), tuple(r["doc_ids"])) for r in df.collect())
+    assert key(back) == key(token_output.packed_rows(docs, window=256))
+    assert sum(len(r["doc_ids"]) for r in token_output.packed_rows(awkward).collect()) == awkward.count()
+    assert token_output.packed_rows(docs.filter("false")).count() == 0
+    # the emptiest sequences of a stretch go on: little padding however short the stretches
+    rows = token_output.packed_rows(docs.coalesce(1), window=128, stretch=2000).select("cu_seqlens").collect()
+    tokens = sum(r["cu_seqlens"][-1] for r in rows)
+    assert len(rows) <= 1.03 * tokens / 128 + 1
+
+
 def test_best_fit():
     into, n = token_output.best_fit(np.array([6, 5, 5, 4, 3, 3, 2, 2]), 10)
     sizes = np.bincount(into, [6, 5, 5, 4, 3, 3, 2, 2])
