@@ -206,6 +206,25 @@ def test_decontamination(spark, docs, texts):
         got = {r["doc_id"]: tuple(r)[1:] for r in decontam.digest(decontam.contamination(docs, benchmark, block=block)).collect()}
         assert got == expected
     assert decontam.digest(decontam.contamination(docs, benchmark.filter("false"))).filter("contaminated").isEmpty()
+    for slop in (1, 2):
+        said, ask = [rng.choices("abcdefg", k=rng.randint(0, 40)) for _ in range(60)], [rng.choices("abcdefg", k=k) for k in (3, 5, 6, 1, 4)]
+        expected = {}
+        for i, w in enumerate(said):
+            mark, hit = [0] * len(w), set()
+            for k, v in enumerate(ask):
+                for p in range(max(1, len(v) - 3)):
+                    win = v[p : p + 4]
+                    for q in range(len(w) - len(win) + 1):
+                        if all(any(x in w[max(0, q + o + d) : max(0, q + o + d + 1)] for d in range(-slop, slop + 1)) for o, x in enumerate(win)):
+                            mark[q : q + len(win)] = [1] * len(win)
+                            hit.add(str(k))
+            expected[i] = ([i for i, x in enumerate(mark) if x], sorted(hit))
+        rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(said)], "doc_id bigint, text string")
+        items = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(ask)], "item_id bigint, text string")
+        got = {r["doc_id"]: ([k for a, b in r["spans"] for k in range(a, b)], r["items"]) for r in decontam.contamination(rows, items, width=4, slop=slop).collect()}
+        assert got == expected
+    index = decontam.PositionalIndex(docs)  # one index, several benchmarks
+    assert index.search(benchmark).filter(F.size("spans") > 0).count() > 10 and index.search(benchmark.filter("item_id > 90")).filter(F.size("spans") > 0).isEmpty()
     near = spark.createDataFrame([(0, "p q r s")], "item_id bigint, text string")
     text = spark.createDataFrame([(0, "p x q r s")], "doc_id bigint, text string")
     assert [decontam.contamination(text, near, slop=k).first()["items"] for k in (0, 1)] == [[], ["0"]]
