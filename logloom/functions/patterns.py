@@ -10,10 +10,15 @@ _STAMP = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}"
 _HOST, _REST = r"(\S+)", r"(.*)"
 _QUOTED, _NUMBER, _COUNT = r'"([^"]*)"', r"(\d+)", r"(\d+|-)"
 _COMMON = rf"{_HOST} {_HOST} {_HOST} \[([^\]]+)\] {_QUOTED} (\d{{3}}|-) {_COUNT}"
+# fixed values: the names of fields
 _COMMON_NAMES = ("remote_host", "remote_logname", "remote_user", "timestamp", "request", "status", "bytes_sent")
+_VIRTUAL_NAMES = (*_COMMON_NAMES[:3], "virtual_host", *_COMMON_NAMES[3:])
 _NGINX_NAMES = ("remote_addr", "remote_logname", "remote_user", "time_local", "request", "status", "bytes_sent", "http_referer", "http_user_agent")
 _ERROR = r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] "
 
+#: Stands between groups while they are one text.
+_MARK = "\x01"
+
 Pattern = tuple[str, tuple[str, ...]]
 #: The most specific pattern comes first, so that no field is lost to a shorter one.
 PATTERNS: dict[str, tuple[Pattern, ...]] = {
@@ -40,8 +45,10 @@ PATTERNS: dict[str, tuple[Pattern, ...]] = {
     "apache_common": ((rf"^{_COMMON}", _COMMON_NAMES),),
     "apache_combined": ((rf"^{_COMMON} {_QUOTED} {_QUOTED}", (*_COMMON_NAMES, "referer", "user_agent")), (rf"^{_COMMON}", _COMMON_NAMES)),
     "apache_extended": (
-        (rf"^{_HOST} {_HOST} {_HOST} {_HOST} \[([^\]]+)\] {_QUOTED} (\d{{3}}|-) {_COUNT} {_QUOTED} {_QUOTED}", ("remote_host", "remote_logname", "remote_user", "virtual_host", *_COMMON_NAMES[3:], "referer", "user_agent")),
+        (rf"^{_HOST} {_HOST} {_HOST} {_HOST} \[([^\]]+)\] {_QUOTED} (\d{{3}}|-) {_COUNT} {_QUOTED} {_QUOTED}", (*_VIRTUAL_NAMES, "referer", "user_agent")),
+        (rf"^{_HOST} {_HOST} {_HOST} {_HOST} \[([^\]]+)\] {_QUOTED} (\d{{3}}|-) {_COUNT}", _VIRTUAL_NAMES),
         (rf"^{_COMMON} {_QUOTED} {_QUOTED} (\d+(?:\.\d+)?)", (*_COMMON_NAMES, "referer", "user_agent", "response_time")),
+        (rf"^{_COMMON} (\d+(?:\.\d+)?|-)", (*_COMMON_NAMES, "response_time")),
         (rf"^\[(\w{{3}} \w{{3}} +\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}} \d{{4}})\] \[(\w+)\] {_REST}$", ("timestamp", "level", "message")),
     ),
     "nginx_access": (
@@ -59,14 +66,18 @@ PATTERNS: dict[str, tuple[Pattern, ...]] = {
         (rf"^{_HOST} \[([^\]]+)\] {_QUOTED}(?: (\d{{3}}))?", ("remote_addr", "timestamp", "request", "status")),
         (rf"^\[([^\]]+)\] {_HOST} {_QUOTED}(?: (\d{{3}}))?", ("timestamp", "remote_addr", "request", "status")),
     ),
+    "journal_short": ((rf"^(\w{{3}} +\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}}) +(\S+) +([^:]+): *{_REST}$", ("timestamp", "hostname", "service", "message")),),
 }
+# fixed values: the types of fields by name
 TYPES = {"status": "integer", "bytes_sent": "integer", "pid": "integer", "tid": "integer", "response_size": "integer", "request_time": "float", "response_time": "float", "priority": "integer", "version": "integer"}
 
 
 def groups(line: Column, pattern: Pattern) -> Column:
-    """A map of the pattern's named groups; the expression runs once for all of them."""
+    """A map of the pattern's named groups; the expression runs once for all of them, but for lines that hold the mark between groups."""
     regex, names = pattern
-    parts = F.split(F.regexp_replace(line, f"(?s){regex}" if regex.endswith("$") else f"(?s){regex}.*$", "\x01".join(f"${i + 1}" for i in range(len(names)))), "\x01", -1)
+    joined = F.regexp_replace(line, f"(?s){regex}" if regex.endswith("$") else f"(?s){regex}.*$", _MARK.join(f"${i + 1}" for i in range(len(names))))
+    each = F.array(*[F.regexp_extract(line, f"(?s){regex}", i + 1) for i in range(len(names))])
+    parts = F.when(F.contains(line, F.lit(_MARK)), each).otherwise(F.split(joined, _MARK, -1))
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), parts)
 
 
@@ -87,5 +98,15 @@ def pairs(line: Column, kind: str) -> Column:
         regex = r"""([A-Za-z_][\w.-]*) ?(?:=|:) ?("[^"]*"|'[^']*'|[^\s,;]+)"""
         keys, values = (F.regexp_extract_all(line, F.lit(regex), F.lit(i)) for i in (1, 2))
         keyed = F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.regexp_replace(F.get(values, i), r"""^["']|["']$""", "").alias("v")))
-    last = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, i + 2, F.greatest(F.size(keyed), F.lit(1))), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    return last_of_keys(keyed)
+
+
+def last_of_keys(keyed: Column) -> Column:
+    """A map from an array of structs (``k``, ``v``); of equal keys the last counts."""
+
+    def once(xs: Column) -> Column:  # the array is worked out once, under the name of an element
+        keys = F.transform(xs, lambda x: x["k"])
+        last = F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, i + 2, F.size(xs)), lambda y: y["k"] == x["k"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(xs), xs).otherwise(last))
+
+    return F.get(F.transform(F.array(keyed), once), F.lit(0))

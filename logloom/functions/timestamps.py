@@ -54,6 +54,8 @@ SHAPES = (
     Shape("time_only", rf"\b{_T}(?:{_F})?\b", "time:HH:mm:ss[.SSSSSS]", 0.35, "low", False, True),
 )
 BY_NAME = {s.name: s for s in SHAPES}
+#: All shapes at once: at every place the first shape in order that stands there.
+ANY = r"\b(?=\d\d|[A-Z][a-z]{2})(?:" + "|".join(s.regex for s in SHAPES) + ")"
 
 
 def parse_shape(text: Column, shape: Shape, now: datetime) -> Column:
@@ -103,14 +105,19 @@ def _reader(shape: Shape, now: datetime):
     return read
 
 
+def _read_any(x: Column, now: datetime, shapes: tuple[Shape, ...] = SHAPES) -> Column:
+    """The reading of the first shape that the whole text has, null if it has none."""
+    out = F.lit(None)
+    for shape in reversed(shapes):
+        out = F.when(x.rlike(f"^(?:{shape.regex})$"), _reader(shape, now)(x)).otherwise(out)
+    return out
+
+
 def detect_timestamps(text: Column, now: datetime) -> Column:
-    """All timestamps in a text, the surest first; equal ones by time. What one shape takes, later ones don't see."""
-    found, rest = [], F.coalesce(text, F.lit(""))
-    for shape in SHAPES:
-        hits = F.regexp_extract_all(rest, F.lit(shape.regex), F.lit(0))
-        found.append(F.filter(F.transform(hits, _reader(shape, now)), lambda x: x["ts"].isNotNull()))
-        rest = F.regexp_replace(rest, shape.regex, "\x01")
-    keyed = F.transform(F.concat(*found), lambda x: F.struct((-x["confidence"]).alias("k"), x["ts"].alias("t"), x.alias("x")))
+    """All timestamps in a text, the surest first; equal ones by time. Spans don't overlap: the text is gone through once."""
+    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0))
+    found = F.filter(F.transform(hits, lambda x: _read_any(x, now)), lambda x: x["ts"].isNotNull())
+    keyed = F.transform(found, lambda x: F.struct((-x["confidence"]).alias("k"), x["ts"].alias("t"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda x: x["x"])
 
 
@@ -123,11 +130,16 @@ def extract_timestamps(text: Column, now: datetime, least: float = 0.5) -> Colum
 
 
 def read_timestamp(text: Column, now: datetime, shapes: tuple[str, ...]) -> Column:
-    """The timestamp of a column whose shapes are known: the first that the whole text has."""
-    out = F.lit(None)
-    for name in reversed(shapes):
-        shape = BY_NAME[name]
-        out = F.when(text.rlike(f"^(?:{shape.regex})$"), _reader(shape, now)(text)).otherwise(out)
+    """The timestamp of a column whose usual shapes are known; a text of another shape is searched like any."""
+    known = _read_any(text, now, tuple(BY_NAME[name] for name in shapes))
+    return F.when(text.isNotNull(), F.coalesce(known, best_timestamp(text, now)))
+
+
+def whole_shape(text: Column) -> Column:
+    """The name of the first shape that the whole text has, null if it has none."""
+    out = F.lit(None).cast("string")
+    for s in reversed(SHAPES):
+        out = F.when(text.rlike(f"^(?:{s.regex})$"), F.lit(s.name)).otherwise(out)
     return out
 
 

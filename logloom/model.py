@@ -35,6 +35,17 @@ class Detection:
         return tuple(f.name for f in self.fields)
 
 
+def distinct_names(names: list[str]) -> tuple[str, ...]:
+    """The names in order, later ones of equal names numbered: a, b, a gives a, b, a_2."""
+    out: list[str] = []
+    for n in names:
+        k = 1
+        while (name := n if k == 1 else f"{n}_{k}") in out:
+            k += 1
+        out.append(name)
+    return tuple(out)
+
+
 def fields_of(**kinds: str) -> tuple[Field, ...]:
     """Fields by name and type; the type ``timestamp`` marks the line's time."""
     return tuple(Field(k, "string" if v == "timestamp" else v, v == "timestamp") for k, v in kinds.items())

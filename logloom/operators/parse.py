@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import LEVELS, PATTERNS, first_match, pairs
+from ..functions.patterns import LEVELS, PATTERNS, first_match, last_of_keys, pairs
 from ..functions.timestamps import best_timestamp, read_timestamp
 from ..functions.values import convert, strip
-from ..model import Detection, Field
+from ..model import Detection, Field, distinct_names
 
 _WEB = ("apache_common", "apache_combined", "apache_extended", "nginx_access", "nginx_error", "generic_web")
+_DELIMITED, _FREE = ("csv", "custom_delimited"), ("python_log", "basic_log")
 _MAP = "map<string,string>"
 
 
-def _json(line: Column, names: tuple[str, ...]) -> Column:
-    values = F.from_json(line, _MAP)
-    trimmed = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(values), lambda e: F.struct(strip(e["key"]).alias("key"), e["value"].alias("value")))))
-    return F.when(F.get_json_object(line, "$").isNotNull() & line.rlike(r"^\s*\{"), trimmed)
+def _json(line: Column) -> Column:
+    """An object's members by trimmed keys; of equal ones the last counts."""
+    entries = F.transform(F.map_entries(F.from_json(line, _MAP)), lambda e: F.struct(strip(e["key"]).alias("k"), e["value"].alias("v")))
+    return F.when(line.rlike(r"^\s*\{"), last_of_keys(entries))
 
 
-def _split(line: Column, detection: Detection) -> Column:
-    delimiter = detection.metadata.get("delimiter", "," if detection.format == "csv" else "|")
-    if detection.format == "csv":
-        schema = ", ".join(f"c{i} string" for i in range(len(detection.fields)))
-        row = F.from_csv(line, schema, {"sep": delimiter, "mode": "PERMISSIVE"})
-        parts = F.array(*[F.coalesce(row[f"c{i}"], F.lit("")) for i in range(len(detection.fields))])
-        n = F.size(F.split(line, "\\Q" + delimiter + "\\E", -1))
-        parts = F.slice(parts, 1, F.greatest(F.lit(0), F.least(n, F.size(parts))))
-    else:
+def delimiter_of(detection: Detection) -> str:
+    """The known delimiter; else the one that cuts the first sample line best into as many values as there are fields."""
+    if "delimiter" in detection.metadata:
+        return detection.metadata["delimiter"]
+    usual = (",", ";", "\t", "|") if detection.format == "csv" else ("|", ";", "\t", ",", ":", " ")
+    if not detection.samples:
+        return usual[0]
+    hits = {d: detection.samples[0].count(d) for d in usual}
+    return max(usual, key=lambda d: hits[d] / (1 + abs(hits[d] + 1 - len(detection.fields))))
+
+
+def _parts(line: Column, detection: Detection) -> tuple[Column, Column]:
+    """The values between delimiters, as many as there are fields at most, and how many there are."""
+    delimiter = delimiter_of(detection)
+    if detection.format != "csv":
         parts = F.split(line, "\\Q" + delimiter + "\\E", -1)
-    names = F.array(*[F.lit(n) for n in detection.names])
-    k = F.least(F.size(parts), F.size(names))
+        return parts, F.size(parts)
+    d = re.escape(delimiter)
+    width = len(detection.fields)
+    row = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'})
+    n = F.regexp_count(F.concat(F.lit(delimiter), line), F.lit(f'{d}(?:"(?:[^"]|"")*"[^{d}]*|[^{d}]*)'))
+    return F.array(*[F.coalesce(row[f"c{i}"], F.lit("")) for i in range(width)]), n
+
+
+def _split(line: Column, detection: Detection) -> Column:
+    parts, n = _parts(line, detection)
+    names = F.array(*[F.lit(n) for n in distinct_names(list(detection.names))])
+    k = F.least(n, F.size(names))
     return F.map_from_arrays(F.slice(names, 1, k), F.transform(F.slice(parts, 1, k), strip))
 
 
@@ -41,12 +59,11 @@ def extract(line: Column, detection: Detection) -> Column:
     """The line's fields as a map of texts, null if the line isn't of the format."""
     kind = detection.metadata.get("patterns", detection.format)
     if kind == "json":
-        return _json(line, detection.names)
+        return _json(line)
     if kind in ("csv", "custom_delimited"):
         return _split(line, detection)
     if kind in ("key_value", "ltsv"):
-        found = pairs(line, kind)
-        return F.when(F.size(found) > 0, found)
+        return F.get(F.filter(F.array(pairs(line, kind)), lambda m: F.size(m) > 0), F.lit(0))
     if kind in PATTERNS:
         return first_match(line, PATTERNS[kind])
     raise ValueError(f"no parser for format {detection.format!r}")
@@ -68,33 +85,61 @@ def derived(fields: Column, kind: str) -> Column:
 def parse(lines: DataFrame, detection: Detection, now: datetime, derive: bool = False) -> DataFrame:
     """Entries: the line with ``fields``, ``ts`` (as written) and its offset, format and confidence, ``parse_errors``, ``is_malformed``, ``confidence``.
 
-    Blank lines are no entries. Every missing or unreadable field is an error; an error
-    makes the entry malformed and takes 0.2 off its confidence, down to 0.1.
+    Blank lines are no entries. Every missing or unreadable field is an error, and so are
+    values beyond the fields of a delimited line; an error makes the entry malformed and
+    takes 0.2 off its confidence, down to 0.1. No line ends the job: one that isn't of the
+    format is an entry with an error. Keys are found whatever their case, exact ones first.
+    A line of an application log that matches no pattern is the message.
     """
     kind = detection.metadata.get("patterns", detection.format)
     if kind == "systemd_journal":
-        return parse_journal(lines, detection)
+        return parse_journal(lines, detection, now)
     line = F.col("raw_line")
     rows = lines.filter(strip(line) != "").withColumn("raw_line", strip(line))
     if kind == "csv":
-        delimiter = detection.metadata.get("delimiter", ",")
-        rows = rows.filter(line != delimiter.join(detection.names))  # the header
+        rows = rows.filter(line != detection.metadata.get("header", delimiter_of(detection).join(detection.names)))
     rows = rows.withColumn("_all", extract(line, detection))
     if derive:
         rows = rows.withColumn("_all", derived(F.col("_all"), kind))
-    wanted = F.array(*[F.lit(n) for n in detection.names])
-    keep = F.map_filter(F.col("_all"), lambda k, v: (F.array_contains(wanted, k) if detection.fields and not derive else F.lit(True)) & v.isNotNull())
-    rows = rows.withColumn("fields", F.coalesce(keep, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    names = distinct_names(list(detection.names)) if kind in _DELIMITED else detection.names
+    rows = rows.withColumn("fields", _wanted(F.col("_all"), names, kind, derive))
+    free = kind in _FREE
+    if free:  # the whole line is the message, and the timestamp's text if it has one
+        best = best_timestamp(line, now)
+        told = [n for n in ("timestamp", "message") if n in detection.names or not detection.fields]
+        texts = F.map_from_entries(F.array_compact(F.array(*[F.when(best.isNotNull() if n == "timestamp" else F.lit(True), F.struct(F.lit(n).alias("key"), line.alias("value"))) for n in told]))) if told else F.col("fields")
+        rows = rows.withColumn("fields", F.when(F.col("_all").isNull(), texts).otherwise(F.col("fields")))
     stamp = next((f.name for f in detection.fields if f.is_timestamp), None)
     source = F.col("fields")[stamp] if stamp else (F.array_join(F.map_values("fields"), " ") if kind not in PATTERNS else line)
-    shapes = detection.metadata.get("stamps")  # known shapes of the field; free text goes through all
+    if free and stamp:
+        source = F.when(F.col("_all").isNull(), line).otherwise(source)
+    shapes = detection.metadata.get("stamps")  # usual shapes of the field
     rows = rows.withColumn("_ts", read_timestamp(source, now, tuple(shapes.split(","))) if shapes and stamp else best_timestamp(source, now))
     # patterns of one format differ in their fields: only the other formats know what each line must have
-    required = [f for f in detection.fields if kind not in PATTERNS]
+    required = names if kind not in PATTERNS else ()
     failed = F.when(F.col("_all").isNull(), F.lit("line does not match the format"))
-    missing = [F.when(F.col("_all").isNotNull() & ~F.map_contains_key("fields", F.lit(f.name)), F.lit(f"missing field {f.name}")) for f in required]
+    missing = [F.when(F.col("_all").isNotNull() & ~F.map_contains_key("fields", F.lit(n)), F.lit(f"missing field {n}")) for n in required]
     unread = F.when(F.col("fields")[stamp].isNotNull() & F.col("_ts").isNull(), F.lit(f"unreadable timestamp in {stamp}")) if stamp else F.lit(None).cast("string")
-    return _entries(rows.withColumn("parse_errors", F.array_compact(F.array(failed, *missing, unread))))
+    extra = F.lit(None).cast("string")
+    if kind in _DELIMITED and detection.fields:
+        more = _parts(line, detection)[1] - len(names)
+        extra = F.when(more > 0, F.concat(more.cast("string"), F.lit(" values too many")))
+    return _entries(rows.withColumn("parse_errors", F.array_compact(F.array(failed, *missing, extra, unread))))
+
+
+def _wanted(found: Column, names: tuple[str, ...], kind: str, derive: bool) -> Column:
+    """The fields of the schema, all if there is none; a null map is an empty one."""
+    if names and not derive and kind in ("key_value", "ltsv"):
+        other = lambda n: F.get(F.map_values(F.map_filter(found, lambda k, v: F.lower(k) == n.lower())), F.lit(0))
+        found = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.coalesce(found[n], other(n)) for n in names]))
+    wanted = F.array(*[F.lit(n) for n in names])
+    keep = F.map_filter(found, lambda k, v: (F.array_contains(wanted, k) if names and not derive else F.lit(True)) & v.isNotNull())
+    return F.coalesce(keep, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
+def parse_line(spark, text: str, detection: Detection, now: datetime) -> DataFrame:
+    """The entry of a single line, without a number."""
+    return parse(spark.createDataFrame([(None, None, text)], "source_file string, line_number bigint, raw_line string"), detection, now)
 
 
 def _entries(rows: DataFrame) -> DataFrame:
@@ -105,19 +150,42 @@ def _entries(rows: DataFrame) -> DataFrame:
     )
 
 
-def parse_journal(lines: DataFrame, detection: Detection) -> DataFrame:
-    """Blocks of ``KEY=value`` lines between blank ones; an entry stands at its block's first line."""
-    blank = (strip(F.col("raw_line")) == "").cast("int")
-    numbered = lines.withColumn("_block", F.sum(blank).over(Window.partitionBy("source_file").orderBy("line_number")))
-    blocks = numbered.filter(blank == 0).groupBy("source_file", "_block").agg(F.sort_array(F.collect_list(F.struct("line_number", "raw_line"))).alias("rows"))
-    good = F.filter("rows", lambda r: r["raw_line"].rlike(r"^[A-Z_][A-Z0-9_]*="))
-    entries = F.transform(good, lambda r: F.struct(F.substring_index(r["raw_line"], "=", 1).alias("key"), F.regexp_replace(r["raw_line"], "(?s)^[^=]*=", "").alias("value")))
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda y: y["key"] == x["key"]))
-    out = blocks.withColumn("fields", F.map_from_entries(last)).withColumn("line_number", F.get("rows", F.lit(0))["line_number"]).withColumn("raw_line", F.array_join(F.transform("rows", lambda r: r["raw_line"]), "\n"))
-    micros = F.col("fields")["__REALTIME_TIMESTAMP"].try_cast("bigint")
+#: Lines that share one running count of blank lines.
+_CHUNK_LINES = 50_000
+
+
+def parse_journal(lines: DataFrame, detection: Detection, now: datetime) -> DataFrame:
+    """Blocks of ``KEY=value`` lines between blank ones; an entry stands at its block's first line.
+
+    A block of one line without ``=`` is read in the short form, time, host and service
+    before the message. Blocks are numbered by chunks of lines, so one large file is many
+    tasks' work.
+    """
+    blank = (strip(F.col("raw_line")) == "").cast("long")
+    numbered = lines.select("source_file", "line_number", "raw_line", blank.alias("_blank"), F.floor(F.col("line_number") / _CHUNK_LINES).alias("_chunk"))
+    chunks = numbered.groupBy("source_file", "_chunk").agg(F.sum("_blank").alias("_n"))
+    before = chunks.select("source_file", "_chunk", F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.sum("_blank").over(Window.partitionBy("source_file", "_chunk").orderBy("line_number"))
+    placed = numbered.withColumn("_inner", inner).join(before, ["source_file", "_chunk"]).filter("_blank = 0")
+    blocks = placed.groupBy("source_file", (F.col("_inner") + F.col("_before")).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("line_number", "raw_line"))).alias("rows"))
+    text = lambda r: strip(r["raw_line"])
+    keyed = r"^[A-Z_][A-Z0-9_]*="
+    good = F.filter("rows", lambda r: text(r).rlike(keyed))
+    entries = F.transform(good, lambda r: F.struct(F.substring_index(text(r), "=", 1).alias("k"), F.regexp_replace(text(r), "(?s)^[^=]*=", "").alias("v")))
+    whole = F.array_join(F.transform("rows", text), "\n")
+    out = blocks.select("source_file", F.get("rows", F.lit(0))["line_number"].alias("line_number"), whole.alias("raw_line"), "rows", last_of_keys(entries).alias("_keys"), ((F.size("rows") == 1) & ~F.contains(whole, F.lit("="))).alias("_short"))
+    short = first_match(F.col("raw_line"), PATTERNS["journal_short"])
+    out = out.withColumn("_all", F.when(F.col("_short"), short).otherwise(F.col("_keys")))
+    known = [n for n in detection.names]
+    message = F.create_map(F.lit("message"), F.col("raw_line")) if "message" in known or not known else F.col("_keys")
+    keep = F.map_filter("_all", lambda k, v: F.array_contains(F.array(*[F.lit(n) for n in known]), k) if known else F.lit(True))
+    out = out.withColumn("fields", F.when(F.col("_all").isNull(), message).otherwise(keep))
+    micros = F.col("_all")["__REALTIME_TIMESTAMP"].try_cast("bigint")
     ts = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(micros).cast("timestamp_ntz"))
-    out = out.withColumn("_ts", F.when(micros.isNotNull(), F.struct(ts.alias("ts"), F.lit(0).alias("offset_min"), F.lit("unix_microseconds").alias("format"), F.lit(0.81).alias("confidence"))))
-    errors = F.transform(F.filter("rows", lambda r: ~r["raw_line"].rlike(r"^[A-Z_][A-Z0-9_]*=")), lambda r: F.concat(F.lit("not a journal field: "), r["raw_line"]))
+    stamped = F.when(micros.isNotNull(), F.struct(ts.alias("ts"), F.lit(0).alias("offset_min"), F.lit("unix_microseconds").alias("format"), F.lit(0.81).alias("confidence")))
+    out = out.withColumn("_ts", F.when(F.col("_short"), best_timestamp(F.col("_all")["timestamp"], now)).otherwise(stamped))
+    errors = F.transform(F.filter("rows", lambda r: ~text(r).rlike(keyed)), lambda r: F.concat(F.lit("not a journal field: "), text(r)))
+    errors = F.when(~F.col("_short"), errors).when(F.col("_all").isNull(), F.array(F.lit("line does not match the short form"))).otherwise(F.array().cast("array<string>"))
     return _entries(out.withColumn("parse_errors", errors))
 
 
