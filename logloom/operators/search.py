@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ("source_file", "line_number")
@@ -91,6 +91,24 @@ def text_condition(text: str) -> Column:
     return F.contains(F.lower("raw_line"), t) | F.exists(F.map_values("fields"), lambda v: F.contains(F.lower(v), t))
 
 
+def java_regex(pattern: str) -> str | None:
+    """A pattern of Python's dialect in Java's, null if either can't read it. Named groups get plain names."""
+    try:
+        names = sorted(re.compile(pattern).groupindex, key=len, reverse=True)
+    except re.error:
+        return None
+    for k, n in enumerate(names):
+        pattern = pattern.replace(f"(?P<{n}>", f"(?<group{k}>").replace(f"(?P={n})", f"\\k<group{k}>")
+    pattern = pattern.replace(r"\Z", r"\z")
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:  # Py4J wraps Java's PatternSyntaxException
+        if "PatternSyntaxException" not in str(e):
+            raise
+        return None
+    return pattern
+
+
 def filter_condition(f: SearchFilter) -> Column:
     value = F.col("fields")[f.field]
     fold = (lambda c: c) if f.case_sensitive else F.lower
@@ -100,11 +118,10 @@ def filter_condition(f: SearchFilter) -> Column:
     elif f.operator == "equals":
         test = fold(value) == wanted
     elif f.operator == "regex":
-        try:
-            re.compile(f.value)
-        except re.error:
+        regex = java_regex(f.value)
+        if regex is None:
             return F.lit(False)
-        test = value.rlike(f.value if f.case_sensitive else f"(?iu){f.value}")
+        test = value.rlike(regex if f.case_sensitive else f"(?iu){regex}")
     elif f.operator in ("gt", "lt", "gte", "lte"):
         try:
             bound = float(f.value)
@@ -160,10 +177,24 @@ class SearchResult:
         return facets(self.page if scope == "page" else self.matches, most)
 
 
+def held(entries: DataFrame, *names: str) -> DataFrame:
+    """The entries with some columns worked out once, so that a filter on them doesn't parse lines again.
+
+    Without this step filters move below the parser and take a copy of it for each mention.
+    """
+    rest = [c for c in entries.columns if c not in names]
+    return entries.select(*rest, F.inline(F.array(F.struct(*names)))).select(*entries.columns)
+
+
+def _read_by(query: SearchQuery) -> list[str]:
+    return (["fields"] if query.text or query.filters else []) + (["ts", "ts_offset_min"] if query.time else [])
+
+
 def search(entries: DataFrame, query: SearchQuery, now: datetime) -> SearchResult:
     if query.offset < 0 or (query.limit or 0) < 0:
         raise ValueError("offset and limit can't be negative")
-    found = entries.filter(condition(query, now))
+    names = _read_by(query)
+    found = (held(entries, *names) if names else entries).filter(condition(query, now))
     page = found.orderBy(*ORDER)
     page = page.offset(query.offset) if query.offset else page
     return SearchResult(found, page.limit(query.limit) if query.limit else page, query)
@@ -191,13 +222,34 @@ def search_errors(entries: DataFrame, now: datetime, limit: int = 100, http_5xx:
     five = SearchFilter("status", "regex", "^5") if http_5xx else SearchFilter("status", "contains", "5")
     tests = [SearchFilter("level", "equals", "error"), SearchFilter("severity", "equals", "error"), five]
     turn = F.when(filter_condition(tests[0]), 0).when(filter_condition(tests[1]), 1).when(filter_condition(tests[2]), 2)
-    return entries.withColumn("priority", turn).filter("priority is not null").orderBy("priority", *ORDER).limit(limit)
+    return held(entries, "fields").withColumn("priority", turn).filter("priority is not null").orderBy("priority", *ORDER).limit(limit)
 
 
 def search_by_ip(entries: DataFrame, ip: str, limit: int = 100) -> DataFrame:
     """Entries whose client_ip, else remote_addr, else ip is the address, else that mention it: the first kind that has any."""
     kinds = [filter_condition(SearchFilter(f, "equals", ip)) for f in ("client_ip", "remote_addr", "ip")]
     kinds.append(text_condition(ip))
-    hits = entries.select("*", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(kinds)]))).alias("kind"))
+    hits = held(entries, "fields").select("*", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(kinds)]))).alias("kind"))
     best = hits.agg(F.min("kind").alias("best"))
     return hits.join(F.broadcast(best), F.col("kind") == F.col("best")).drop("best").orderBy(*ORDER).limit(limit)  # one row
+
+
+def results_table(entries: DataFrame, names: list[str] | None = None, most: int = 8, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page as rows of text: ``number``, ``time`` (``MM-dd HH:mm`` or ``No Time``) and the first ``most`` fields by name, blank where missing.
+
+    Without ``names`` the fields are those that occur on the page.
+    """
+    page = _page(entries, limit, offset)
+    if names is None:
+        names = [r["field"] for r in page.select(F.explode(F.map_keys("fields")).alias("field")).distinct().orderBy("field").limit(most).collect()]
+    return page.select("number", F.coalesce(F.date_format("ts", "MM-dd HH:mm"), F.lit("No Time")).alias("time"), *[F.coalesce(F.col("fields")[n], F.lit("")).alias(n) for n in sorted(names)[:most]])
+
+
+def raw_view(entries: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page's lines with their numbers."""
+    return _page(entries, limit, offset).select("number", "raw_line")
+
+
+def _page(entries: DataFrame, limit: int, offset: int) -> DataFrame:
+    page = entries.orderBy(*ORDER).offset(offset).limit(limit)
+    return page.withColumn("number", F.row_number().over(Window.orderBy(*ORDER)).cast("long") + offset)  # ``limit`` rows
