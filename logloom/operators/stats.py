@@ -6,36 +6,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Detection
-from .parse import parse_statistics
+from .parse import extraction_rates, parse_statistics
 
 
-def field_profile(entries: DataFrame, most: int = 5) -> DataFrame:
-    """For each field: presence and its rate, nulls (empty texts) and their rate, distinct values, the most frequent ones."""
+def field_profile(entries: DataFrame, most: int = 5, detection: Detection | None = None) -> DataFrame:
+    """For each field: presence and its rate, nulls (empty texts) and their rate, distinct values, the most frequent ones.
+
+    With a detection also its type, confidence and whether it is a time, and fields of the
+    schema that never occur.
+    """
     total = entries.agg(F.count(F.lit(1)).alias("entries"))
     each = entries.select("source_file", "line_number", F.explode("fields").alias("field", "value"))
     values = each.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_file", "line_number")).alias("first"))
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "first")))
-    top = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "value", "n")))))
-    out = ranked.groupBy("field").agg(F.sum("n").alias("present"), F.sum(F.when(F.col("value") == "", F.col("n")).otherwise(0)).alias("nulls"), F.count(F.lit(1)).alias("distinct_values"), top.alias("top"))
-    return out.join(F.broadcast(total)).select("field", "present", (F.col("present") / F.col("entries")).alias("extraction_rate"), (F.col("nulls") / F.col("entries")).alias("null_rate"), "distinct_values", F.transform("top", lambda x: F.struct(x["value"], x["n"])).alias("top_values"))
+    # Spark keeps the first rows of each field in every task before it sorts a field's values
+    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "first"))).filter(F.col("rank") <= most)
+    top = ranked.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"], x["n"])).alias("top_values"))
+    out = values.groupBy("field").agg(F.sum("n").alias("present"), F.sum(F.when(F.col("value") == "", F.col("n")).otherwise(0)).alias("nulls"), F.count(F.lit(1)).alias("distinct_values")).join(top, "field")
+    columns = ["field", "present", "extraction_rate", "null_rate", "distinct_values", "top_values"]
+    if detection is not None:
+        known = entries.sparkSession.createDataFrame([(f.name, f.data_type, float(f.confidence), f.is_timestamp) for f in detection.fields], "field string, data_type string, confidence double, is_timestamp boolean")
+        out = out.join(known, "field", "full").fillna(0, ["present", "nulls", "distinct_values"]).withColumns({"data_type": F.coalesce("data_type", F.lit("string")), "confidence": F.coalesce("confidence", F.lit(0.0)), "is_timestamp": F.coalesce("is_timestamp", F.lit(False))})
+        columns += ["data_type", "confidence", "is_timestamp"]
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("entries")), F.lit(0.0))
+    return out.join(F.broadcast(total)).withColumns({"extraction_rate": share("present"), "null_rate": share("nulls")}).select(*columns)  # one row
 
 
 def hourly(entries: DataFrame) -> DataFrame:
-    return entries.filter("ts is not null").groupBy(F.hour("ts").cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return entries.groupBy(F.hour("ts").cast("long").alias("hour")).agg(F.count("ts").alias("n")).filter("hour is not null")
 
 
 def daily(entries: DataFrame) -> DataFrame:
-    return entries.filter("ts is not null").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return entries.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("ts").alias("n")).filter("day is not null")
 
 
 def time_series(entries: DataFrame) -> DataFrame:
-    """Number, range in seconds, entries a second (0 without a range), peak hour and day (the earliest of equal ones)."""
-    stamped = entries.filter("ts is not null")
-    span = stamped.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    seconds = F.timestamp_diff("MICROSECOND", "first_ts", "last_ts") / 1e6
-    span = span.withColumn("seconds", seconds).withColumn("per_second", F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("seconds")), F.lit(0.0)))
-    peak = lambda key, name: stamped.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"), F.min("ts").alias("t")).agg(F.max_by("k", F.struct("c", -F.unix_micros(F.col("t").cast("timestamp")))).alias(name))
-    return span.join(F.broadcast(peak(F.hour("ts").cast("long"), "peak_hour"))).join(F.broadcast(peak(F.date_format("ts", "yyyy-MM-dd"), "peak_day")))  # one row each
+    """Number, range in seconds, entries a second (0 without a range), peak hour and day (the earliest of equal ones).
+
+    Entries are counted once, by day and hour; all figures follow from those counts.
+    """
+    counts = entries.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").cast("long").alias("hour")).agg(F.count("ts").alias("c"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    # both kinds of buckets from the counts: days, hours, and everything
+    each = counts.select("c", "lo", "hi", F.explode(F.array(F.struct(F.lit("day").alias("kind"), F.col("day").alias("key")), F.struct(F.lit("hour").alias("kind"), F.col("hour").cast("string").alias("key")), F.struct(F.lit("all").alias("kind"), F.lit("").alias("key")))).alias("b")).filter("c > 0")
+    sums = each.groupBy("b").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = lambda kind: F.max(F.when(F.col("b.kind") == kind, F.struct("c", (-F.unix_micros(F.col("lo").cast("timestamp"))).alias("t"), F.col("b.key").alias("key"))))["key"]
+    whole = lambda c: F.max(F.when(F.col("b.kind") == "all", F.col(c)))
+    out = sums.agg(F.coalesce(whole("c"), F.lit(0)).alias("n"), whole("lo").alias("first_ts"), whole("hi").alias("last_ts"), best("hour").cast("long").alias("peak_hour"), best("day").alias("peak_day"))
+    out = out.withColumn("seconds", F.timestamp_diff("MICROSECOND", "first_ts", "last_ts") / 1e6)
+    return out.withColumn("per_second", F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("seconds")), F.lit(0.0)))
 
 
 def quality_score(detection: F.Column, success: F.Column, extraction: F.Column, confidence: F.Column):
@@ -74,7 +91,10 @@ def file_details(entries: DataFrame, detection: Detection) -> DataFrame:
 
 
 def recommendations(files: DataFrame) -> DataFrame:
-    """Up to five hints for each row of file statistics with its details, in a fixed order of rules."""
+    """Up to five hints for each row of file statistics with its details, in a fixed order of rules.
+
+    A row without a detection or without entries has one: there isn't enough to say.
+    """
     c = {f: (F.col(f) if f in files.columns else F.lit(None)) for f in ("poor_fields", "null_fields", "n_timestamp_fields", "n_low_fields", "n_high_fields", "top_error_share")}
     rules = F.array(
         F.when(F.col("detection_confidence") < 0.7, F.lit("check the detected format")),
@@ -85,7 +105,36 @@ def recommendations(files: DataFrame) -> DataFrame:
         F.when(c["n_low_fields"] > c["n_high_fields"], F.lit("most fields are uncertain")),
         F.when(c["top_error_share"] > 0.1, F.lit("one kind of error is frequent")),
     )
-    return files.withColumn("recommendations", F.slice(F.array_compact(rules), 1, 5))
+    nothing = F.col("detection_confidence").isNull() | F.col("success_rate").isNull()
+    return files.withColumn("recommendations", F.when(nothing, F.array(F.lit("not enough data"))).otherwise(F.slice(F.array_compact(rules), 1, 5)))
+
+
+def aggregate_results(entries: DataFrame, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Parse results of all sources together.
+
+    ``totals``: one row of summed counts and errors, the success rate over all lines and the
+    mean of the sources' mean confidences; ``rates``: for each field the mean of the sources'
+    rates, and how many lines that would be.
+    """
+    files, rates = parse_statistics(entries), extraction_rates(entries, names)
+    classes = ("timestamp_parsing", "field_extraction", "format_mismatch", "type_conversion", "other")
+    sums = ("total_lines", "parsed_lines", "malformed_lines", *classes)
+    totals = files.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.avg("mean_confidence").alias("mean_confidence"))
+    totals = totals.withColumn("success_rate", F.coalesce(F.try_divide(F.col("parsed_lines"), F.col("total_lines")), F.lit(0.0)))
+    lines = totals.select(F.col("total_lines").alias("_lines"))
+    means = rates.groupBy("field").agg(F.avg("rate").alias("rate")).join(F.broadcast(lines))  # one row
+    return {"totals": totals, "rates": means.select("field", "rate", F.floor(F.col("rate") * F.col("_lines")).alias("extracted"))}
+
+
+def best_detection(detections: dict[str, Detection]) -> Detection | None:
+    """The surest detection of several sources, the first of equal ones."""
+    return max(detections.values(), key=lambda d: d.confidence, default=None)
+
+
+def format_statistics(detection: Detection) -> dict:
+    """Format, confidence, and how many fields there are, are times, are sure (0.8) and unsure (under 0.5); and sample lines."""
+    sure = [f.confidence for f in detection.fields]
+    return {"format": detection.format, "confidence": detection.confidence, "n_fields": len(sure), "n_timestamp_fields": sum(f.is_timestamp for f in detection.fields), "n_high_fields": sum(c >= 0.8 for c in sure), "n_low_fields": sum(c < 0.5 for c in sure), "n_samples": len(detection.samples)}
 
 
 def global_insights(files: DataFrame) -> DataFrame:
