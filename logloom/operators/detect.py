@@ -9,12 +9,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import PATTERNS, TYPES, pairs
-from ..functions.timestamps import SHAPES
+from ..functions.patterns import PATTERNS, TYPES, Pattern, pairs
+from ..functions.timestamps import ANY, BY_NAME, whole_shape
 from ..functions.values import infer_type, strip
-from ..model import Detection, Field
+from ..model import Detection, Field, distinct_names
 from .parse import extract
 
+
 def _line() -> Column:
     return F.col("raw_line")
 
@@ -25,7 +26,17 @@ THRESHOLDS = {
     "json": 0.8, "syslog": 0.7, "python_log": 0.8, "systemd_journal": 0.6, "apache_combined": 0.7, "apache_common": 0.7, "apache_extended": 0.7, "nginx_error": 0.7, "nginx_access": 0.7,
     "ltsv": 0.7, "csv": 0.6, "generic_web": 0.6, "basic_log": 0.7, "custom_delimited": 0.5, "key_value": 0.6,
 }
-_STAMP = "|".join(s.regex for s in SHAPES)
+#: Formats that callers have added.
+_ADDED: list[str] = []
+
+
+def register_format(name: str, patterns: tuple[Pattern, ...], threshold: float = 0.7) -> None:
+    """Add a format: lines that one of the patterns (a regular expression and the names of its groups) has are of it."""
+    if name in THRESHOLDS and name not in _ADDED:
+        raise ValueError(f"{name} is a format already")
+    PATTERNS[name], THRESHOLDS[name] = tuple(patterns), threshold
+    if name not in _ADDED:
+        _ADDED.append(name)
 
 
 def _any(kind: str, patterns: slice = slice(None)) -> Column:
@@ -51,7 +62,7 @@ def line_tests() -> dict[str, Column]:
         "generic_web": _any("generic_web"),
         "basic_log": _any("basic_log"),
         "key_value": F.size(pairs(_line(), "key_value")) >= 2,
-    }
+    } | {name: _any(name) for name in _ADDED}
 
 
 def scores(lines: DataFrame, sample: int = 100) -> DataFrame:
@@ -103,55 +114,85 @@ def sniff_csv(sample: list[str]) -> tuple[str, float] | None:
     try:
         delimiter = csv.Sniffer().sniff("\n".join(rows), ",;\t|").delimiter
     except csv.Error:
-        return None
+        # the delimiter that the first lines have most of, if they have much the same
+        counts = {d: {x.count(d) for x in rows[:5]} for d in ",;\t|"}
+        even = [d for d, n in counts.items() if len(n) <= 2 and max(n) > 0]
+        if not even:
+            return None
+        delimiter = max(even, key=lambda d: max(counts[d]))
     having = sum(delimiter in x for x in rows)
     return (delimiter, min((len(rows) - 1) / len(rows) + 0.2, 1.0)) if having >= max(3, len(rows) / 2) else None
 
 
 def field_schema(lines: DataFrame, detection: Detection) -> DataFrame:
-    """``field``, ``data_type``, ``frequency``, ``is_timestamp``, ``samples`` (10 distinct at most), ``confidence``, in first-seen order.
+    """``source_file``, ``field``, ``data_type``, ``frequency``, ``is_timestamp``, ``samples`` (the first 10 distinct), ``confidence``, ``stamps``, in first-seen order.
 
-    A type is that of the first value that is neither empty nor ``-``; web and syslog numbers are fixed.
+    A type is that of the first value that is neither empty nor ``-``; web and syslog numbers
+    are fixed. ``stamps`` are the shapes of timestamps that whole values have.
     """
-    at = F.struct("source_file", "line_number")
-    each = lines.withColumn("raw_line", strip(_line())).filter("raw_line <> ''").withColumn("_all", extract(_line(), detection)).select("source_file", "line_number", F.posexplode("_all").alias("at", "field", "value"))
+    full = lines.withColumn("raw_line", strip(_line())).filter("raw_line <> ''")
+    each = full.withColumn("_all", extract(_line(), detection)).select("source_file", "line_number", F.posexplode("_all").alias("at", "field", "value"))
     each = each.filter(F.col("value").isNotNull() & ~F.trim("value").isin("", "-"))
-    n = lines.filter(strip(_line()) != "").agg(F.count(F.lit(1)).alias("lines"))
-    out = each.groupBy("field").agg(
-        F.min_by("value", F.struct(at, "at")).alias("first"), F.count(F.lit(1)).alias("frequency"), F.max(F.col("value").rlike(_STAMP)).alias("stamped"),
-        F.min(F.struct(at, "at")).alias("place"), F.slice(F.array_distinct(F.transform(F.array_sort(F.slice(F.collect_list(F.struct(at, "value")), 1, 1000)), lambda x: x["value"])), 1, 10).alias("samples"),
+    values = each.groupBy("source_file", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_number", "at")).alias("place"))
+    first = Window.partitionBy("source_file", "field").orderBy("place")
+    samples = values.withColumn("k", F.row_number().over(first)).filter("k <= 10").groupBy("source_file", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("samples"))
+    out = values.groupBy("source_file", "field").agg(
+        F.min_by("value", "place").alias("first"), F.sum("n").alias("frequency"), F.max(F.col("value").rlike(ANY)).alias("stamped"), F.min("place").alias("place"), F.collect_set(whole_shape(F.col("value"))).alias("stamps")
     )
+    n = full.groupBy("source_file").agg(F.count(F.lit(1)).alias("lines"))
     fixed = F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.lit(v))])
     kind = F.coalesce(fixed[F.col("field")] if detection.format in PATTERNS else F.lit(None).cast("string"), infer_type(F.col("first")))
     stamp = F.col("stamped") & ~kind.isin("integer", "float", "boolean") & ~F.col("field").isin("message", "request")
-    out = out.withColumn("data_type", kind).withColumn("is_timestamp", stamp).join(F.broadcast(n))  # one row
+    out = out.withColumn("data_type", kind).withColumn("is_timestamp", stamp).join(n, "source_file").join(samples, ["source_file", "field"])
     sure = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("frequency") / F.col("lines")) + F.when(F.col("is_timestamp"), 0.2).otherwise(0.0) + F.when(F.col("data_type") != "unknown", 0.1).otherwise(0.0))
-    return out.withColumn("confidence", sure).orderBy("place").select("field", "data_type", "frequency", "is_timestamp", "samples", "confidence")
+    return out.withColumn("confidence", sure).orderBy("source_file", "place").select("source_file", "field", "data_type", "frequency", "is_timestamp", "samples", "confidence", "stamps")
 
 
 def detect(lines: DataFrame, now: datetime | None = None) -> dict[str, Detection]:
-    """A detection for each source, from its first lines (a few rows reach the driver for each source)."""
+    """A detection for each source from its first 1000 lines.
+
+    Sources of one format are looked at together, so the number of jobs doesn't grow with
+    them; the driver gets 50 lines and the fields of each source.
+    """
     head = lines.filter(F.col("line_number") <= 1000)
     found = {r["source_file"]: r for r in best_formats(scores(head)).collect()}
-    out = {}
+    near = F.slice(F.sort_array(F.collect_list(F.struct("line_number", "raw_line"))), 1, 50)
+    samples = {r["source_file"]: list(r["x"]) for r in head.groupBy("source_file").agg(F.transform(near, lambda x: x["raw_line"]).alias("x")).collect()}
+    rfc = [F.count_if(_line().rlike(PATTERNS["syslog"][k][0])).alias(f"c{k}") for k in (0, 1)]
+    syslog = [s for s, r in found.items() if r["format"] == "syslog"]
+    counts = {r["source_file"]: r for r in head.filter(F.col("source_file").isin(syslog) & (F.col("line_number") <= 100)).groupBy("source_file").agg(*rfc).collect()} if syslog else {}
+    out, alike = {}, {}
     for source, r in found.items():
-        own = head.filter(F.col("source_file") == source)
-        sample = [x["raw_line"] for x in own.orderBy("line_number").limit(50).collect()]
+        sample = samples[source]
         best = Detection(r["format"], r["confidence"], metadata={"delimiter": r["delimiter"]} if r["delimiter"] else {})
+        if source in counts:
+            a, b = counts[source]["c0"], counts[source]["c1"]
+            best = replace(best, metadata={"rfc3164_count": str(a), "rfc5424_count": str(b), "detected_rfc": "3164" if a >= b else "5424"})
         sniffed = sniff_csv(sample)
         if sniffed and sniffed[1] > best.confidence or sniffed and best.format in ("unknown", "custom_delimited"):
-            names = next(csv.reader([sample[0]], delimiter=sniffed[0]))
-            best = Detection("csv", sniffed[1], tuple(Field(x.strip()) for x in names), metadata={"delimiter": sniffed[0]})
+            names = distinct_names([x.strip() for x in next(csv.reader([sample[0]], delimiter=sniffed[0]))])
+            best = Detection("csv", sniffed[1], tuple(Field(x) for x in names), metadata={"delimiter": sniffed[0], "header": sample[0].strip()})
         if best.format == "custom_delimited":
             width = max(len(x.split(best.metadata["delimiter"])) for x in sample if x.strip())
             best = replace(best, fields=tuple(Field(f"field_{i + 1}") for i in range(width)))
         if best.format == "generic_web":
             best = replace(best, format="basic_log", metadata={"patterns": "generic_web"})
-        if best.format not in ("unknown", "systemd_journal"):
-            rows = field_schema(own, best).collect()
-            known = {x["field"]: Field(x["field"], x["data_type"], x["is_timestamp"], x["frequency"], x["confidence"], tuple(x["samples"])) for x in rows}
-            best = replace(best, fields=tuple(known.get(f.name, f) for f in best.fields) if best.fields else tuple(known.values()))
         out[source] = replace(best, samples=tuple(x.strip() for x in sample if x.strip())[:5])
+        if best.format not in ("unknown", "systemd_journal"):
+            alike.setdefault((best.format, best.names, best.metadata.get("delimiter"), best.metadata.get("patterns")), []).append(source)
+    for sources in alike.values():
+        rows: dict[str, list] = {s: [] for s in sources}
+        for x in field_schema(head.filter(F.col("source_file").isin(sources)), out[sources[0]]).collect():
+            rows[x["source_file"]].append(x)
+        for source, own in rows.items():
+            d = out[source]
+            known = {x["field"]: Field(x["field"], x["data_type"], x["is_timestamp"], x["frequency"], x["confidence"], tuple(x["samples"])) for x in own}
+            d = replace(d, fields=tuple(known.get(f.name, f) for f in d.fields) if d.fields else tuple(known.values()))
+            stamp = next((f.name for f in d.fields if f.is_timestamp), None)
+            shapes = next((set(x["stamps"]) for x in own if x["field"] == stamp), set())
+            if shapes:  # the parser tries these before it searches the text
+                d = replace(d, metadata={**d.metadata, "stamps": ",".join(n for n in BY_NAME if n in shapes)})
+            out[source] = d
     return out
 
 

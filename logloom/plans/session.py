@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import FORMATS, Detection
+from ..model import Detection
 from ..operators import detect, parse, search, stats
-from ..sources.lines import read_lines
+from ..sources.lines import file_sizes, read_heads, read_lines
 
 
 class LogSession:
@@ -25,22 +25,36 @@ class LogSession:
     def detect(self, lines: DataFrame) -> dict[str, Detection]:
         return detect.detect(lines, self.now)
 
+    def detect_files(self, *paths: str) -> dict[str, Detection]:
+        """Detections from the files' first lines alone; a file without lines is of unknown format."""
+        found = detect.detect(read_heads(self.spark, *paths), self.now)
+        files = [r["source_file"] for r in file_sizes(self.spark, *paths).select("source_file").collect()]
+        return {f: found.get(f, Detection("unknown")) for f in files}
+
+    def sources(self, detections: dict[str, Detection], *paths: str) -> DataFrame:
+        """``source_file``, ``file_size_bytes``, ``format`` and ``detection_confidence`` of files."""
+        rows = self.spark.createDataFrame([(s, d.format, float(d.confidence)) for s, d in detections.items()], "source_file string, format string, detection_confidence double")
+        return file_sizes(self.spark, *paths).join(rows, "source_file", "left")
+
     def parse(self, lines: DataFrame, detections: dict[str, Detection], derive: bool = False) -> DataFrame:
         """Sources of one format and schema share a plan; the plans' entries are united."""
         plans: dict[tuple, list[str]] = {}
         for source, d in detections.items():
             if d.format != "unknown":
-                plans.setdefault((d.format, d.fields and d.names, tuple(sorted(d.metadata.items()))), []).append(source)
+                plans.setdefault((d.format, tuple((f.name, f.is_timestamp) for f in d.fields), *(d.metadata.get(k) for k in ("delimiter", "header", "patterns", "stamps"))), []).append(source)
         parts = [parse.parse(lines.filter(F.col("source_file").isin(sources)), detections[sources[0]], self.now, derive) for sources in plans.values()]
         return reduce(DataFrame.unionByName, parts) if parts else parse.parse(lines.filter("false"), Detection("json"), self.now)
 
+    def parse_line(self, text: str, detection: Detection) -> DataFrame:
+        return parse.parse_line(self.spark, text, detection, self.now)
+
     def search(self, entries: DataFrame, query: search.SearchQuery) -> search.SearchResult:
         return search.search(entries, query, self.now)
 
     def analyze(self, entries: DataFrame, detection: Detection) -> dict[str, DataFrame]:
         """The profile, the time series, the file statistics and the recommendations of entries of one detection."""
         files = stats.file_statistics(entries, detection.names, detection.confidence).join(stats.file_details(entries, detection), "source_file")
-        return {"fields": stats.field_profile(entries), "hours": stats.hourly(entries), "days": stats.daily(entries), "time": stats.time_series(entries), "files": files, "recommendations": stats.recommendations(files)}
+        return {"fields": stats.field_profile(entries, detection=detection), "hours": stats.hourly(entries), "days": stats.daily(entries), "time": stats.time_series(entries), "files": files, "recommendations": stats.recommendations(files)}
 
     def report(self, entries: DataFrame, detection: Detection) -> DataFrame:
         """(section, label, value) rows of the analysis."""
@@ -50,4 +64,6 @@ class LogSession:
         return a.unionByName(b)
 
     def formats(self) -> DataFrame:
-        return self.spark.createDataFrame([(f, detect.THRESHOLDS.get(f)) for f in FORMATS], "format string, threshold double")
+        """Every detector with the format that it reports and the least confidence that it accepts."""
+        rows = [(k, "basic_log" if k == "generic_web" else k, v) for k, v in detect.THRESHOLDS.items()]
+        return self.spark.createDataFrame(rows, "detector string, format string, threshold double")

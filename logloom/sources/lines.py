@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import lzma
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,29 +14,72 @@ from pyspark.sql import functions as F
 SUFFIXES = (".log", ".txt", ".csv", ".json", ".gz", ".bz2", ".xz", ".lzma")
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """``source_file``, ``line_number`` (from 1, blank lines counted), ``raw_line``; bytes that aren't UTF-8 are dropped."""
+def _text(spark: SparkSession, paths: list[str]) -> DataFrame:
+    clean = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), clean.alias("raw_line"))
+
+
+def _kinds(paths: tuple[str, ...]) -> tuple[list[str], list[str]]:
     packed = [p for p in paths if p.lower().endswith((".xz", ".lzma"))]
-    plain = [p for p in paths if p not in packed]
+    return [p for p in paths if p not in packed], packed
+
+
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """``source_file``, ``line_number`` (from 1, blank lines counted), ``raw_line``; bytes that aren't UTF-8 are dropped.
+
+    A line's number is its place in its split plus the lines of the file's splits before,
+    so text isn't moved to be numbered and a large file stays spread over its splits.
+    """
+    plain, packed = _kinds(paths)
     out = None
     if plain:
-        text = spark.read.text(plain).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("raw_line"))
-        number = F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "_id")).cast("long")
-        out = text.select("source_file", number.alias("line_number"), "raw_line")
+        text = _text(spark, plain)
+        splits = text.groupBy("source_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        splits = splits.select("source_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
+        out = text.join(splits, ["source_file", "_block"]).select("source_file", (F.col("_id") + F.col("_shift")).alias("line_number"), "raw_line")
     if packed:
-        files = spark.read.format("binaryFile").load(packed).select("path", "content")
-        more = files.mapInPandas(_unpacked, "source_file string, line_number bigint, raw_line string")
+        more = _packed(spark, packed)
         out = more if out is None else out.unionByName(more)
     return out
 
 
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            lines = lzma.decompress(content).decode("utf-8", "ignore").splitlines()
-            for k in range(0, len(lines), 50_000):
-                part = lines[k : k + 50_000]
-                yield pd.DataFrame({"source_file": path, "line_number": range(k + 1, k + 1 + len(part)), "raw_line": part})
+def read_heads(spark: SparkSession, *paths: str, most: int = 1000) -> DataFrame:
+    """The first lines of every file, from the first split of each."""
+    plain, packed = _kinds(paths)
+    out = None
+    if plain:
+        number = F.row_number().over(Window.partitionBy("source_file").orderBy("_id")).cast("long")
+        # Spark keeps the first rows of a file in every task before it sorts them
+        out = _text(spark, plain).filter("_block = 0").withColumn("line_number", number).filter(F.col("line_number") <= most).select("source_file", "line_number", "raw_line")
+    if packed:
+        more = _packed(spark, packed, most)
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
+def _packed(spark: SparkSession, paths: list[str], most: int | None = None) -> DataFrame:
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                # decoded as it is read; lines end at \n, \r\n or \r
+                text = io.TextIOWrapper(lzma.LZMAFile(io.BytesIO(content)), encoding="utf-8", errors="ignore", newline=None)
+                lines = enumerate(islice(text, most), 1)
+                while part := list(islice(lines, 50_000)):
+                    yield pd.DataFrame({"source_file": path, "line_number": [k for k, _ in part], "raw_line": [x.rstrip("\n") for _, x in part]})
+
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content")
+    return files.mapInPandas(unpack, "source_file string, line_number bigint, raw_line string")
+
+
+def file_sizes(spark: SparkSession, *paths: str) -> DataFrame:
+    """``source_file`` and ``file_size_bytes`` of files, empty ones too; their contents aren't read."""
+    rows = []
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        rows += [(x.getPath().toString(), x.getLen()) for x in found or [] if x.isFile()]
+    return spark.createDataFrame(rows, "source_file string, file_size_bytes bigint")
 
 
 def lines_of(df: DataFrame, text: str, source: str = "memory", order: str | None = None) -> DataFrame:
@@ -49,6 +94,9 @@ def head(lines: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def list_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that look like logs, with their sizes, sorted by path."""
-    glob = "*{" + ",".join(SUFFIXES) + "}"
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length").orderBy("path")
+    """Folders, then files that look like logs with their sizes, each sorted by path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)  # one folder's entries
+    rows = [(x.getPath().toString(), x.isDirectory(), None if x.isDirectory() else x.getLen()) for x in found if x.isDirectory() or x.getPath().getName().lower().endswith(SUFFIXES)]
+    return spark.createDataFrame(rows, "path string, is_folder boolean, length bigint").orderBy(F.desc("is_folder"), "path")
