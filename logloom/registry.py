@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import timestamps
 from .functions.values import infer_type
-from .model import Detection, Field, fields_of
+from .model import Detection, Field, distinct_names, fields_of
 from .operators import detect, parse, search, stats
 from .operators.search import QueryBuilder, SearchFilter, SearchQuery, TimeFilter
 from .sources.lines import lines_of
@@ -282,14 +282,146 @@ def flagship(spark, sf_dir):
     return found.facets("all").filter("field = 'user_id'").select("value", "n", F.col("rank").cast("long").alias("rank"))
 
 
+_SEARCHES["search_named_group"] = (QueryBuilder.regex_search("event_type", "^(?P<first_part>err)(?P<rest>or)$"), "event_type = 'error'")
+
+
+def dirty_json_parse(spark, sf_dir):
+    """Lines with a key twice, keys equal but for blanks, control characters, and lines cut short."""
+    line = """case event_id % 5
+      when 1 then concat('{"event_id": "first", "event_id": "', event_id, '", "user_id": ', user_id, ', "event_type": "', event_type, '"}')
+      when 2 then concat('{"event_id": ', event_id, ', " user_id": "first", "user_id ": "', user_id, '", "event_type": "', event_type, '"}')
+      when 3 then concat('{"event_id": ', event_id, ', "user_id": ', user_id, ', "event_type": "', event_type, '\\\\u0001\\\\u0001"}')
+      when 4 then concat('{"event_id": ', event_id, ', "user')
+      else concat('{"event_id": ', event_id, ', "user_id": ', user_id, ', "event_type": "', event_type, '"}') end"""
+    own = fields_of(event_id="integer", user_id="integer", event_type="string")
+    entries = parse.parse(_lines(spark, sf_dir, line), Detection("json", 1.0, own), NOW)
+    return parse.typed(entries, own).select("line_number", "event_id", "user_id", "event_type", "is_malformed")
+
+
+def dirty_csv_parse(spark, sf_dir):
+    """A header with a name twice; lines with a value too many, one too few, and quoted delimiters."""
+    line = """case event_id % 4 when 1 then concat_ws(',', event_id, event_type, user_id, 'more', 'most') when 2 then concat_ws(',', event_id, event_type)
+      when 3 then concat(event_id, ',"a, ""b"" and ', event_type, '",', user_id) else concat_ws(',', event_id, event_type, user_id) end"""
+    found = Detection("csv", 1.0, tuple(Field(n) for n in distinct_names(["id", "kind", "id"])), metadata={"delimiter": ","})
+    entries = parse.parse(_lines(spark, sf_dir, line), found, NOW)
+    return entries.select("line_number", F.col("fields")["id"].alias("id"), F.col("fields")["kind"].alias("kind"), F.col("fields")["id_2"].alias("id_2"), F.array_join("parse_errors", "; ").alias("errors"))
+
+
+def dirty_text_parse(spark, sf_dir):
+    """Log lines with the control character that the parser itself uses, and lines that match no pattern."""
+    line = f"case event_id % 3 when 1 then concat('no pattern in this line ', event_id) else concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS'), ' - ', event_type, ' - ', {_LEVEL}, ' - user', chr(1), user_id, chr(1)) end"
+    entries = parse.parse(_lines(spark, sf_dir, line), Detection("python_log", 1.0, fields_of(timestamp="timestamp", logger="string", level="string", message="string")), NOW)
+    return entries.select("line_number", "ts", F.col("fields")["logger"].alias("logger"), F.replace(F.col("fields")["message"], F.lit("\x01"), F.lit("^")).alias("message"), "is_malformed")
+
+
+def kv_case_parse(spark, sf_dir):
+    line = "concat('EVENT_ID=', event_id, ' User=', user_id, ' user=\"', event_type, '\"')"
+    own = fields_of(event_id="integer", user="string", kind="string")
+    entries = parse.parse(_lines(spark, sf_dir, line), Detection("key_value", 1.0, own), NOW)
+    return parse.typed(entries, own[:2]).select("event_id", "user", F.array_join("parse_errors", "; ").alias("errors"))
+
+
+def journal_short_parse(spark, sf_dir):
+    block = "array(concat(date_format(ts, 'MMM d HH:mm:ss'), ' host', user_id, ' svc[', event_id, ']: ', event_type, ': x'), '', concat('odd line ', event_id), ' ')"
+    e = _events(spark, sf_dir).select((F.col("event_id") % 8).cast("string").alias("source_file"), "event_id", F.posexplode(F.expr(block)).alias("k", "raw_line"))
+    lines = e.select("source_file", (F.col("event_id") * 4 + F.col("k")).alias("line_number"), "raw_line")
+    own = fields_of(timestamp="timestamp", hostname="string", service="string", message="string")
+    entries = parse.parse(lines, Detection("systemd_journal", 1.0, own), NOW)
+    return entries.select(F.floor(F.col("line_number") / 4).alias("event_id"), "ts", F.col("fields")["hostname"].alias("hostname"), F.col("fields")["service"].alias("service"), F.col("fields")["message"].alias("message"), "is_malformed")
+
+
+def apache_extended_parse(spark, sf_dir):
+    """Virtual hosts with and without referer, and response times with and without it."""
+    clf = f"{_CLF}"
+    virtual = "concat('10.0.', user_id, '.1 - - site', user_id, ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] \"GET /', event_type, ' HTTP/1.1\" 200 ', event_id)"
+    line = f"case event_id % 4 when 0 then {virtual} when 1 then concat({virtual}, {_AGENT}) when 2 then concat({clf}, ' ', event_id % 100) else concat({clf}, {_AGENT}, ' 0.', event_id % 9 + 1) end"
+    own = [Field(n, k) for n, k in (("virtual_host", "string"), ("path", "string"), ("referer", "string"), ("response_time", "float"))]
+    entries = parse.parse(_lines(spark, sf_dir, line), Detection("apache_extended", 1.0, (Field("timestamp", "string", True), *own)), NOW, derive=True)
+    return parse.typed(entries.select("line_number", "fields", "ts"), tuple(own)).select("line_number", "ts", *[f.name for f in own])
+
+
+def nginx_timed_parse(spark, sf_dir):
+    own = (Field("remote_addr"), Field("request_time", "float"))
+    entries = parse.parse(_lines(spark, sf_dir, f"concat({_CLF}, {_AGENT}, ' ', event_id % 7, '.25')"), Detection("nginx_access", 1.0, (Field("time_local", "string", True), *own)), NOW)
+    return parse.typed(entries.select("line_number", "fields", "ts"), own).select("line_number", "ts", "remote_addr", "request_time")
+
+
+def field_schema(spark, sf_dir):
+    found = detect.field_schema(_lines(spark, sf_dir, _JSON_LINE), Detection("json", 1.0))
+    return found.select("field", "data_type", F.col("frequency").cast("long").alias("frequency"), "is_timestamp", "confidence", F.array_join("samples", ",").alias("samples"), F.array_join("stamps", ",").alias("stamps")).filter("field <> 'value' and field <> 'ts'")
+
+
+def confidence_words(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.explode(F.expr("map(" + ", ".join(f"'{k}', {x}" for k, x in _STAMPS.items()) + ")")).alias("rendered", "text"))
+    b = timestamps.best_timestamp(F.col("text"), NOW)
+    said = e.withColumn("b", b).select("rendered", timestamps.explain_confidence(F.col("text"), F.col("b.confidence"), F.col("b.format")).alias("said"))
+    return said.groupBy("rendered", "said").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _files(spark, sf_dir):
+    return stats.file_statistics(_broken(spark, sf_dir, "cast(event_id % 10 as string)"), JSON.names, 1.0)
+
+
+def problem_files(spark, sf_dir):
+    return stats.problem_files(_files(spark, sf_dir), 0.8).select("source_file", F.round("quality", 9).alias("quality"))
+
+
+def multi_file_consistency(spark, sf_dir):
+    rates = parse.extraction_rates(_broken(spark, sf_dir, "cast(event_id % 10 as string)"), JSON.names)
+    return stats.consistency(stats.compare_files(rates)).select(F.round("consistency", 9).alias("consistency"))
+
+
+def multi_file_totals(spark, sf_dir):
+    totals = stats.aggregate_results(_broken(spark, sf_dir, "cast(event_id % 10 as string)"), JSON.names)["totals"]
+    return totals.withColumns({"mean_confidence": F.round("mean_confidence", 9), "success_rate": F.round("success_rate", 9)})
+
+
+def multi_file_rates(spark, sf_dir):
+    rates = stats.aggregate_results(_broken(spark, sf_dir, "case when event_id % 10 = 3 then 'a' else 'b' end"), JSON.names)["rates"]
+    return rates.select("field", F.round("rate", 9).alias("rate"), "extracted")
+
+
+def insufficient_data(spark, sf_dir):
+    """Sources of unknown format beside parsed ones: there isn't enough to say of them."""
+    entries = _broken(spark, sf_dir, "cast(event_id % 10 as string)")
+    files = stats.file_statistics(entries, JSON.names, 1.0).join(stats.file_details(entries, JSON), "source_file")
+    every = _events(spark, sf_dir).select((F.col("event_id") % 12).cast("string").alias("source_file")).distinct()
+    return stats.recommendations(every.join(files, "source_file", "left")).select("source_file", F.size("recommendations").cast("long").alias("n"), F.coalesce(F.get("recommendations", F.lit(0)), F.lit("none")).alias("first"))
+
+
+def hour_bars(spark, sf_dir):
+    return stats.bars(stats.hourly(_entries(spark, sf_dir)), "hour", "n", 25)
+
+
+def results_table(spark, sf_dir):
+    return search.results_table(_entries(spark, sf_dir), ["event_type", "user_id", "missing"], limit=50, offset=20)
+
+
+def raw_view(spark, sf_dir):
+    return search.raw_view(_lines(spark, sf_dir, "concat('line ', event_id, ' of ', user_id)").withColumn("fields", F.lit(None)), limit=40, offset=7)
+
+
+def level_counts(spark, sf_dir):
+    line = f"concat('at ', event_id, ' ', lower({_LEVEL}), ' then WARN')"
+    return _lines(spark, sf_dir, line).groupBy(parse.log_level(F.col("raw_line")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def report(spark, sf_dir):
+    from .plans.session import LogSession
+
+    return LogSession(spark, NOW).report(_broken(spark, sf_dir), JSON).filter("section = 'file' or label = 'event_type'")
+
+
 QUERIES = {k: _search(q) for k, (q, _) in _SEARCHES.items()} | {
     f.__name__: f
-    for f in (json_parse, journal_parse, search_page, facet_top10, facet_display, field_names, time_range_meta, search_errors, search_by_ip, hourly_counts, daily_counts, time_series, field_profile, top5_values, parse_quality, extraction_rates, quality_score, recommendations, multi_file_global, multi_file_compare, detect_best, detect_format_scores, type_inference, timestamp_formats, timestamp_extract_all, doc_text_search, conversation_search, flagship)
+    for f in (json_parse, journal_parse, search_page, facet_top10, facet_display, field_names, time_range_meta, search_errors, search_by_ip, hourly_counts, daily_counts, time_series, field_profile, top5_values, parse_quality, extraction_rates, quality_score, recommendations, multi_file_global, multi_file_compare, detect_best, detect_format_scores, type_inference, timestamp_formats, timestamp_extract_all, doc_text_search, conversation_search, flagship,
+        dirty_json_parse, dirty_csv_parse, dirty_text_parse, kv_case_parse, journal_short_parse, apache_extended_parse, nginx_timed_parse, field_schema, confidence_words, problem_files, multi_file_consistency, multi_file_totals, multi_file_rates, insufficient_data, hour_bars, results_table, raw_view, level_counts, report)
 } | {
     "csv_parse": csv_parse, "custom_delimited_parse": custom_delimited_parse, "ltsv_parse": ltsv_parse, "kv_parse": kv_parse, "apache_common_parse": apache_common_parse, "apache_combined_parse": apache_combined_parse, "nginx_access_parse": nginx_access_parse,
     "nginx_error_parse": nginx_error_parse, "python_log_parse": python_log_parse, "basic_log_parse": basic_log_parse, "syslog3164_parse": syslog3164_parse, "syslog5424_parse": syslog5424_parse,
 }
 
+_BAND = "case when c >= 0.9 then 'very high' when c >= 0.8 then 'high' when c >= 0.7 then 'good' when c >= 0.6 then 'moderate' else 'low' end || ' confidence'"
 _LEVEL_SQL = "case when event_type = 'error' then 'ERROR' else 'INFO' end"
 _SEC = "date_trunc('second', ts) as ts"
 _RATES = "select (event_id % 10)::varchar as source_file, f.field, case when event_id % 10 = 3 then 0 when event_id % 10 = 7 and f.field in ('user_id', 'value') then 0 else 1 end as hit from events, (values ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value')) f(field)"
@@ -320,7 +452,7 @@ ORACLES = {k: _where(w) for k, (_, w) in _SEARCHES.items()} | dict.fromkeys(("js
     "parse_quality": "with e as (select event_id % 10 as k from events) select count(*) as total_lines, count(*) filter (k not in (3, 7)) as parsed_lines, count(*) filter (k in (3, 7)) as malformed_lines, round(avg(case when k in (3, 7) then 0.0 else 1.0 end), 9) as success_rate, round(avg(case k when 3 then 0.8 when 7 then 0.4 else 1.0 end), 9) as mean_confidence, count(*) filter (k = 7) as timestamp_parsing, (2 * count(*) filter (k = 7))::bigint as field_extraction, count(*) filter (k = 3) as format_mismatch, 0::bigint as type_conversion, 0::bigint as other from e",
     "extraction_rates": f"select field, sum(hit)::bigint as extracted, round(avg(hit), 9) as rate from ({_RATES}) group by 1",
     "quality_score": f"select source_file, total_lines, round({_QUALITY.format(d='1.0')}, 9) as quality from ({_FILES.format(source='event_type')})",
-    "recommendations": f"with f as ({_FILES.format(source='(event_id % 10)::varchar')}) select source_file, 'check the detected format' as hint from f union all select source_file, 'many lines fail to parse' from f where success < 0.8",
+    "recommendations": f"with f as ({_FILES.format(source='(event_id % 10)::varchar')}), r as (select source_file, field, avg(hit) as rate from ({_RATES}) group by 1, 2), p as (select *, row_number() over (partition by source_file order by rate desc, field) as k from r where rate < 0.5), e as (select (event_id % 10)::varchar as source_file, count(*) as n, greatest(count(*) filter (event_id % 10 = 7), 2 * count(*) filter (event_id % 10 = 7), count(*) filter (event_id % 10 = 3)) as most from events group by 1) select source_file, 'check the detected format' as hint from f union all select source_file, 'many lines fail to parse' from f where success < 0.8 union all select source_file, 'rarely extracted: ' || string_agg(field, ', ' order by k) from p where k <= 3 group by 1 union all select source_file, 'one kind of error is frequent' from e where most > 0.1 * n",
     "multi_file_global": f"with f as (select *, {_QUALITY.format(d='1.0')} as q from ({_FILES.format(source='(event_id % 10)::varchar')})) select count(*) as n_files, round(avg(q), 9) as mean_quality, round(avg(success), 9) as mean_success, count(*) filter (q >= 0.9) as excellent, count(*) filter (q >= 0.7 and q < 0.9) as good, count(*) filter (q >= 0.5 and q < 0.7) as fair, count(*) filter (q < 0.5) as poor from f",
     "multi_file_compare": f"with r as (select source_file, field, avg(hit) as rate from ({_RATES}) group by 1, 2) select field, count(*) as n_files, round(var_samp(rate), 9) as variance, (list(source_file order by -rate, source_file))[1] as best_file, (list(source_file order by rate, source_file))[1] as worst_file from r group by 1",
     "detect_best": "select f as rendered, f as format, 1.0::double as confidence from (select distinct ['" + "', '".join(_MIXED) + f"'][event_id % {len(_MIXED)} + 1] as f from events)",
@@ -331,4 +463,23 @@ ORACLES = {k: _where(w) for k, (_, w) in _SEARCHES.items()} | dict.fromkeys(("js
     "doc_text_search": "select doc_id from documents where contains(lower(text), 'idiot')",
     "conversation_search": "select conv_id, turn from conversations where contains(lower(text), 'user') or role = 'user'",
     "flagship": "select user_id::varchar as value, n, rank from (select user_id, count(*) as n, row_number() over (order by count(*) desc, min(event_id)) as rank from events where event_type = 'error' and value > 50 group by 1) where rank <= 10",
+    "dirty_json_parse": "select event_id as line_number, case when event_id % 5 < 4 then event_id end as event_id, case when event_id % 5 < 4 then user_id end as user_id, case event_id % 5 when 3 then event_type || chr(1) || chr(1) when 4 then null else event_type end as event_type, event_id % 5 = 4 as is_malformed from events",
+    "dirty_csv_parse": "select event_id as line_number, event_id::varchar as id, case when event_id % 4 = 3 then 'a, \"b\" and ' || event_type else event_type end as kind, case when event_id % 4 <> 2 then user_id::varchar end as id_2, case event_id % 4 when 1 then '2 values too many' when 2 then 'missing field id_2' else '' end as errors from events",
+    "dirty_text_parse": "select event_id as line_number, case when event_id % 3 <> 1 then date_trunc('millisecond', ts) end as ts, case when event_id % 3 <> 1 then event_type end as logger, case when event_id % 3 = 1 then 'no pattern in this line ' || event_id else 'user^' || user_id || '^' end as message, event_id % 3 = 1 as is_malformed from events",
+    "kv_case_parse": "select event_id, event_type as user, 'missing field kind' as errors from events",
+    "journal_short_parse": "select event_id, date_trunc('second', ts) as ts, 'host' || user_id as hostname, 'svc[' || event_id || ']' as service, event_type || ': x' as message, false as is_malformed from events union all select event_id, null, null, null, 'odd line ' || event_id, true from events",
+    "apache_extended_parse": "select event_id as line_number, date_trunc('second', ts) as ts, case when event_id % 4 < 2 then 'site' || user_id end as virtual_host, '/' || event_type || case when event_id % 4 < 2 then '' else '/' || event_id end as path, case when event_id % 4 in (1, 3) then 'https://ref.example/' || user_id end as referer, case event_id % 4 when 2 then (event_id % 100)::double when 3 then (event_id % 9 + 1) / 10.0::double end as response_time from events",
+    "nginx_timed_parse": "select event_id as line_number, date_trunc('second', ts) as ts, '10.0.' || user_id || '.1' as remote_addr, (event_id % 7 + 0.25)::double as request_time from events",
+    "field_schema": "with v as (select 'event_id' as field, event_id::varchar as value, event_id from events union all select 'user_id', user_id::varchar, event_id from events union all select 'event_type', event_type, event_id from events), d as (select field, value, min(event_id) as f from v group by 1, 2), k as (select *, row_number() over (partition by field order by f) as k from d), t as (select field, string_agg(value, ',' order by k) as samples from k where k <= 10 group by 1), o as (select field, arg_min(value, event_id) as first, count(*) as frequency from v group by 1) select field, case when lower(first) in ('0', '1', 'yes', 'no', 'true', 'false', 'y', 'n') then 'boolean' when field = 'event_type' then 'string' else 'integer' end as data_type, frequency, false as is_timestamp, 1.0::double as confidence, samples, '' as stamps from o join t using (field)",
+    "confidence_words": f"with s as (select unnest(['iso8601_utc_ms', 'apache_common', 'python_logging', 'standard_datetime', 'nginx_error', 'us_slash_datetime', 'unix_seconds', 'unix_milliseconds', 'iso_date', 'syslog_short']) as rendered, unnest([1.0, 0.95, 0.935, 0.85, 0.83, 0.63, 0.91, 0.86, 0.61, 0.70]) as c, unnest([' - ISO 8601 format - includes timezone - sub-second precision', ' - includes timezone', ' - includes timezone', ' - includes timezone', '', ' - US date order, ambiguous', ' - Unix timestamp', ' - Unix timestamp', ' - ISO 8601 format - includes timezone', '']) as more from events) select rendered, {_BAND} || more as said, count(*) as n from s group by 1, 2",
+    "problem_files": f"with f as (select *, {_QUALITY.format(d='1.0')} as q from ({_FILES.format(source='(event_id % 10)::varchar')})) select source_file, round(q, 9) as quality from f where q < 0.8",
+    "multi_file_consistency": f"with r as (select source_file, field, avg(hit) as rate from ({_RATES}) group by 1, 2) select round(1 - avg(v), 9) as consistency from (select field, var_samp(rate) as v from r group by 1)",
+    "multi_file_totals": "with e as (select event_id % 10 as k from events), c as (select k, avg(case k when 3 then 0.8 when 7 then 0.4 else 1.0 end) as c from e group by 1) select count(*) as total_lines, count(*) filter (k not in (3, 7)) as parsed_lines, count(*) filter (k in (3, 7)) as malformed_lines, count(*) filter (k = 7) as timestamp_parsing, (2 * count(*) filter (k = 7))::bigint as field_extraction, count(*) filter (k = 3) as format_mismatch, 0::bigint as type_conversion, 0::bigint as other, round((select avg(c) from c), 9)::double as mean_confidence, round(avg(case when k in (3, 7) then 0.0 else 1.0 end), 9) as success_rate from e",
+    "multi_file_rates": "with h as (select case when event_id % 10 = 3 then 'a' else 'b' end as s, f.field, case when event_id % 10 = 3 then 0 when event_id % 10 = 7 and f.field in ('user_id', 'value') then 0 else 1 end as hit from events, (values ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value')) f(field)), r as (select s, field, avg(hit) as rate from h group by 1, 2) select field, round(avg(rate), 9) as rate, floor(avg(rate) * (select count(*) from events))::bigint as extracted from r group by 1",
+    "insufficient_data": "with s as (select distinct event_id % 12 as k from events) select k::varchar as source_file, case when k > 9 then 1 when k in (3, 7) then 3 else 0 end::bigint as n, case when k > 9 then 'not enough data' when k in (3, 7) then 'many lines fail to parse' else 'none' end as first from s",
+    "hour_bars": "with h as (select hour(ts)::bigint as hour, count(*) as n from events group by 1) select hour, n, repeat('#', (n * 25 // (select max(n) from h))::int) as bar from h",
+    "results_table": "select row_number() over (order by event_id) + 20 as number, strftime(ts, '%m-%d %H:%M') as time, event_type, '' as missing, user_id::varchar as user_id from (select * from events order by event_id limit 50 offset 20)",
+    "raw_view": "select row_number() over (order by event_id) + 7 as number, 'line ' || event_id || ' of ' || user_id as raw_line from (select * from events order by event_id limit 40 offset 7)",
+    "level_counts": f"select {_LEVEL_SQL} as level, count(*) as n from events group by 1",
+    "report": f"with f as (select 'events' as source_file, count(*) as n, avg(case when event_id % 10 in (3, 7) then 0.0 else 1.0 end) as success, avg(case event_id % 10 when 3 then 0.0 when 7 then 0.6 else 1.0 end) as extraction, avg(case event_id % 10 when 3 then 0.8 when 7 then 0.4 else 1.0 end) as confidence from events) select 'file' as section, 'events' as label, printf('%d lines, quality %.2f', n, {_QUALITY.format(d='1.0')}) as value from f union all select 'field', 'event_type', printf('%d values, %d distinct', count(*), count(distinct event_type)) from events where event_id % 10 <> 3",
 }
