@@ -4,7 +4,11 @@ A rule is a host and the beginning of a path; its key is both joined. A url's ca
 keys are its host's suffixes at dots joined with the path's beginnings. Level 1 of a
 cascade encodes the listed keys, level 2 the keys of the universe that level 1 takes in
 wrongly, level 3 the listed keys that level 2 takes in, and so on until nothing is left:
-from then on every key of the universe is judged exactly, without a join.
+from then on every key of the universe is judged exactly, without a join. A list too long
+for one broadcast is cut by ranges of key hashes, each with a cascade and a pass of its own.
+
+Keys are known by 64-bit hashes. Two of n keys have one hash with a probability of about
+n * n / 2^65 (under 0.03 for a thousand million keys); then both count as listed if one is.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from .common import Staging, mix
 
 #: Bits for each encoded key, and hash functions.
 BITS, HASHES = 8, 5
-#: Bytes of all levels of a cascade together; it is broadcast, so a longer list is refused.
-MOST_BYTES = 256 << 20
+#: Bytes of the levels of one cascade, about; it is broadcast, so a longer list is judged in several passes.
+MOST_BYTES = 64 << 20
+_CHUNK = 1 << 19  # bits of a filter that one row brings to the driver
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
@@ -83,17 +88,24 @@ class Cascade:
 
 
 def _level(keys: DataFrame, n: int, seed: int) -> Level:
+    """The filter of ``n`` keys; its bits are set by executors, a chunk of the filter in each group."""
     words = max(1, -(-n * BITS // 64))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"p": np.unique(bit_places(b["h"].to_numpy().view(np.uint64), seed, words * 64))})
+            p = np.unique(bit_places(b["h"].to_numpy().view(np.uint64), seed, words * 64))
+            yield pd.DataFrame({"chunk": p // _CHUNK, "at": (p % _CHUNK).astype(np.int32)})
+
+    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(_CHUNK, np.uint8)
+        bits[rows["at"].to_numpy()] = 1
+        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    bits = keys.mapInPandas(places, "p bigint").groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    out = np.zeros(words, np.uint64)
-    for r in bits.toLocalIterator():
-        out[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
-    return Level(out, seed)
+    chunks = keys.mapInPandas(places, "chunk bigint, at int").distinct().groupBy("chunk").applyInPandas(packed, "chunk bigint, bits binary")
+    out = np.zeros(-(-words * 64 // _CHUNK) * _CHUNK // 8, np.uint8)
+    for r in chunks.collect():  # MOST_BYTES, about
+        out[r["chunk"] * _CHUNK // 8 : (r["chunk"] + 1) * _CHUNK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return Level(out.view(np.uint64)[:words].copy(), seed)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 1) -> Cascade:
@@ -103,11 +115,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 1) -> Casc
     """
     stage = Staging(universe.sparkSession, "cascade")
     inside, outside = stage.write(listed.select("h").distinct(), "in0"), stage.write(universe.select("h").distinct().join(listed, "h", "left_anti"), "out0")
-    levels, used, k = [], 0, 0
+    levels, k = [], 0
     while n := inside.count():
-        used += n * BITS // 8
-        if used > MOST_BYTES:
-            raise ValueError(f"the listed keys need over {MOST_BYTES} bytes; split the list")
         level = _level(inside, n, seed + k)
         levels.append(level)
         shared = universe.sparkSession.sparkContext.broadcast(level)
@@ -122,36 +131,64 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 1) -> Casc
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame | tuple[tuple[str, str], ...] = RULES, url: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The input's columns inside ``row``, with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    The longest fitting rule decides (of equally long ones the first by text); a url that
-    none fits is on no list and is allowed. Null urls and urls without ``://`` have an
-    empty host and path. Rules are a short list in the program; pages may be any number.
+    ``rules`` are pairs of a rule and ``allow`` or ``block``, or a table with the columns
+    ``rule`` and ``verdict`` of any number of rows; null rules and other verdicts are left
+    out. The longest fitting rule decides (of equally long ones the first by text); a rule
+    that is on both lists blocks. A url that none fits is on no list and is allowed. Null
+    urls and urls without ``://`` have an empty host and path. Rows don't look at each
+    other, so repeated rows and null keys are judged like any; an empty table stays empty.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(r) - r.index("/") for r, _ in rules})
+    stage = Staging(spark, "urls")
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "rule string, verdict string")
+    table = stage.write(table.select("rule", "verdict").filter(F.contains("rule", F.lit("/")) & F.col("verdict").isin("allow", "block")).distinct(), "rules")
+    lengths = sorted(r["n"] for r in table.select((F.char_length("rule") - F.locate("/", "rule") + 1).alias("n")).distinct().collect())  # a row for each length of path
+    counts = {r["verdict"]: r["n"] for r in table.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    passes = max(1, *(-(-n * BITS // 8 * 3 // (2 * most_bytes)) for n in counts.values())) if counts else 1
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")
     host, path = host_and_path(F.col(url).cast("string"))
     split = pages.select(row, host.alias("host"), path.alias("path"))
     keys = split.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
-    universe = keys.select("host", F.col("path").alias("p"), "keys").select(F.explode("keys").alias("k")).select(F.xxhash64("k").alias("h"))
-    cascades = {v: build_cascade(spark.createDataFrame([(r,) for r, x in rules if x == v], "k string").select(F.xxhash64("k").alias("h")), universe) for v in ("allow", "block") if any(x == v for _, x in rules)}
-    shared = spark.sparkContext.broadcast(cascades)  # MOST_BYTES at most each
+    universe = stage.write(keys.select(F.explode("keys").alias("k")).select(F.xxhash64("k").alias("h")).distinct(), "universe")
+    out = keys.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
+    verdicts = sorted(counts)
+    for v in verdicts:
+        out = out.withColumn(f"_{v}", F.lit(None).cast("array<boolean>"))
+    for turn in range(passes):
+        own = lambda df: df.filter(F.pmod("h", F.lit(passes)) == turn)
+        cascades = {v: build_cascade(own(table.filter(F.col("verdict") == v).select(F.xxhash64("rule").alias("h"))), own(universe)) for v in verdicts}
+        shared = spark.sparkContext.broadcast(cascades)  # most_bytes each, about
+        for v in verdicts:
+            out = out.withColumn(f"_{v}", _on_list(shared, v, turn, passes)("hashes", f"_{v}"))
+        if passes > 1:  # one pass's filters are in memory at a time
+            out = stage.write(out, f"pass{turn}", codec="zstd")
+            shared.unpersist()
+            if turn:
+                stage.discard(f"pass{turn - 1}")
+    said = lambda i: reduce(lambda a, v: F.when(F.get(F.col(f"_{v}"), i), F.lit(v)).otherwise(a), verdicts, F.lit(None).cast("string"))
+    fits = F.filter(F.transform("keys", lambda k, i: F.struct(k.alias("k"), said(i).alias("v"))), lambda x: x["v"].isNotNull())
+    return out.withColumn("fit", F.get(fits, F.lit(0))).select("row", "host", "path", F.col("fit.k").alias("rule"), F.coalesce("fit.v", F.lit("allow")).alias("verdict"))
+
+
+def _on_list(shared, verdict: str, turn: int, passes: int):
+    """Whether each key is listed, as found by this pass for its range of hashes and by earlier ones for the rest."""
 
     @F.pandas_udf("array<boolean>")
-    def on_list(hashes: pd.Series, verdict: pd.Series) -> pd.Series:
-        lists = [np.asarray(x, np.int64).view(np.uint64) for x in hashes]
-        cascade = shared.value[verdict.iloc[0]] if len(verdict) else None
-        flat = cascade.listed(np.concatenate(lists)) if lists and sum(map(len, lists)) else np.zeros(0, bool)
+    def on_list(hashes: pd.Series, before: pd.Series) -> pd.Series:
+        lists = [np.asarray(x, np.int64) for x in hashes]
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        out = np.zeros(len(flat), bool)
+        mine = flat % passes == turn  # as pmod: never negative
+        out[mine] = shared.value[verdict].listed(flat[mine].view(np.uint64))
+        if turn:
+            out |= np.concatenate([np.asarray(x, bool) for x in before]) if len(flat) else out
         cut = np.cumsum([0, *map(len, lists)])
-        return pd.Series([flat[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        return pd.Series([out[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
-    out = keys.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-    for v in cascades:
-        out = out.withColumn(f"_{v}", on_list("hashes", F.lit(v)))
-    fits = F.filter(F.transform("keys", lambda k, i: F.struct(k.alias("k"), reduce(lambda a, v: F.when(F.get(F.col(f"_{v}"), i), F.lit(v)).otherwise(a), cascades, F.lit(None).cast("string")).alias("v"))), lambda x: x["v"].isNotNull())
-    return out.withColumn("fit", F.get(fits, F.lit(0))).select("row", "host", "path", F.col("fit.k").alias("rule"), F.coalesce("fit.v", F.lit("allow")).alias("verdict"))
+    return on_list
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
