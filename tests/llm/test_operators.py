@@ -298,6 +298,27 @@ def test_url_filter(spark):
     assert [g[3] for g in got] == ["allow", "block", "allow", "allow", "allow", "block", "block", *["allow"] * 6] and got[1][:2] == ("example.com", "/en/1") and got[9][:2] == ("", "")
 
 
+def test_url_rules_from_a_table_in_several_passes(spark):
+    rng = random.Random(5)
+    hosts = [f"h{i % 40}.d{i % 7}.org" for i in range(300)]
+    urls = [f"http://{h}/p{rng.randint(0, 9)}/q{rng.randint(0, 9)}/x?y" for h in hosts]
+    rules = [(f"{h}/p{rng.randint(0, 9)}/", rng.choice(["allow", "block"])) for h in hosts[:90]] + [("d3.org/", "block"), ("d4.org/", "block"), ("d4.org/", "allow"), ("h1.d1.org/p1/q1/", "allow"), (None, "allow"), ("x/", "other")]
+    both = {r for r, v in rules if (r, "allow") in rules and (r, "block") in rules}
+    expected = []
+    for h, u in zip(hosts, urls):
+        path = u.split(h, 1)[1].split("?")[0]
+        fits = {(r, "block" if r in both else v) for r, v in rules if r and v != "other" and (h + "/").endswith("." + r[: r.index("/")] + "/") | (h == r[: r.index("/")]) and path.startswith(r[r.index("/") :])}
+        best = min(fits, key=lambda x: (-len(x[0]), x[0]), default=(None, "allow"))
+        expected.append(best)
+    pages = spark.createDataFrame(list(enumerate(urls)), "rule bigint, url string")
+    table = spark.createDataFrame(rules, "rule string, verdict string")
+    for most in (1 << 20, 40):
+        got = url_filter.judge(pages, table, most_bytes=most).orderBy("row.rule").collect()
+        assert [(r["rule"], r["verdict"]) for r in got] == expected
+    assert {r["verdict"] for r in url_filter.judge(pages, table.filter("false")).collect()} == {"allow"}
+    assert url_filter.judge(pages.filter("false"), table).count() == 0
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(30_000).select(F.xxhash64("id").alias("h"))
     listed = spark.range(0, 30_000, 3).select(F.xxhash64("id").alias("h"))
