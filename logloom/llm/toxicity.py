@@ -11,14 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_table, hash_spans, held_out, keyed_schema, mix, row_chunks, text_buffers, whole_row, word_spans
+from .common import LOWER, byte_table, hash_spans, held_out, keyed_schema, mix, row_chunks, text_buffers, word_spans
 
 DIMS = 1 << 20
-#: Labelled rows of each class that the fit takes at most, by the smallest seeded hash of their key.
-FIT_ROWS = 6000
+#: Labelled rows of each class that the fit takes at most, by the smallest seeded hash of their key, and bytes of their texts (one text at least).
+FIT_ROWS, FIT_BYTES = 6000, 32 << 20
+#: Learning rates, and shares of the positive examples that make L1, among which a fifth of the training rows decides.
+ALPHAS, SHARES = (0.3, 0.1, 1.0), (0.01, 0.003, 0.03)
 #: Words here: letters, digits and all bytes beyond ASCII.
 _WORD = byte_table([b for b in range(128) if not chr(b).isalnum()])
 
@@ -50,10 +52,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, rows = _distinct(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             cut = np.searchsorted(rows, np.arange(j - i + 1))
             packed = [ids[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["label", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(packed, pa.binary())], ["label", "check", "ids"])
 
 
-def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float = 0.5, beta: float = 1.0, share: float = 0.0115, l2: float = 0.1, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float = ALPHAS[0], beta: float = 1.0, share: float = SHARES[0], l2: float = 0.1, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and intercept. The intercept starts at the prior's log odds and learns along.
 
     L1 is ``share`` of the positive examples (0.5 to 20): a coordinate needs about so many to count.
@@ -94,52 +96,106 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, prior: float, steps: int
     return float(theta[0]), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on labelled rows outside the held-out fifth: at most ``fit_rows`` of each class.
+def loss(model: tuple[np.ndarray, np.ndarray, float], examples: list[tuple[int, np.ndarray]], prior: float) -> float:
+    """Mean log loss, classes weighted to the prior."""
+    dense = np.zeros(DIMS)
+    dense[model[0]] = model[1]
+    y = np.array([y for y, _ in examples])
+    p = 1 / (1 + np.exp(-np.clip([model[2] + dense[ids].sum() for _, ids in examples], -35, 35)))
+    each = -np.log(np.where(y == 1, p, 1 - p))
+    means = [each[y == k].mean() if (y == k).any() else 0.0 for k in (0, 1)]
+    return (1 - prior) * means[0] + prior * means[1]
 
-    Null labels and keys are left out; of several labels for one key the largest counts.
-    Without both classes the model is the intercept alone.
+
+def choose_rates(examples: list[tuple[int, np.ndarray]], check: list[tuple[int, np.ndarray]], prior: float) -> tuple[float, float]:
+    """The learning rate, then the share for L1, whose fit on ``examples`` has the least loss on ``check``; the first ones where a class is missing."""
+    if len({y for y, _ in examples}) < 2 or len({y for y, _ in check}) < 2:
+        return ALPHAS[0], SHARES[0]
+    tried: dict[tuple[float, float], float] = {}
+
+    def of(alpha: float, share: float) -> float:
+        if (alpha, share) not in tried:
+            tried[alpha, share] = loss(fit_ftrl(examples, prior, alpha, share=share), check, prior)
+        return tried[alpha, share]
+
+    alpha = min(ALPHAS, key=lambda a: of(a, SHARES[0]))
+    return alpha, min(SHARES, key=lambda s: of(alpha, s))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on labelled rows outside the held-out fifth: at most ``fit_rows`` rows and ``fit_bytes`` of text of each class.
+
+    Rates are chosen on a fifth of these rows (a remainder of 1), then all of them are
+    fitted; held-out rows have no part in it. Null labels and keys are left out; of several
+    labels for one key the largest counts, of several texts one. Without both classes the
+    model is the intercept alone.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_k")).agg(F.max((F.col(label) > 0).cast("int")).alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     order = [F.xxhash64(F.lit(seed), "_k"), F.col("_k")]
     chosen = known.filter("_y = 1").orderBy(*order).limit(fit_rows).unionByName(known.filter("_y = 0").orderBy(*order).limit(fit_rows))
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_k")  # 2 * fit_rows keys at most
-    got = rows.select("_y", "_t").mapInArrow(_extract, "label int, ids binary").collect()
-    examples = sorted(((r["label"], bytes(r["ids"])) for r in got))
-    examples = [(y, np.frombuffer(b, "<i4")) for y, b in examples]
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")  # 2 * fit_rows keys at most
+    rows = rows.groupBy("_k", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), F.octet_length("_t"))).alias("_t"))
+    before = F.coalesce(F.sum(F.octet_length("_t")).over(Window.partitionBy("_y").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 2 * fit_rows rows at most
+    rows = rows.withColumn("_b", before).filter(F.col("_b") < fit_bytes)
+    check = F.crc32(F.col("_k").cast("string").cast("binary")) % 5 == 1
+    got = rows.select("_y", "_t", check.cast("int").alias("_c")).mapInArrow(_extract, "label int, check int, ids binary").collect()
+    found = sorted(((r["label"], bytes(r["ids"]), r["check"]) for r in got))
+    examples = [(y, np.frombuffer(b, "<i4")) for y, b, _ in found]
     if len({y for y, _ in examples}) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior)))
-    return fit_ftrl(examples, prior)
+    part = lambda k: [e for e, (_, _, c) in zip(examples, found, strict=True) if c == k]
+    alpha, share = choose_rates(part(0), part(1), prior)
+    return fit_ftrl(examples, prior, alpha, share=share)
+
+
+class Scorer:
+    """Scores texts with a model's weights spread out."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, float]):
+        kept, weights, self.bias = model
+        self.dense = np.zeros(DIMS, np.float32)
+        self.dense[kept] = weights
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        data, offsets = text_buffers(texts)
+        out = np.full(len(texts), self.bias)
+        for i, j in row_chunks(offsets):
+            ids, rows = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            hit = self.dense[ids] != 0
+            ids, rows = _distinct(ids[hit], rows[hit])
+            out[i:j] += np.bincount(rows, self.dense[ids], j - i)
+        return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+
+def _shared(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]):
+    kept, weights, bias = model
+    return docs.sparkSession.sparkContext.broadcast((kept.astype(np.int32), weights, bias))  # DIMS entries at most
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` of every whole text; null and empty texts get the intercept's."""
-    kept, weights, bias = model
-    shared = docs.sparkSession.sparkContext.broadcast((kept.astype(np.int32), weights, bias))  # DIMS entries at most
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, weights, bias = shared.value
-        dense = np.zeros(DIMS, np.float32)
-        dense[kept] = weights
+        scorer = Scorer(shared.value)
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            out = np.full(batch.num_rows, bias)
-            for i, j in row_chunks(offsets):
-                ids, rows = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                hit = dense[ids] != 0
-                ids, rows = _distinct(ids[hit], rows[hit])
-                out[i:j] += np.bincount(rows, dense[ids], j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1)))], ["key", "score"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, keyed_schema(docs, key, "score double")).withColumnRenamed("key", key)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that the model fitted on ``labels`` scores below 0.5."""
-    rows = docs.select(whole_row(docs).alias("_row"), F.col(text).alias("_text"))
-    return score(rows, fit(docs, labels, key, text), "_row", "_text").filter("score < 0.5").select("_row.*")
+    shared, at = _shared(docs, fit(docs, labels, key, text)), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at).cast(pa.string())) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
