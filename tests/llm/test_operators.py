@@ -272,6 +272,38 @@ def test_rules_are_learned():
     assert (caught == bad).mean() > 0.97 and quality_rules.learn(x, np.zeros(2000, bool)) == []
 
 
+def test_ftrl_against_a_plain_one():
+    """One coordinate at a time, in the same order of examples."""
+    rng = np.random.default_rng(4)
+    examples = [(int(k % 3 == 0), np.unique(rng.integers(0, 40, 9))) for k in range(90)]
+    prior, alpha, beta, l2 = 0.2, 0.3, 1.0, 0.1
+    l1 = 0.5  # the least that a share makes
+    z, n, bias, bias_n = {}, {}, np.log(prior / (1 - prior)), 1.0
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else (np.sign(zi) * l1 - zi) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(3):
+        for k in order.permutation(len(examples)):
+            y, ids = examples[k]
+            w = {int(i): weight(int(i)) for i in ids}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * wi
+                n[i] = old + g * g
+            bias_n += g * g
+            bias -= 0.02 * g / bias_n**0.5
+    kept, weights, intercept = toxicity.fit_ftrl(examples, prior, alpha, beta, 0.001, l2)
+    plain = {i: weight(i) for i in z if weight(i)}
+    slope, shift = toxicity.calibrate(np.array([bias + sum(plain.get(int(i), 0.0) for i in ids) for _, ids in examples]), np.array([y for y, _ in examples]), prior)
+    assert sorted(plain) == kept.tolist() and np.allclose([slope * plain[i] for i in kept.tolist()], weights, rtol=1e-4) and abs(slope * bias + shift - intercept) < 1e-6
+    assert toxicity.loss((kept, weights, intercept), examples, prior) < toxicity.loss((kept[:0], weights[:0], 0.0), examples, prior)
+    assert toxicity.choose_rates(examples, examples[:1], prior) == (toxicity.ALPHAS[0], toxicity.SHARES[0])
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     say = lambda: [rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randint(0, 30)) for _ in range(60)]
@@ -288,6 +320,13 @@ def test_toxicity(spark):
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.95 * len(held) and len(got) == 602
     assert toxicity.score(docs, toxicity.fit(docs, table.filter("false"))).filter("score is null").isEmpty()
+    # other labels of held-out rows change nothing; a bound on bytes holds; keys repeat
+    swapped = table.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    models = [toxicity.fit(docs, x) for x in (table, swapped)]
+    assert all(np.array_equal(a, b) for a, b in zip(*models)) and len(models[0][0]) > 0
+    assert not np.array_equal(toxicity.fit(docs.union(docs), table, fit_bytes=1)[0], models[0][0])
+    wide = docs.withColumns({"row": F.lit(1), "label": F.lit("x"), "score": F.lit(2.0)})
+    assert toxicity.reject_toxic(wide, table).columns == wide.columns and toxicity.reject_toxic(wide.filter("false"), table).count() == 0
 
 
 def test_url_filter(spark):
