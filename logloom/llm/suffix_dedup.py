@@ -7,14 +7,17 @@ earlier document or further left in the same one.
    equal ones. Equal strings have equal anchors at equal places, so suffixes fall into
    buckets by anchor, and a string that repeats does so inside one bucket. The strings
    of one anchor at one place are neighbours: a stretch. Stretches that are equal
-   throughout are settled by hash (inside the task that reads them, then over all).
+   throughout are one: two 64-bit hashes, of the anchor and of the stretch, tell (inside
+   the task that reads them, then over all), and all but the first are repeats.
 2. Buckets that still have different stretches are sorted, a block of buckets at a time:
    suffixes by their first 16 bytes; ties by the precomputed ranks of sample suffixes, those
    at places that are {0, 1, 2, 5, 8} modulo 16. For any two places a common shift below 16
    leads to two samples, so a tie of any length takes one comparison. Neighbours in suffix
    order that agree on ``width`` bytes are one class; all but its first are repeats.
-3. Oversized buckets (one anchor in very many contexts) are split by the strings' own
-   hashes, which keeps equal strings together at any number of them.
+3. A bucket of too many stretches for a task is split by longer keys: its strings are taken
+   16 neighbouring distances from the anchor at a time, and the 85 bytes that all strings of
+   such distances have in common name the new bucket; after that by whole strings. Equal
+   strings stay together at every step, and the new buckets go through 1 and 2 again.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import Staging, _powers, _prefix, hash_windows, keyed_schema, mix, row_chunks, signed, text_buffers, whole_row, with_row_key
 
 WIDTH, ANCHOR = 100, 24
-#: Different stretches of one anchor up to which the bucket is sorted whole: about 4 MB of text, a quarter GB in the sort.
-BUCKET_STRETCHES = 1 << 15
+#: Different stretches of a bucket up to which it is sorted whole: about 1 MB of text.
+BUCKET_STRETCHES = 1 << 13
+#: Distances from the anchor that the strings of a split bucket have, in order of the splits.
+STEPS = (16, 1)
 #: Bytes of text that one block of buckets holds, about; bounds a task's memory.
 BLOCK_BYTES = 2 << 20
 #: Text bytes whose equal stretches a task settles by itself before anything is shuffled.
@@ -306,52 +311,99 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         size = n + WIDTH - 1
         for a in range(0, len(row), 20_000):
             b = slice(a, a + 20_000)
-            ends = np.cumsum(size[b])
-            index = np.repeat(begin[b] - (ends - size[b]), size[b]) + np.arange(ends[-1])
-            context = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[index]))])
-            yield pa.RecordBatch.from_arrays([flat.field("g").slice(a, len(ends)), pa.array(keys[row[b]]), pa.array(first[b]), pa.array(n[b].astype(np.int32)), context, flat.field("big").slice(a, len(ends))], ["g", "rid", "first", "n", "context", "big"])
+            context = _slices(data, begin[b], size[b])
+            yield pa.RecordBatch.from_arrays([flat.field("g").slice(a, len(context)), pa.array(keys[row[b]]), pa.array(first[b]), pa.array(n[b].astype(np.int32)), context, flat.field("big").slice(a, len(context))], ["g", "rid", "first", "n", "context", "big"])
 
 
-def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each string of an oversized bucket's stretches."""
-    for batch in batches:
-        rid, first = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        n = batch.column(3).to_numpy().astype(np.int64)
-        data, offsets = text_buffers(batch.column(4))
-        for i, j in row_chunks(offsets):
-            part = data[offsets[i] : offsets[j]]
-            if not len(part):
-                continue
-            owner = np.repeat(np.arange(i, j), n[i:j])
-            within = np.arange(len(owner)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
-            at = offsets[owner] - offsets[i] + within
-            h, h2 = hash_windows(part, WIDTH)[at], hash_windows(part, WIDTH // 2)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(h2)), pa.array(rid[owner]), pa.array(first[owner] + within)], ["h", "h2", "rid", "first"])
+def _slices(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """data[begin : begin + size] for each of them as an Arrow array."""
+    ends = np.cumsum(size)
+    index = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[index]))])
+
+
+def narrow(g: np.ndarray, n: np.ndarray, data: np.ndarray, offsets: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """(bucket, hash, stretch, its first string, strings, begin in data) of the narrower stretches of at most 2^20 bytes of stretches.
+
+    Strings of one stretch whose distances from the anchor, whose hash ``g`` is, fall into one
+    run of ``step`` are a narrower stretch; for a step of 1 ``g`` may be any bucket. Its bucket is named by the bytes that every string at those distances
+    has, whichever of them are there.
+    """
+    begin = offsets[:-1]
+    owner = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    if step > 1:
+        grams = hash_windows(data, ANCHOR)
+        match = np.flatnonzero(grams == np.repeat(g.view(np.uint64), np.diff(offsets))[: len(grams)])
+        anchor = match[np.searchsorted(match, begin + n - 1)]  # the first one that the last string holds
+        run = (anchor[owner] - begin[owner] - within) // step
+    else:  # every string is alone
+        run = within
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(owner)))
+    row, first, run = owner[at], within[at], run[at]
+    start = begin[row] + first
+    common = hash_windows(data, WIDTH - step + 1)[anchor[row] - step * run if step > 1 else start]
+    bucket = mix(common ^ mix(g.view(np.uint64)[row] + (run if step > 1 else 0 * run).astype(np.uint64)))
+    sums = _prefix(data)
+    whole = mix((sums[start + count + WIDTH - 1] - sums[start]) * _powers()[1][start] + count.astype(np.uint64))
+    return signed(bucket), signed(whole), row, first, count, start
+
+
+def _narrower(step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, rid, first0, n = (batch.column(k).to_numpy() for k in range(4))
+            data, offsets = text_buffers(batch.column(4))
+            for i, j in row_chunks(offsets, 1 << 17):
+                part = data[offsets[i] : offsets[j]]
+                bucket, whole, row, first, count, start = narrow(g[i:j], n[i:j].astype(np.int64), part, offsets[i : j + 1] - offsets[i], step)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(whole), pa.array(rid[i:j][row]), pa.array(first0[i:j][row] + first), pa.array(count.astype(np.int32)), _slices(part, start, count + WIDTH - 1)], ["g", "s", "rid", "first", "n", "context"])
+
+    return run
+
+
+def _judged(rows: DataFrame, stage: Staging, name: str) -> DataFrame:
+    """Whether each stretch (``g``, ``s``, ``rid``, ``first``, ``n``) is equal to an earlier one: ``again``."""
+    lead = F.struct("rid", "first")
+    equal = Window.partitionBy("g", "s", "n").orderBy("rid", "first")  # a row for each 32 MB of text at most
+    return stage.write(rows.withColumn("again", F.first(lead).over(equal) != lead).drop("s"), name)
+
+
+def _several(judged: DataFrame) -> DataFrame:
+    """The first of all equal stretches in buckets that have different ones, with ``big``: too many for one task."""
+    first = judged.filter("not again").drop("again")
+    kinds = first.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    return first.join(kinds, "g").withColumn("big", F.col("kinds") > BUCKET_STRETCHES).drop("kinds")
 
 
 def repeated_runs(docs: DataFrame, stage: Staging) -> DataFrame:
     """(rid, first, n): strings of WIDTH bytes starting at first .. first + n - 1 that also start earlier. ``docs``: ``_rid``, ``_text``."""
+    run = ["rid", "first", "n"]
     local = stage.write(docs.select("_rid", "_text").mapInArrow(_local, "g bigint, s bigint, rid bigint, first bigint, n int"), "local")
-    settled = local.filter("g is null").select("rid", "first", "n")
-    # equal stretches over all documents, then buckets with different ones
-    equal = Window.partitionBy("g", "s", "n").orderBy("rid", "first")
-    bucket = Window.partitionBy("g")
-    lead = F.struct("rid", "first")
-    judged = local.filter("g is not null").withColumn("lead", F.first(lead).over(equal)).withColumn("again", F.col("lead") != lead)
-    judged = judged.withColumn("kinds", F.sum(F.when(~F.col("again"), 1).otherwise(0)).over(bucket))
-    judged = stage.write(judged.filter("again or kinds > 1").select("g", "rid", "first", "n", "again", (F.col("kinds") > BUCKET_STRETCHES).alias("big")), "judged")
-    settled = settled.unionByName(judged.filter("again").select("rid", "first", "n"))
+    found = stage.write(local.filter("g is null").select(*run), "local_runs")
+    judged = _judged(local.filter("g is not null"), stage, "judged")
+    stage.discard("local")
+    found = found.unionByName(judged.filter("again").select(*run))
 
-    asked = judged.filter("not again").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "n", "g", "big"))).alias("wanted"))
+    asked = _several(judged).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "n", "g", "big"))).alias("wanted"))
     # what is asked for grows with the corpus: the same join at any size
     cut = docs.select("_rid", "_text").hint("merge").join(asked.hint("merge"), F.col("_rid") == F.col("rid")).select("_rid", "_text", "wanted")
     cut = stage.write(cut.mapInArrow(_cut_contexts, "g bigint, rid bigint, first bigint, n int, context binary, big boolean"), "contexts", codec="zstd")
-    columns = ["g", "rid", "first", "n", "context"]
-    sorted_ = cut.filter("not big").select(columns).repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks, "rid bigint, first bigint, n int")
-    strings = cut.filter("big").select(columns).mapInArrow(_string_hashes, "h bigint, h2 bigint, rid bigint, first bigint")
-    earliest = strings.groupBy("h", "h2").agg(F.min(F.struct("rid", "first")).alias("lead"))
-    again = strings.join(earliest, ["h", "h2"]).filter(F.col("lead") != F.struct("rid", "first")).select("rid", "first", F.lit(1).cast("int").alias("n"))
-    return settled.unionByName(sorted_).unionByName(again)
+    columns = ["g", *run, "context"]
+    whole, big = cut.filter("not big").select(columns), cut.filter("big").select(columns)
+    for step in STEPS:
+        if big.isEmpty():
+            break
+        narrower = big.mapInArrow(_narrower(step), "g bigint, s bigint, rid bigint, first bigint, n int, context binary")
+        narrower = _judged(narrower, stage, f"judged{step}")
+        found = found.unionByName(narrower.filter("again").select(*run))
+        several = stage.write(_several(narrower), f"several{step}", codec="zstd")  # none is left of whole strings
+        whole, big = whole.unionByName(several.filter("not big").select(columns)), several.filter("big").select(columns)
+    sorted_ = whole.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks, "rid bigint, first bigint, n int")
+    return found.unionByName(sorted_)
 
 
 def _remove(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, list[bytes]]:
