@@ -79,13 +79,31 @@ def check_repeats(rows, got):
     assert got == expected
 
 
-@pytest.mark.parametrize("whole", [1 << 15, 1])
+@pytest.mark.parametrize("whole", [1 << 13, 3, 1])
 def test_suffix_dedup(spark, docs, texts, whole, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_STRETCHES", whole)  # 1: every bucket goes the way of oversized ones
+    monkeypatch.setattr(suffix_dedup, "BUCKET_STRETCHES", whole)  # 3: large buckets are split, 1: down to single strings
     out = suffix_dedup.dedup_substrings(docs).collect()
     check_repeats(enumerate(texts), {r["row"]["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in out})
 
 
+def test_narrower_stretches_keep_equal_strings_together():
+    rng = random.Random(7)
+    say = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    texts = [say(rng.randint(0, 30)) + core + say(rng.randint(0, 60)) for core in [say(130), b"ab" * 70, b"a" * 120, say(101)] for _ in range(6)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    g, _, row, first, n = suffix_dedup.stretches(data, offsets)
+    parts = [bytes(data[offsets[r] + f : offsets[r] + f + k + 99]) for r, f, k in zip(row, first, n)]
+    for step in suffix_dedup.STEPS:
+        flat, bounds = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+        bucket, _, owner, at, count, start = suffix_dedup.narrow(g, n, flat, bounds, step)
+        strings, places = {}, []
+        for b, o, f, c, x in zip(bucket.tolist(), owner, at, count, start):
+            for k in range(c):
+                strings.setdefault(bytes(flat[x + k : x + k + 100]), set()).add((int(g[o]), b))
+                places.append((int(o), int(f + k)))
+        assert sorted(places) == [(o, k) for o in range(len(n)) for k in range(n[o])] and all(len(x) == 1 for x in strings.values())
+
+
 def test_blocks_end_between_buckets(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1000)
     rng = random.Random(2)
