@@ -3,32 +3,40 @@
 A bidirectional window network, written in numpy, predicts every word from the two words
 on either side: their embeddings go through one tanh layer to a softmax over classes and
 a softmax over the words of the class, so probabilities are exact and cheap. A document's
-score is the sum of its words' conditional log-probabilities. A word outside the
-vocabulary has the probability of number 0 times that of its spelling, by a chain over bytes
-counted on all such words.
+score is the sum of its words' conditional log-probabilities.
 
-The vocabulary comes from counts over all documents. Training covers all words of all documents:
-each task trains a copy of the network on the words of its own documents, and the copies
-are averaged by the words that they saw, in rounds; each word is a target in one of them.
+A word outside the network's vocabulary has the probability of number 0 times that of the
+word among all such words: by its count in the rest of the corpus, smoothed by its spelling
+(a chain over bytes) with the weight of words that occur once. So what is gathered grows
+with the corpus: the counts of all its words are a table. The counts of the most frequent
+ones are broadcast, those of the long tail are joined.
+
+Training covers all words of all documents: each task trains a copy of the network on the
+words of its own documents, and the copies are averaged by the words that they saw, in
+rounds; each word is a target in one of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, hash_spans, keyed_schema, mix, row_chunks, signed, text_buffers, word_spans
+from .common import LOWER, Staging, hash_spans, mix, row_chunks, signed, text_buffers, word_spans
 
 CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS  # number 0 stands for all other words
 EMBED, HIDDEN, SIDE = 12, 32, 2
 #: A word in so many is a training target, another one in each round: over all rounds, every word once.
 STRIDE = ROUNDS = 2
+#: Words outside the vocabulary whose counts are broadcast (12 bytes each), at most; the counts of others are joined.
+TABLE = 1 << 20
 _BATCH, _LARGE_BATCH = 2048, 16384  # batches grow with the words seen
 _PIECE = 4096  # parameters in a row when copies are averaged
 _HELD = np.array([LOWER[b] == b and b not in b" \t\n\x0b\x0c\r" for b in range(256)])  # bytes of words
@@ -159,16 +167,14 @@ def spelled(table: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.nda
     return sums + table[low[ends - 1], 256]
 
 
-def _spellings(numbers: Numbers, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs of neighbouring bytes in words outside the vocabulary."""
+def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs of neighbouring bytes in words outside the vocabulary, which lie in a column."""
     pairs = np.zeros(257 * 257, np.int64)
     for batch in batches:
         data, offsets = text_buffers(batch.column(0))
         for i, j in row_chunks(offsets):
-            low = LOWER[data[offsets[i] : offsets[j]]].astype(np.int64)
+            low = data[offsets[i] : offsets[j]].astype(np.int64)
             starts, ends, _ = word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            other = numbers(hash_spans(low.astype(np.uint8), starts, ends)) == 0
-            starts, ends = starts[other], ends[other]
             if not len(starts):
                 continue
             inner = np.zeros(len(low) + 1, np.int8)
@@ -181,9 +187,8 @@ def _spellings(numbers: Numbers, batches: Iterator[pa.RecordBatch]) -> Iterator[
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(pairs[seen])], ["pair", "n"])
 
 
-def spelling(docs: DataFrame, numbers: Numbers, text: str = "text") -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
-    counts = docs.select(text).mapInArrow(lambda batches: _spellings(shared.value, batches), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+def spelling(numbered: DataFrame) -> np.ndarray:
+    counts = numbered.select("other").mapInArrow(_spellings, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = np.zeros(257 * 257)
     for r in counts.collect():  # at most 257 * 257
         pairs[r["pair"]] = r["n"]
@@ -231,21 +236,73 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Numbers, np.ndarray]:
-    """The most frequent words over all documents (ties by hash) and the counts by number."""
-    counts = docs.select(text).mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+@dataclass
+class Words:
+    """What is known of the corpus's words: the vocabulary's ``numbers`` and ``frequency``, counts of frequent other words, and the table of the rest."""
+
+    numbers: Numbers
+    frequency: np.ndarray  # by number
+    hashes: np.ndarray  # sorted, of other words that occur ``least`` times or more
+    counts: np.ndarray
+    least: int
+    rest: DataFrame  # (h, n) of other words that occur less often
+    once: float  # other words that occur once
+
+
+def vocabulary(docs: DataFrame, text: str = "text", stage: Staging | None = None, most: int = TABLE) -> Words:
+    """Counts of all words of all documents; the most frequent ones (ties by hash) are the vocabulary."""
+    stage = stage or Staging(docs.sparkSession, "words")
+    counts = stage.write(docs.select(text).mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - 1).collect()
+    times = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # a row for each count that occurs
     frequency = np.zeros(VOCABULARY)
     frequency[1 : len(top) + 1] = [r["n"] for r in top]
-    frequency[0] = total - frequency.sum()
-    return Numbers(np.array([r["h"] for r in top], np.int64).view(np.uint64)), frequency
+    frequency[0] = sum(n * k for n, k in times) - frequency.sum()
+    least, held = 1 + (times[0][0] if times else 0), 0
+    for n, k in times:
+        if held + k > most + len(top):
+            break
+        least, held = n, held + k
+    known = counts.filter(F.col("n") >= least).toArrow()  # ``most`` rows and the vocabulary
+    hashes, n = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
+    inside = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    other = ~np.isin(hashes, inside)
+    order = np.argsort(hashes[other])
+    once = dict(times).get(1, 0) - sum(r["n"] == 1 for r in top)
+    return Words(Numbers(inside), frequency, hashes[other][order], n[other][order], least, counts.filter(F.col("n") < least), float(max(1, once)))
+
+
+def _number(numbers: Numbers, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's words as 16-bit numbers, and those outside the vocabulary in lower case with a blank after each."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(2))
+        for i, j in row_chunks(offsets):
+            low = LOWER[data[offsets[i] : offsets[j]]]
+            starts, ends, firsts = word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            ids = numbers(hash_spans(low, starts, ends))
+            at = np.flatnonzero(ids == 0)
+            size = ends[at] - starts[at] + 1
+            stop = np.cumsum(size)
+            index = np.repeat(starts[at] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+            other = np.append(low, np.uint8(32))[np.minimum(index, len(low))]
+            other[stop - 1] = 32
+            cut = np.concatenate([[0], stop])[np.searchsorted(at, firsts)].astype(np.int32)
+            column = lambda b, x: pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(b), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), column((2 * firsts).astype(np.int32), ids.astype("<u2").tobytes()), column(cut, other.tobytes())], ["rid", "key", "ids", "other"])
+
+
+def number(docs: DataFrame, numbers: Numbers, key: str, text: str, stage: Staging, name: str = "numbered") -> DataFrame:
+    """``rid``, ``key``, ``ids`` and ``other`` of every row, written once so that no later pass goes through texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)  # VOCABULARY words
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("other", T.BinaryType())])
+    return stage.write(rows.mapInArrow(lambda batches: _number(shared.value, batches), schema), name, codec="zstd")
 
 
 def targets(words: np.ndarray, turn: int, stride: int) -> np.ndarray:
     """The places of the words to predict in a round: over ``stride`` rounds, each place once."""
     at = np.arange(len(words), dtype=np.uint64)
-    return np.flatnonzero(mix(words + at) % np.uint64(stride) == np.uint64(turn % stride))
+    return np.flatnonzero(mix(words.astype(np.uint64) + (at << np.uint64(16))) % np.uint64(stride) == np.uint64(turn % stride))
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -269,17 +326,21 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table["piece"].slice(0, 1), "seen": pa.array([seen.sum()]), "x": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Numbers, dict[str, np.ndarray], np.ndarray]:
-    """Vocabulary, weights and the table of spellings."""
-    spark = docs.sparkSession
-    numbers, frequency = vocabulary(docs, text)
-    p = initial(frequency)
+@dataclass
+class Model:
+    words: Words
+    p: dict[str, np.ndarray]
+    table: np.ndarray  # of spellings
+    numbered: DataFrame  # the corpus
+
+
+def train(numbered: DataFrame, p: dict[str, np.ndarray], rounds: int = ROUNDS, stride: int = STRIDE) -> dict[str, np.ndarray]:
+    """The weights after all rounds over the rows' ``ids``."""
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((numbers, p))  # about 1 MB, whatever the corpus
+        shared = numbered.sparkSession.sparkContext.broadcast(p)  # about 1 MB, whatever the corpus
 
-        def train(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            numbers, start = shared.value
-            trainer, around, target = Trainer(start), [], []
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            trainer, around, target = Trainer(shared.value), [], []
 
             def flush(least: int) -> None:
                 if sum(map(len, target)) < least or not target:
@@ -297,11 +358,10 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int =
             for batch in batches:
                 data, offsets = text_buffers(batch.column(0))
                 for i, j in row_chunks(offsets):
-                    words, firsts = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    at = targets(words, turn, stride)
+                    ids = np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), "<u2").astype(np.int32)
+                    at = targets(ids, turn, stride)
                     if len(at):
-                        ids = numbers(words)
-                        around.append(contexts(ids, firsts, at))
+                        around.append(contexts(ids, (offsets[i : j + 1] - offsets[i]) // 2, at))
                         target.append(ids[at])
                     flush(4 * _LARGE_BATCH)
             flush(1)
@@ -311,40 +371,98 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int =
                 part = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([part] * len(cuts), pa.int64()), pa.array([float(trainer.seen)] * len(cuts)), pa.array([x[c : c + _PIECE].tobytes() for c in cuts], pa.binary())], ["piece", "part", "seen", "x"])
 
-        copies = docs.select(text).mapInArrow(train, "piece int, part bigint, seen double, x binary")
+        copies = numbered.select("ids").mapInArrow(run, "piece int, part bigint, seen double, x binary")
         # means of up to about 256 copies, then the mean of the means
         few = copies.groupBy("piece", F.floor(F.col("part") / 256).alias("_group")).applyInArrow(_mean, "piece int, seen double, x binary")
         got = few.groupBy("piece").applyInArrow(_mean, "piece int, seen double, x binary").orderBy("piece").collect()
         if got:
             p = _shaped(np.concatenate([np.frombuffer(bytes(r["x"]), "<f4") for r in got]))
-    return numbers, p, spelling(docs, numbers, text)
+    return p
 
 
-def score(docs: DataFrame, model: tuple[Numbers, dict[str, np.ndarray], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_words``, ``log_likelihood`` (summed) and ``mean_log_likelihood`` (0 without words) of whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, most: int = TABLE) -> Model:
+    """Count the corpus's words, number its texts, train the network and count spellings.
+
+    Null, empty and wordless texts add nothing; rows that repeat a key or a whole row count
+    each for itself; an empty table gives the untrained network. Other columns aren't read.
+    """
+    stage = Staging(docs.sparkSession, "lm")
+    words = vocabulary(docs, text, stage, most)
+    numbered = number(docs, words.numbers, key, text, stage)
+    return Model(words, train(numbered, initial(words.frequency), rounds, stride), spelling(numbered), numbered)
+
+
+def among_others(counts: np.ndarray, own: np.ndarray, spelt: np.ndarray, once: float) -> np.ndarray:
+    """log of (count in the rest of the corpus + weight of spellings * probability of the spelling)."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(counts - own, 0).astype(float)), np.log(once) + spelt)
+
+
+def score(numbered: DataFrame, model: Model, own: bool = True) -> DataFrame:
+    """``key``, ``n_words``, ``log_likelihood`` (summed) and ``mean_log_likelihood`` (0 without words) of numbered rows.
+
+    ``own``: the rows are the corpus itself, so a row's own words don't count for it. Rows
+    that repeat a key or a whole row are scored each for itself, and copies count for each
+    other; null, empty and wordless texts have 0.
+    """
+    spark, w = numbered.sparkSession, model.words
+    shared = spark.sparkContext.broadcast((model.p, model.table, w.hashes, w.counts, w.once, float(w.frequency[0])))  # TABLE words and the weights
+    kind = numbered.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, p, table = shared.value
+        p, table, hashes, counts, once, total = shared.value
+        names = ["rid", "key", "n_words", "ll", "h", "k", "spelt"]
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(2))
+            low, bounds = text_buffers(batch.column(3))
             for i, j in row_chunks(offsets):
-                low = LOWER[data[offsets[i] : offsets[j]]]
-                starts, ends, firsts = word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ids = numbers(hash_spans(low, starts, ends))
+                n, rows = (np.diff(offsets[i : j + 1]) // 2), j - i
+                ids, firsts = np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), "<u2").astype(np.int32), (offsets[i : j + 1] - offsets[i]) // 2
                 sums = np.zeros(len(ids) + 1)
                 for k in range(0, len(ids), 16384):
                     at = np.arange(k, min(k + 16384, len(ids)))
                     sums[at + 1] = log_probabilities(p, contexts(ids, firsts, at), ids[at])
-                other = np.flatnonzero(ids == 0)
-                sums[other + 1] += spelled(table, low, starts[other], ends[other])
-                total = np.cumsum(sums)
-                ll, n = total[firsts[1:]] - total[firsts[:-1]], np.diff(firsts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ll), pa.array(ll / np.maximum(n, 1))], ["key", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, keyed_schema(docs, key, "n_words bigint, log_likelihood double, mean_log_likelihood double")).withColumnRenamed("key", key)
+                sums = np.cumsum(sums)
+                ll = sums[firsts[1:]] - sums[firsts[:-1]]
+                # words outside the vocabulary: each distinct one of a row, and how often it is there
+                part = low[bounds[i] : bounds[j]]
+                starts, ends, cut = word_spans(part, bounds[i : j + 1] - bounds[i])
+                words, spelt, row = hash_spans(part, starts, ends), spelled(table, part, starts, ends), np.repeat(np.arange(rows), np.diff(cut))
+                order = np.lexsort((words, row))
+                words, spelt, row = words[order], spelt[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])])) if len(words) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(words)))
+                words, spelt, row = words[first], spelt[first], row[first]
+                place = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
+                known = hashes[place] == words if len(hashes) else np.zeros(len(words), bool)
+                mine = times if own else 0 * times
+                here = times[known] * among_others(counts[place[known]], mine[known], spelt[known], once)
+                ll += np.bincount(row[known], here, rows)
+                others = np.diff(cut)
+                ll -= others * np.log(total - others * own + once)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(n, pa.int64()), pa.array(ll), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64())], names)
+                if (~known).any():
+                    at = pa.array(row[~known] + i)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.nulls(len(at), batch.column(1).type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()), pa.array(signed(words[~known])), pa.array(times[~known], pa.int64()), pa.array(spelt[~known])], names)
+
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("key", kind), *T.StructType.fromDDL("n_words bigint, ll double, h bigint, k bigint, spelt double").fields])
+    out = Staging(spark, "lm").write(numbered.mapInArrow(run, schema), "scores")
+    tail = out.filter("h is not null").select("rid", "h", "k", "spelt").join(w.rest, "h", "left")
+    rest = F.coalesce("n", F.lit(0)) - (F.col("k") if own else F.lit(0))
+    novel = F.lit(float(np.log(w.once))) + F.col("spelt")
+    each = F.when(rest > 0, F.log(rest.cast("double")) + F.log1p(F.exp(novel - F.log(rest.cast("double"))))).otherwise(novel)
+    more = tail.groupBy("rid").agg(F.sum(F.col("k") * each).alias("more"))
+    ll = F.col("ll") + F.coalesce("more", F.lit(0.0))
+    return out.filter("h is null").join(more, "rid", "left").select("key", "n_words", ll.alias("log_likelihood"), F.coalesce(F.try_divide(ll, F.col("n_words")), F.lit(0.0)).alias("mean_log_likelihood"))
+
+
+def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores of other documents than those that the model was fitted on."""
+    numbered = number(docs, model.words.numbers, key, text, Staging(docs.sparkSession, "lm"))
+    return score(numbered, model, own=False).withColumnRenamed("key", key)
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, fit(docs))
+    model = fit(docs)
+    return score(model.numbered, model).withColumnRenamed("key", "doc_id")
