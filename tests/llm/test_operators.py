@@ -465,14 +465,81 @@ def test_best_fit():
     assert n == 3 and sizes.max() == 10
 
 
-def test_lm_scoring(spark, docs):
-    model = lm_scoring.fit(docs, rounds=1, stride=2)
-    out = {r["doc_id"]: r for r in lm_scoring.score(docs, model).collect()}
-    assert out[79]["n_words"] == 0 and out[79]["log_likelihood"] == 0.0 and all(r["log_likelihood"] <= 0 for r in out.values())
-    ids = np.array([5, 6, 7], np.int32)
-    p = model[1]
-    total = sum(np.exp(lm_scoring.log_probabilities(p, lm_scoring.contexts(ids, np.array([0, 3]), np.array([1])), np.array([k])))[0] for k in range(lm_scoring.VOCABULARY))
-    assert abs(total - 1) < 1e-3
+@pytest.mark.parametrize("most", [1 << 20, 60, 0])
+def test_word_counts(docs, texts, most, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 64)  # the driver's
+    total = Counter(w for t in texts for w in words_of(t))
+    words = lm_scoring.vocabulary(docs, most=most)
+    assert words.frequency.sum() == sum(total.values()) and len(words.hashes) <= most
+    assert len(words.hashes) + words.rest.join(docs.sparkSession.createDataFrame([(int(h),) for h in words.numbers.keys.view(np.int64)], "h bigint"), "h", "left_anti").count() == len(total) - 63
+
+
+def test_pseudo_likelihood_by_hand(spark, docs, texts):
+    model = lm_scoring.fit(docs, most=100)
+    out = {r["key"]: r for r in lm_scoring.score(model.numbered, model).collect()}
+    assert out[79]["n_words"] == 0 and out[79]["log_likelihood"] == out[79]["mean_log_likelihood"] == 0.0 and len(out) == len(texts)
+    w, p, table = model.words, model.p, model.table
+    total = Counter(x for t in texts for x in words_of(t))
+    code = lambda x: int(hash_spans(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0])
+    numbers = {x: int(w.numbers(np.array([code(x)], np.uint64))[0]) for x in total}
+    unknown = {x: n for x, n in total.items() if not numbers[x]}
+    once, mass = max(1, sum(n == 1 for n in unknown.values())), sum(unknown.values())
+    assert (w.once, w.frequency[0]) == (once, mass)
+    for i in (0, 45, 80, 81, 85, 88):
+        said = words_of(texts[i])
+        ids = [numbers[x] for x in said]
+        mine, k, ll = Counter(x for x in said if not numbers[x]), 0, 0.0
+        k = sum(mine.values())
+        for at, x in enumerate(said):
+            around = [ids[at + d] if 0 <= at + d < len(ids) else lm_scoring.VOCABULARY for d in (-2, -1, 1, 2)]
+            h = np.tanh(np.concatenate([p["e"][c] for c in around]).astype(float) @ p["w"] + p["b"])
+            c, m = divmod(ids[at], lm_scoring.PER_CLASS)
+            a, b = h @ p["c"] + p["d"], h @ p["u"][c] + p["v"][c]
+            ll += a[c] - np.log(np.exp(a).sum()) + b[m] - np.log(np.exp(b).sum())
+            if not ids[at]:
+                chain = [256, *x.encode(), 256]
+                spelt = np.exp(sum(table[f, g] for f, g in zip(chain, chain[1:])))
+                ll += np.log((total[x] - mine[x] + once * spelt) / (mass - k + once)) if total[x] - mine[x] + spelt > 0 else np.log(once) + sum(table[f, g] for f, g in zip(chain, chain[1:])) - np.log(mass - k + once)
+        assert abs(out[i]["log_likelihood"] - ll) < 1e-3 * abs(ll) + 1e-3 and out[i]["n_words"] == len(said)
+    fresh = lm_scoring.score_texts(docs.limit(3), model).collect()
+    assert all(r["log_likelihood"] >= out[r["doc_id"]]["log_likelihood"] - 1e-6 for r in fresh)
+    none = lm_scoring.fit(docs.filter("false"))
+    assert lm_scoring.score(none.numbered, none).count() == 0
+
+
+def test_gradients():
+    """The trainer's steps are those of the gradient of the summed negative log-likelihood, by finite differences."""
+    rng = np.random.default_rng(6)
+    p = {k: v.astype(float) for k, v in lm_scoring.initial(rng.integers(1, 50, lm_scoring.VOCABULARY).astype(float)).items()}
+    p = {k: v + 0.1 * rng.standard_normal(v.shape) for k, v in p.items()}
+    around, target = rng.integers(0, lm_scoring.VOCABULARY + 1, (40, 4)).astype(np.int32), rng.integers(0, 400, 40).astype(np.int32)
+    trainer = lm_scoring.Trainer(p)
+    trainer.train(around, target)
+    loss = lambda q: -lm_scoring.log_probabilities(q, around, target).sum() / np.sqrt(len(target))
+    for k in p:
+        step = (p[k] - trainer.p[k]) / trainer.rate  # g / sqrt(0.1 + g^2)
+        grad = np.sign(step) * np.sqrt(0.1 * step**2 / (1 - step**2))
+        for at in [np.unravel_index(x, grad.shape) for x in np.argsort(-np.abs(grad).ravel())[:4]]:
+            near = {n: v.copy() for n, v in p.items()}
+            near[k][at] += 1e-5
+            far = {n: v.copy() for n, v in p.items()}
+            far[k][at] -= 1e-5
+            assert abs((loss(near) - loss(far)) / 2e-5 - grad[at]) < 1e-3 * max(1, abs(grad[at]))
+
+
+def test_copies_are_likelier(spark):
+    """A text that occurs twice is likelier than such texts that occur once: what is gathered takes in the whole corpus."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("aeionrstlk") for _ in range(rng.randint(4, 9)))
+    common = [word() for _ in range(300)]
+    say = lambda: " ".join(rng.choice(common) if rng.random() < 0.7 else word() for _ in range(80))
+    rows = [say() for _ in range(420)]
+    rows += rows[:20]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    model = lm_scoring.fit(docs)
+    got = {r["key"]: r["mean_log_likelihood"] for r in lm_scoring.score(model.numbered, model).collect()}
+    alone = sorted(got[i] for i in range(20, 420))
+    assert all(got[i] > alone[-10] for i in [*range(20), *range(420, 440)])
 
 
 def test_spelling_of_unknown_words(spark):
@@ -489,7 +556,8 @@ def test_spelling_of_unknown_words(spark):
     noise = lambda: " ".join(f"{hashlib.md5(str(next(rare)).encode()).hexdigest()[:8]}" for _ in range(60))
     rows = [(i, prose()) for i in range(40)] + [(100 + i, noise()) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
-    out = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_scoring.score(docs, lm_scoring.fit(docs)).collect()}
+    model = lm_scoring.fit(docs)
+    out = {r["key"]: r["mean_log_likelihood"] for r in lm_scoring.score(model.numbered, model).collect()}
     assert max(v for k, v in out.items() if k >= 100) < min(v for k, v in out.items() if k < 100)
 
 
