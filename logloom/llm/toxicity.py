@@ -18,7 +18,7 @@ from .common import LOWER, byte_table, hash_spans, held_out, keyed_schema, mix,
 
 DIMS = 1 << 20
 #: Labelled rows of each class that the fit takes at most, by the smallest seeded hash of their key, and bytes of their texts (one text at least).
-FIT_ROWS, FIT_BYTES = 6000, 32 << 20
+FIT_ROWS, FIT_BYTES = 6000, 16 << 20
 #: Learning rates, and shares of the positive examples that make L1, among which a fifth of the training rows decides.
 ALPHAS, SHARES = (0.3, 0.1, 1.0), (0.01, 0.003, 0.03)
 #: Words here: letters, digits and all bytes beyond ASCII.
@@ -52,7 +52,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, rows = _distinct(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             cut = np.searchsorted(rows, np.arange(j - i + 1))
             packed = [ids[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(packed, pa.binary())], ["label", "check", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i), pa.array(packed, pa.binary())], ["label", "check", "hash", "ids"])
 
 
 def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float = ALPHAS[0], beta: float = 1.0, share: float = SHARES[0], l2: float = 0.1, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
@@ -75,10 +75,16 @@ def fit_ftrl(examples: list[tuple[int, np.ndarray]], prior: float, alpha: float
             n[ids] = grown
             bias_n += g * g
             bias -= 0.02 * g / np.sqrt(bias_n)
-    w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    kept = np.flatnonzero(w)
-    slope, shift = calibrate(np.array([bias + w[ids].sum() for _, ids in examples]), np.array([y for y, _ in examples]), prior)
-    return kept, (slope * w[kept]).astype(np.float32), slope * bias + shift
+    kept = np.flatnonzero(np.abs(z) > l1)
+    z, n = z[kept], n[kept]
+    return kept, ((np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2)).astype(np.float32), bias
+
+
+def margins(model: tuple[np.ndarray, np.ndarray, float], examples: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The model's log odds of the examples, and their labels."""
+    dense = np.zeros(DIMS, np.float32)
+    dense[model[0]] = model[1]
+    return np.array([model[2] + dense[ids].sum(dtype=float) for _, ids in examples]), np.array([y for y, _ in examples])
 
 
 def calibrate(margins: np.ndarray, labels: np.ndarray, prior: float, steps: int = 50) -> tuple[float, float]:
@@ -96,37 +102,40 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, prior: float, steps: int
     return float(theta[0]), float(theta[1])
 
 
-def loss(model: tuple[np.ndarray, np.ndarray, float], examples: list[tuple[int, np.ndarray]], prior: float) -> float:
+def loss(odds: np.ndarray, labels: np.ndarray, prior: float) -> float:
     """Mean log loss, classes weighted to the prior."""
-    dense = np.zeros(DIMS)
-    dense[model[0]] = model[1]
-    y = np.array([y for y, _ in examples])
-    p = 1 / (1 + np.exp(-np.clip([model[2] + dense[ids].sum() for _, ids in examples], -35, 35)))
-    each = -np.log(np.where(y == 1, p, 1 - p))
-    means = [each[y == k].mean() if (y == k).any() else 0.0 for k in (0, 1)]
-    return (1 - prior) * means[0] + prior * means[1]
+    p = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
+    each = -np.log(np.where(labels == 1, p, 1 - p))
+    means = [each[labels == k].mean() if (labels == k).any() else 0.0 for k in (0, 1)]
+    return float((1 - prior) * means[0] + prior * means[1])
+
 
+def choose_rates(examples: list[tuple[int, np.ndarray]], check: list[tuple[int, np.ndarray]], prior: float) -> tuple[float, float, float, float]:
+    """The learning rate, then the share for L1, whose fit on ``examples`` has the least loss on ``check``; and slope and shift that calibrate its margins there.
 
-def choose_rates(examples: list[tuple[int, np.ndarray]], check: list[tuple[int, np.ndarray]], prior: float) -> tuple[float, float]:
-    """The learning rate, then the share for L1, whose fit on ``examples`` has the least loss on ``check``; the first ones where a class is missing."""
+    The first rates, and margins as they are, where a class is missing.
+    """
     if len({y for y, _ in examples}) < 2 or len({y for y, _ in check}) < 2:
-        return ALPHAS[0], SHARES[0]
-    tried: dict[tuple[float, float], float] = {}
+        return ALPHAS[0], SHARES[0], 1.0, 0.0
+    tried: dict[tuple[float, float], tuple[float, float, float]] = {}
 
     def of(alpha: float, share: float) -> float:
         if (alpha, share) not in tried:
-            tried[alpha, share] = loss(fit_ftrl(examples, prior, alpha, share=share), check, prior)
-        return tried[alpha, share]
+            odds, labels = margins(fit_ftrl(examples, prior, alpha, share=share), check)
+            slope, shift = calibrate(odds, labels, prior)
+            tried[alpha, share] = loss(slope * odds + shift, labels, prior), slope, shift
+        return tried[alpha, share][0]
 
     alpha = min(ALPHAS, key=lambda a: of(a, SHARES[0]))
-    return alpha, min(SHARES, key=lambda s: of(alpha, s))
+    share = min(SHARES, key=lambda s: of(alpha, s))
+    return alpha, share, *tried[alpha, share][1:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on labelled rows outside the held-out fifth: at most ``fit_rows`` rows and ``fit_bytes`` of text of each class.
 
-    Rates are chosen on a fifth of these rows (a remainder of 1), then all of them are
-    fitted; held-out rows have no part in it. Null labels and keys are left out; of several
+    Rates are chosen and margins calibrated on a fifth of all rows (a remainder of 1) with a
+    fit on the others, then all of them are fitted; held-out rows have no part in it. Null labels and keys are left out; of several
     labels for one key the largest counts, of several texts one. Without both classes the
     model is the intercept alone.
     """
@@ -140,14 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     before = F.coalesce(F.sum(F.octet_length("_t")).over(Window.partitionBy("_y").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 2 * fit_rows rows at most
     rows = rows.withColumn("_b", before).filter(F.col("_b") < fit_bytes)
     check = F.crc32(F.col("_k").cast("string").cast("binary")) % 5 == 1
-    got = rows.select("_y", "_t", check.cast("int").alias("_c")).mapInArrow(_extract, "label int, check int, ids binary").collect()
-    found = sorted(((r["label"], bytes(r["ids"]), r["check"]) for r in got))
-    examples = [(y, np.frombuffer(b, "<i4")) for y, b, _ in found]
-    if len({y for y, _ in examples}) < 2:
+    got = rows.select("_y", "_t", check.cast("int").alias("_c"), F.xxhash64("_k").alias("_h")).mapInArrow(_extract, "label int, check int, hash bigint, ids binary").toArrow().combine_chunks()  # one copy of the bounded sample
+    label, checked = got["label"].to_numpy(), got["check"].to_numpy()
+    if not (label == 1).any() or not (label == 0).any():
         return np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior)))
-    part = lambda k: [e for e, (_, _, c) in zip(examples, found, strict=True) if c == k]
-    alpha, share = choose_rates(part(0), part(1), prior)
-    return fit_ftrl(examples, prior, alpha, share=share)
+    data, offsets = text_buffers(got["ids"])
+    order = np.lexsort((got["hash"].to_numpy(), label)).tolist()
+    part = lambda keep: [(int(label[k]), data[offsets[k] : offsets[k + 1]].view("<i4")) for k in order if keep[k]]
+    examples = part(np.ones(len(label), bool))
+    alpha, share, slope, shift = choose_rates(part(checked == 0), part(checked == 1), prior)
+    kept, weights, bias = fit_ftrl(examples, prior, alpha, share=share)
+    return kept, (slope * weights).astype(np.float32), slope * bias + shift
 
 
 class Scorer:
