@@ -316,10 +316,12 @@ def test_ftrl_against_a_plain_one():
             bias -= 0.02 * g / bias_n**0.5
     kept, weights, intercept = toxicity.fit_ftrl(examples, prior, alpha, beta, 0.001, l2)
     plain = {i: weight(i) for i in z if weight(i)}
-    slope, shift = toxicity.calibrate(np.array([bias + sum(plain.get(int(i), 0.0) for i in ids) for _, ids in examples]), np.array([y for y, _ in examples]), prior)
-    assert sorted(plain) == kept.tolist() and np.allclose([slope * plain[i] for i in kept.tolist()], weights, rtol=1e-4) and abs(slope * bias + shift - intercept) < 1e-6
-    assert toxicity.loss((kept, weights, intercept), examples, prior) < toxicity.loss((kept[:0], weights[:0], 0.0), examples, prior)
-    assert toxicity.choose_rates(examples, examples[:1], prior) == (toxicity.ALPHAS[0], toxicity.SHARES[0])
+    assert sorted(plain) == kept.tolist() and np.allclose([plain[i] for i in kept.tolist()], weights, rtol=1e-4) and abs(bias - intercept) < 1e-6
+    odds, labels = toxicity.margins((kept, weights, intercept), examples)
+    assert np.allclose(odds, [bias + sum(plain.get(int(i), 0.0) for i in ids) for _, ids in examples], rtol=1e-4)
+    slope, shift = toxicity.calibrate(odds, labels, prior)
+    assert toxicity.loss(slope * odds + shift, labels, prior) <= toxicity.loss(odds, labels, prior) + 1e-2 and toxicity.loss(odds, labels, prior) < toxicity.loss(0 * odds, labels, prior)
+    assert toxicity.choose_rates(examples, examples[:1], prior) == (toxicity.ALPHAS[0], toxicity.SHARES[0], 1.0, 0.0)
 
 
 def test_toxicity(spark):
