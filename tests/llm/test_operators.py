@@ -577,3 +577,43 @@ def test_awkward_rows(awkward):
     assert len(kept) == 6 and {len(bytes(r["kept"])) for r in kept if r["row"]["doc_id"] == 2} == {0}
     assert ngram_join.keep_one(awkward).count() == 4
     assert sharding.shard(awkward, 2).count() == 6
+
+
+def test_awkward_rows_elsewhere(spark, awkward):
+    """Null keys, keys of several texts and whole repeats: every row has its own result."""
+    rows = awkward.collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    benchmark = spark.createDataFrame([(None, "null key one two three four five six"), (3, None)], "item_id bigint, text string")
+    found = decontam.contamination(awkward, benchmark).collect()
+    assert sorted((r["doc_id"] is not None, len(r["spans"])) for r in found) == sorted((r["doc_id"] is not None, int((r["text"] or "").startswith("null key"))) for r in rows)
+    assert decontam.reject_contaminated(awkward, benchmark).count() == len(rows) - 1
+    assert [r["stats"]["n_words"] for r in sorted(quality_rules.statistics(awkward).collect(), key=key)] == [len(words_of(r["text"])) for r in sorted(rows, key=key)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id bigint, toxic int")
+    assert toxicity.score(awkward, toxicity.fit(awkward, labels)).count() == toxicity.reject_toxic(awkward, labels).count() + toxicity.score(awkward, toxicity.fit(awkward, labels)).filter("score >= 0.5").count() == len(rows)
+    model = lm_scoring.fit(awkward)
+    assert sorted((r["key"] is None, r["key"] or 0, r["n_words"]) for r in lm_scoring.score(model.numbered, model).collect()) == sorted((r["doc_id"] is None, r["doc_id"] or 0, len(words_of(r["text"]))) for r in rows)
+    assert packing.with_crc(packing.pack_documents(awkward)).count() >= len(rows)
+
+
+def test_keys_of_other_types(spark, texts):
+    """Text keys and fractions are ordered as they are; nothing is merged."""
+    for kind, make in (("string", lambda i: f"d{i:04}"), ("double", lambda i: i + 0.5)):
+        docs = spark.createDataFrame([(make(i), t) for i, t in enumerate(texts[:75])], f"doc_id {kind}, text string")
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(docs).collect()}
+        assert got == {make(i): make(c) for i, (_, c) in jaccard_components(enumerate(texts[:75])).items()}
+        kept = {r["row"]["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.dedup_substrings(docs).collect()}
+        check_repeats([(make(i), t) for i, t in enumerate(texts[:75])], kept)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError):
+        common.Staging(Session, "x")
+    Context.master = "local[2]"
+    assert common.Staging(Session, "x").root.startswith("/tmp/spark-")

@@ -228,3 +228,21 @@ def test_op10(spark, tables):
     got = {r["doc_id"]: r for r in rows_of(spark, "op10_lm_scoring", sf)}
     assert {i: r["n_words"] for i, r in got.items()} == {i: len(words_of(t)) for i, t in enumerate(texts)}
     assert all(r["log_likelihood"] < 0 if r["n_words"] else r["log_likelihood"] == 0 for r in got.values())
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    sf, _, _ = tables
+    for t in ("documents", "benchmark", "labels", "pages"):
+        spark.read.parquet(f"{sf}/{t}.parquet").filter("false").write.parquet(str(tmp_path / f"{t}.parquet"))
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_no_labels_and_no_items(spark, tables, tmp_path):
+    sf, texts, _ = tables
+    for t in ("documents", "benchmark", "labels"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        (df if t == "documents" else df.filter("false")).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert {r["n_hit"] for r in rows_of(spark, "op6_decontamination", str(tmp_path))} == {0}
+    assert {r["rule"] for r in rows_of(spark, "op4_quality_rules", str(tmp_path))} == {None}
+    assert len({r["score"] for r in rows_of(spark, "op2_toxicity", str(tmp_path))}) == 1
