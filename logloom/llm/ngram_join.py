@@ -1,8 +1,9 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Tokens are hashes of five consecutive words. A token class is frequent if tasks met its
-tokens in several of their documents; the classes' counts over all documents are a table
-of fixed size. Tokens are ordered by class count, rare ones first, then by hash. Two sets
+Tokens are hashes of five consecutive words. Tasks count, for each class of tokens, those
+that they met in several documents; the classes' counts over all documents are a table of
+fixed size, and a class is frequent if its count is well above the mean of all, so that some
+are rare however large the corpus. Tokens are ordered by class count, rare ones first, then by hash. Two sets
 with a Jaccard similarity of t or more share a token among the first n - ceil(t n) + 1 of
 either. If the least token that they share is rare, both have it as a single key. If it
 is frequent, all shared tokens are, and the prefix is extended: of the n_x + n_y - 2 o
@@ -39,6 +40,8 @@ CELLS, OFTEN = 1 << 22, 2
 _SHIFT = np.uint64(64 - 22)
 _LOCAL_BYTES = 32 << 20
 _COUNT_ROWS = 1 << 16  # cells in a row of partial counts
+#: Times the mean count beyond which a class is frequent.
+_FREQUENT = 4
 #: Bits of the small bitmaps that joins look at, and sizes from which they can't tell sets apart.
 _SMALL, _TELLS = 256, 1024
 #: Orders by which a class picks the document that the others are verified against; few, so that classes of a group pick alike.
@@ -93,24 +96,29 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for k in range(0, CELLS, _COUNT_ROWS):
         part = cells[k : k + _COUNT_ROWS]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], ["k", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 65535).astype("<u2").tobytes()], pa.binary())], ["k", "x"])
 
 
 def _sum_counts(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_COUNT_ROWS, np.int64)
     for batch in tables:
         for x in batch.column(1):
-            total += np.frombuffer(x.as_py(), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["k", "x"])
+            total += np.frombuffer(x.as_py(), "<u2")
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["k", "x"])
 
 
 def class_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """For each class of tokens, how often stretches met its tokens in OFTEN documents or more, up to 255; covers all documents."""
+    """For each class of tokens 0 if it is rare, else a level that grows with how often stretches met its tokens in OFTEN documents or more; covers all documents."""
     parts = docs.select(text).mapInArrow(_class_counts, "k int, x binary").groupBy("k").applyInArrow(_sum_counts, "k int, x binary")
-    out = np.zeros(CELLS, np.uint8)
-    for r in parts.collect():  # CELLS bytes
-        out[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), np.uint8)
-    return out
+    total = np.zeros(CELLS, np.int64)
+    for r in parts.collect():  # 8 bytes for each of CELLS
+        total[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), "<i8")
+    return levels(total)
+
+
+def levels(total: np.ndarray) -> np.ndarray:
+    bound = _FREQUENT * total.mean()
+    return np.where(total > bound, np.clip(1 + 8 * np.log2(np.maximum(total, 1) / max(bound, 1.0)), 1, 255), 0).astype(np.uint8)
 
 
 def bitmap(tokens: np.ndarray, bits: int = 0) -> bytes:
