@@ -196,6 +196,16 @@ def test_frequent_pairs_are_complete():
             assert len(np.intersect1d(ngram_join.keys_of(x, counts)[0], ngram_join.keys_of(y, counts)[0]))
 
 
+def test_some_classes_are_rare_at_any_size():
+    rng = np.random.default_rng(3)
+    few = rng.poisson(0.05, 10_000)
+    assert ((ngram_join.levels(few) > 0) == (few > 0)).all() and not ngram_join.levels(np.zeros(8, np.int64)).any()
+    many = rng.poisson(3000, 10_000)
+    many[:50] *= 1000
+    got = ngram_join.levels(many)
+    assert (got[:50] > 0).all() and not got[50:].any() and (np.diff(got[:50][np.argsort(many[:50])].astype(int)) >= 0).all()
+
+
 def test_keep_one(docs, texts):
     kept = {r["doc_id"] for r in ngram_join.keep_one(docs).select("doc_id").collect()}
     assert kept == {c for _, c in jaccard_components(enumerate(texts)).values()}
