@@ -422,6 +422,22 @@ def test_packing(docs, texts, awkward):
     assert packing.pack_documents(docs.filter("false")).count() == 0
 
 
+def test_ids_are_the_library_s():
+    import public_tokenizers
+    from logloom.llm.tokens import load, table
+    from tokenizers import Tokenizer
+
+    library, own, rows = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), load("word_bpe_49k.json"), table("word_bpe_49k.json")
+    rng = random.Random(13)
+    parts = ["a", "Z", "é", "ß", "İ", "ſ", "ñ", "中", "文", "🙂", "\u0301", "\u200b", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "'s", "'LL", "don't", "0", "12", "$", "--", "<|endoftext|>", "<|startoftext|>", "<|", "\x00", "\ufffd", "qwxz", "the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(own.ids(t), "<u2").tolist() for t in texts] == expected
+    raw = [t.encode() for t in texts]
+    flat, bounds = rows.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 2)
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*x, 2] for x in expected]
+
+
 def test_nnls():
     rng = np.random.default_rng(0)
     a, x = rng.random((8, 30)), np.zeros(30)
