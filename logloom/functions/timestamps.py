@@ -86,11 +86,12 @@ def parse_offset(text: Column, shape: Shape) -> Column:
 
 
 def confidence(text: Column, ts: Column, shape: Shape, now: datetime) -> Column:
-    """The base, raised for precise shapes, zones and fractions, lowered for US order and for far dates; 0 to 1."""
-    fixed = shape.base * (0.95 if shape.name == "python_logging" else 1.0) + {"high": 0.05, "medium": 0.02, "low": 0.0}[shape.specificity]
-    fixed += 0.03 * shape.zoned - 0.05 * shape.name.startswith("us_")
-    out = F.lit(fixed) + (F.when(F.contains(text, F.lit(".")), 0.02).otherwise(0.0) if shape.micros else F.lit(0.0))
+    """The base, raised for precise shapes, zones and fractions, lowered for US order and for far dates, Unix times once more; 0 to 1."""
     days = F.abs(F.date_diff(ts.cast("date"), F.lit(now.date())))
+    base = F.lit(shape.base * (0.95 if shape.name == "python_logging" else 1.0))
+    if shape.pattern.startswith("unix:"):
+        base = base * F.when(days > 50 * 365.25, 0.7).when(days > 10 * 365.25, 0.9).otherwise(1.0)
+    out = base + F.lit({"high": 0.05, "medium": 0.02, "low": 0.0}[shape.specificity] + 0.03 * shape.zoned - 0.05 * shape.name.startswith("us_")) + (F.when(F.contains(text, F.lit(".")), 0.02).otherwise(0.0) if shape.micros else F.lit(0.0))
     out = out * F.when(days > 3652, 0.8).otherwise(1.0)
     n = F.char_length(text)
     out = out + F.when((n >= 19) & (n <= 35), 0.02).when(n < 10, -0.05).otherwise(0.0) + F.when(text.rlike(r"\d{4}"), 0.01).otherwise(0.0)

@@ -29,7 +29,7 @@ def lines(spark, rows, source="s"):
         ("1999-12-31", "iso_date", 0.49), ("2019-03-05T04:06:07", "iso8601_naive", 0.93), ("on 2025-11-30T23:59:58.5Z!", "iso8601_utc_ms", 1.0), ("2021-02-03T01:02:03Z", "iso8601_utc", 1.0), ("2022-08-09T10:11:12-0330", "iso8601_tz", 1.0),
         ("Mon, 3 Feb 2025 08:09:10 -0700", "rfc2822", 1.0), ("[Tue Feb 04 05:06:07 2025]", "apache_modjk_bracketed", 0.96), ("04/Feb/2025:05:06:07 -0800", "apache_common", 0.95), ("2024-02-29 00:00:01,999", "python_logging", 0.935),
         ("2024/02/29 06:07:08", "nginx_error", 0.83), ("02/28/2024 06:07:08", "us_slash_datetime", 0.63), ("1719000000", "unix_seconds", 0.91), ("1719000000123", "unix_milliseconds", 0.86), ("1719000000123456", "unix_microseconds", 0.81),
-        ("2023-02-30", None, None), ("nothing of the kind", None, None), ("", None, None), (None, None, None),
+        ("1000000000", "unix_seconds", 0.662), ("4000000000", "unix_seconds", 0.526), ("2023-02-30", None, None), ("nothing of the kind", None, None), ("", None, None), (None, None, None),
     ],
 )
 def test_timestamps(spark, text, name, sure):
@@ -264,6 +264,15 @@ def test_lines_of_any_packing_have_the_same_numbers(spark, tmp_path, monkeypatch
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_index(spark, tmp_path):
+    d = Detection("json", 1.0, fields_of(a="integer", at="timestamp"))
+    e = parse.parse(lines(spark, [f'{{"a": "{i}", "at": "2024-05-0{9 - i}T00:00:00Z"}}' for i in range(1, 9)]), d, NOW)
+    kept = LogSession(spark, NOW).index(e, str(tmp_path / "index"))
+    assert kept.dtypes == e.dtypes and search.search(kept, SearchQuery(filters=(SearchFilter("a", "gt", "3"),), time=TimeFilter(end=datetime(2024, 5, 4))), NOW).total == 4
+    plan = search.search(kept, SearchQuery(time=TimeFilter(end=datetime(2024, 5, 4))), NOW).matches._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan
+
+
 def test_stream(spark, tmp_path):
     from logloom.streaming.tail import tail
 
