@@ -32,11 +32,11 @@ def field_profile(entries: DataFrame, most: int = 5, detection: Detection | None
 
 
 def hourly(entries: DataFrame) -> DataFrame:
-    return entries.groupBy(F.hour("ts").cast("long").alias("hour")).agg(F.count("ts").alias("n")).filter("hour is not null")
+    return entries.groupBy(F.hour("ts").cast("long").alias("hour")).agg(F.count("ts").alias("n")).filter("n > 0")
 
 
 def daily(entries: DataFrame) -> DataFrame:
-    return entries.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("ts").alias("n")).filter("day is not null")
+    return entries.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("ts").alias("n")).filter("n > 0")
 
 
 def time_series(entries: DataFrame) -> DataFrame:
