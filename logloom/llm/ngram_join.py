@@ -104,21 +104,28 @@ def _sum_counts(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     for batch in tables:
         for x in batch.column(1):
             total += np.frombuffer(x.as_py(), "<u2")
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["k", "x"])
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([levels(total).tobytes()], pa.binary())], ["k", "x"])
 
 
 def class_counts(docs: DataFrame, text: str) -> np.ndarray:
     """For each class of tokens 0 if it is rare, else a level that grows with how often stretches met its tokens in OFTEN documents or more; covers all documents."""
     parts = docs.select(text).mapInArrow(_class_counts, "k int, x binary").groupBy("k").applyInArrow(_sum_counts, "k int, x binary")
-    total = np.zeros(CELLS, np.int64)
-    for r in parts.collect():  # 8 bytes for each of CELLS
-        total[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), "<i8")
-    return levels(total)
+    out = np.zeros(CELLS, np.uint8)
+    for r in parts.toLocalIterator():  # a byte for each of CELLS
+        out[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), np.uint8)
+    return frequent(out)
 
 
 def levels(total: np.ndarray) -> np.ndarray:
-    bound = _FREQUENT * total.mean()
-    return np.where(total > bound, np.clip(1 + 8 * np.log2(np.maximum(total, 1) / max(bound, 1.0)), 1, 255), 0).astype(np.uint8)
+    """Counts as bytes, eight steps for each doubling; 0 for none."""
+    return np.where(total > 0, np.clip(1 + 8 * np.log2(np.maximum(total, 1)), 1, 255), 0).astype(np.uint8)
+
+
+def frequent(level: np.ndarray) -> np.ndarray:
+    """The levels of classes whose count is beyond _FREQUENT times the mean of all, 0 for the others."""
+    count = np.append(0, 2 ** (np.arange(255) / 8))
+    mean = (np.bincount(level, minlength=256) * count).sum() / len(level)
+    return np.where(np.arange(256) * (count > _FREQUENT * mean), np.arange(256), 0).astype(np.uint8)[level]
 
 
 def bitmap(tokens: np.ndarray, bits: int = 0) -> bytes:
