@@ -38,7 +38,8 @@ WORDS = 5
 #: Cells of the table of class counts (a byte each), and documents of one stretch of a task's text that make a token count.
 CELLS, OFTEN = 1 << 22, 2
 _SHIFT = np.uint64(64 - 22)
-_LOCAL_BYTES = 32 << 20
+#: Text bytes of a stretch, and of one in which copies are told.
+_COUNT_BYTES, _LOCAL_BYTES = 16 << 20, 32 << 20
 _COUNT_ROWS = 1 << 16  # cells in a row of partial counts
 #: Times the mean count beyond which a class is frequent.
 _FREQUENT = 4
@@ -65,7 +66,7 @@ def name_of(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(CELLS, np.int64)
+    cells = np.zeros(CELLS, np.int32)
     held: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
     size = 0
@@ -78,7 +79,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             counts = np.diff(firsts, append=len(tokens))
             often = counts >= OFTEN
-            np.add.at(cells, (tokens[firsts[often]] >> _SHIFT).astype(np.int64), counts[often])
+            np.add.at(cells, (tokens[firsts[often]] >> _SHIFT).astype(np.int64), counts[often].astype(np.int32))
 
     for batch in batches:
         data, offsets = text_buffers(batch.column(0))
@@ -88,7 +89,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     seen.add(name)
                     held.append(tokens)
             size += int(offsets[j] - offsets[i])
-            if size >= _LOCAL_BYTES:
+            if size >= _COUNT_BYTES:
                 settle()
                 size = 0
                 seen.clear()
