@@ -54,7 +54,8 @@ class Staging:
         """Write ``df`` and return it as read back; its shuffle files go once it is written."""
         path = f"{self.root}/{name}"
         with settings(self.spark, {_CLEANUP: "true"}):
-            df.write.option("compression", codec).parquet(path)
+            # the query that wrote a table is the one that reads it: no marker files
+            df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         if not self.paths:
             at, files = self._path(self.root)
             files.deleteOnExit(at)
