@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lm_scoring, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_output, toxicity, url_filter
+from . import decontam, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_output, toxicity, url_filter
 
 
 def _pipeline(spark, sf_dir: str):
@@ -22,7 +22,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_token_output": token_output.op9_token_output,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
     "pipeline": _pipeline,
 }
 
-ORACLES = {"op7_url_filter": url_filter.ORACLE}
+ORACLES = {"op7_url_filter": url_filter.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
