@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, lm_scoring, ngram_join, packing, prefix_trie, quality_rules, sharding, suffix_dedup, token_output, toxicity, url_filter
+from . import decontam, line_dedup, lm_scoring, ngram_join, packing, prefix_trie, quality_rules, sharding, suffix_dedup, token_align, token_output, toxicity, url_filter
 
 
 def _pipeline(spark, sf_dir: str):
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_token_output": token_output.op9_token_output,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_token_align": token_align.op12_token_align,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     "pipeline": _pipeline,
 }

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import hash_spans, keyed_schema, row_chunks, text_buffers
 
 #: ASCII and Latin letters that are composed already and whose lower case is one to one.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ſ]*+")
+PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ſ]*+")
 _KEPT = 400_000  # pieces
 
 
@@ -47,7 +47,7 @@ class PieceTokenizer:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _PLAIN.fullmatch(text) is None or self.special in text:
+        if PLAIN.fullmatch(text) is None or self.special in text:
             return np.asarray(self.whole(text), "<u2").tobytes()
         return b"".join(map(self.pieces.__getitem__, self.split.findall(text.lower() if self.lower else text)))
 
