@@ -65,8 +65,15 @@ def parse_shape(text: Column, shape: Shape, now: datetime) -> Column:
         micros = text.try_cast("bigint") * 10 ** (6 - int(pattern))
         instant = F.timestamp_micros(micros).cast("timestamp_ntz")
         return F.when(micros.between(0, 4_000_000_000 * 10**6), F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant))
-    clean = F.regexp_replace(F.regexp_replace(text, rf"^{_DAY},? ", ""), " +", " ")
-    clean = F.regexp_replace(clean, r"(Z| ?[+-]\d{2}:?\d{2})$", "") if shape.zoned else clean
+    clean = text
+    if shape.regex.startswith(rf"\b{_DAY}"):
+        clean = F.regexp_replace(clean, rf"^{_DAY},? ", "")
+    if "MMM d" in pattern:
+        clean = F.regexp_replace(clean, " +", " ")
+    if shape.zoned and shape.regex.endswith("Z"):
+        clean = F.substring(clean, F.lit(1), F.char_length(clean) - 1)
+    elif shape.zoned:  # an offset is under a day, its minutes under an hour
+        clean = F.when(~text.rlike(r"[+-](2[4-9]|[3-9]\d):?\d{2}$|[+-]\d{2}:?[6-9]\d$"), F.regexp_replace(clean, r" ?[+-]\d{2}:?\d{2}$", ""))
     if kind == "year":
         clean, pattern = F.concat(F.lit(f"{now.year} "), clean), "yyyy " + pattern
     if kind == "time":
@@ -78,11 +85,11 @@ def parse_offset(text: Column, shape: Shape) -> Column:
     """Minutes east of UTC as written; null without a zone."""
     if not shape.zoned:
         return F.lit(None).cast("int")
-    if shape.pattern.startswith("unix:"):
+    if shape.pattern.startswith("unix:") or shape.regex.endswith("Z"):
         return F.lit(0)
-    hours, minutes = (F.regexp_extract(text, r"[+-](\d{2}):?(\d{2})$", i) for i in (1, 2))
-    value = F.coalesce(hours.try_cast("int"), F.lit(0)) * 60 + F.coalesce(minutes.try_cast("int"), F.lit(0))
-    return F.when(text.rlike(r"-\d{2}:?\d{2}$"), -value).otherwise(value)
+    hours, minutes = (F.regexp_extract(text, r"[+-](\d{2}):?(\d{2})$", i).try_cast("int") for i in (1, 2))
+    value = hours * 60 + minutes
+    return F.when(text.rlike(r"-\d{2}:?\d{2}$"), -value).when(text.rlike(r"\+\d{2}:?\d{2}$"), value).otherwise(0)  # a failing cast is slow
 
 
 def confidence(text: Column, ts: Column, shape: Shape, now: datetime) -> Column:
@@ -99,9 +106,9 @@ def confidence(text: Column, ts: Column, shape: Shape, now: datetime) -> Column:
 
 
 def _reader(shape: Shape, now: datetime):
-    def read(x: Column) -> Column:
-        ts = parse_shape(x, shape, now)
-        return F.struct(ts.alias("ts"), parse_offset(x, shape).alias("offset_min"), F.lit(shape.name).alias("format"), confidence(x, ts, shape, now).alias("confidence"))
+    def read(x: Column) -> Column:  # the time is worked out once, under the name of an element
+        fields = lambda ts: F.struct(ts.alias("ts"), parse_offset(x, shape).alias("offset_min"), F.lit(shape.name).alias("format"), confidence(x, ts, shape, now).alias("confidence"))
+        return F.get(F.transform(F.array(parse_shape(x, shape, now)), fields), F.lit(0))
 
     return read
 
@@ -114,10 +121,41 @@ def _read_any(x: Column, now: datetime, shapes: tuple[Shape, ...] = SHAPES) -> C
     return out
 
 
+#: Shapes that stand inside of others and are looked for where those fail: without an offset, then dates and times alone.
+_WITHIN = (("iso8601_naive", "apache_common_no_tz"), ("iso_date", "slash_date", "us_date", "time_only"))
+
+
+def _reading(now: datetime, shapes: tuple[Shape, ...]):
+    return lambda x: _read_any(x, now, shapes)
+
+
+def _valid(readings: Column) -> Column:
+    return F.filter(readings, lambda x: x["ts"].isNotNull())
+
+
+def _within(x: Column, now: datetime) -> Column:
+    """Readings of lesser shapes inside a text that has the shape of a timestamp but isn't one."""
+    found = []
+    for names in _WITHIN:
+        shapes = tuple(BY_NAME[n] for n in names)
+        hits = F.regexp_extract_all(x, F.lit("|".join(s.regex for s in shapes)), F.lit(0))
+        found.append(_valid(F.transform(hits, _reading(now, shapes))))
+    return F.when(F.size(found[0]) > 0, found[0]).otherwise(found[1])
+
+
 def detect_timestamps(text: Column, now: datetime) -> Column:
-    """All timestamps in a text, the surest first; equal ones by time. Spans don't overlap: the text is gone through once."""
+    """All timestamps in a text, the surest first; equal ones by time.
+
+    Spans don't overlap: the text is gone through once. Where the first shape that stands at a
+    place has no valid reading (an hour 25, the 30th of February), its span is free for the
+    lesser shapes inside.
+    """
     hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0))
-    found = F.filter(F.transform(hits, lambda x: _read_any(x, now)), lambda x: x["ts"].isNotNull())
+
+    def readings(x: Column) -> Column:  # the reading is worked out once, under the name of an element
+        return F.get(F.transform(F.array(_read_any(x, now)), lambda r: F.when(r["ts"].isNotNull(), F.array(r)).otherwise(_within(x, now))), F.lit(0))
+
+    found = F.flatten(F.transform(hits, readings))
     keyed = F.transform(found, lambda x: F.struct((-x["confidence"]).alias("k"), x["ts"].alias("t"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda x: x["x"])
 
@@ -132,7 +170,7 @@ def extract_timestamps(text: Column, now: datetime, least: float = 0.5) -> Colum
 
 def read_timestamp(text: Column, now: datetime, shapes: tuple[str, ...]) -> Column:
     """The timestamp of a column whose usual shapes are known; a text of another shape is searched like any."""
-    known = _read_any(text, now, tuple(BY_NAME[name] for name in shapes))
+    known = F.get(_valid(F.array(_read_any(text, now, tuple(BY_NAME[name] for name in shapes)))), F.lit(0))
     return F.when(text.isNotNull(), F.coalesce(known, best_timestamp(text, now)))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.regexes import matches
+
 ORDER = ("source_file", "line_number")
 
 
@@ -91,24 +92,6 @@ def text_condition(text: str) -> Column:
     return F.contains(F.lower("raw_line"), t) | F.exists(F.map_values("fields"), lambda v: F.contains(F.lower(v), t))
 
 
-def java_regex(pattern: str) -> str | None:
-    """A pattern of Python's dialect in Java's, null if either can't read it. Named groups get plain names."""
-    try:
-        names = sorted(re.compile(pattern).groupindex, key=len, reverse=True)
-    except re.error:
-        return None
-    for k, n in enumerate(names):
-        pattern = pattern.replace(f"(?P<{n}>", f"(?<group{k}>").replace(f"(?P={n})", f"\\k<group{k}>")
-    pattern = pattern.replace(r"\Z", r"\z")
-    try:
-        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:  # Py4J wraps Java's PatternSyntaxException
-        if "PatternSyntaxException" not in str(e):
-            raise
-        return None
-    return pattern
-
-
 def filter_condition(f: SearchFilter) -> Column:
     value = F.col("fields")[f.field]
     fold = (lambda c: c) if f.case_sensitive else F.lower
@@ -118,10 +101,7 @@ def filter_condition(f: SearchFilter) -> Column:
     elif f.operator == "equals":
         test = fold(value) == wanted
     elif f.operator == "regex":
-        regex = java_regex(f.value)
-        if regex is None:
-            return F.lit(False)
-        test = value.rlike(regex if f.case_sensitive else f"(?iu){regex}")
+        test = matches(value, f.value, not f.case_sensitive)
     elif f.operator in ("gt", "lt", "gte", "lte"):
         try:
             bound = float(f.value)
