@@ -19,7 +19,7 @@ _ERROR = r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] "
 #: Stands between groups while they are one text.
 _MARK = "\x01"
 
-Pattern = tuple[str, tuple[str, ...]]
+Pattern = tuple[str, tuple[str | None, ...]]
 #: The most specific pattern comes first, so that no field is lost to a shorter one.
 PATTERNS: dict[str, tuple[Pattern, ...]] = {
     "python_log": (
@@ -72,13 +72,23 @@ PATTERNS: dict[str, tuple[Pattern, ...]] = {
 TYPES = {"status": "integer", "bytes_sent": "integer", "pid": "integer", "tid": "integer", "response_size": "integer", "request_time": "float", "response_time": "float", "priority": "integer", "version": "integer"}
 
 
+def anchored(regex: str) -> str:
+    """The pattern over a whole line, so that what stands before and behind its match is in no group."""
+    front = "" if regex.startswith(("^", "\\A")) else "^.*?"
+    return f"(?s){front}(?:{regex})" + ("" if regex.endswith(("$", "\\z")) else ".*$")
+
+
 def groups(line: Column, pattern: Pattern) -> Column:
-    """A map of the pattern's named groups; the expression runs once for all of them, but for lines that hold the mark between groups."""
+    """A map of the pattern's named groups, in order of their opening brackets; a null name leaves its group out.
+
+    The expression runs once for all of them, but for lines that hold the mark between groups.
+    """
     regex, names = pattern
-    joined = F.regexp_replace(line, f"(?s){regex}" if regex.endswith("$") else f"(?s){regex}.*$", _MARK.join(f"${i + 1}" for i in range(len(names))))
-    each = F.array(*[F.regexp_extract(line, f"(?s){regex}", i + 1) for i in range(len(names))])
+    named = [(i + 1, n) for i, n in enumerate(names) if n is not None]
+    joined = F.regexp_replace(line, anchored(regex), _MARK.join(f"${i}" for i, _ in named))
+    each = F.array(*[F.regexp_extract(line, f"(?s){regex}", i) for i, _ in named])
     parts = F.when(F.contains(line, F.lit(_MARK)), each).otherwise(F.split(joined, _MARK, -1))
-    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), parts)
+    return F.map_from_arrays(F.array(*[F.lit(n) for _, n in named]), parts)
 
 
 def first_match(line: Column, patterns: tuple[Pattern, ...]) -> Column:

@@ -81,44 +81,54 @@ def parse_shape(text: Column, shape: Shape, now: datetime) -> Column:
     return F.try_to_timestamp(clean, F.lit(pattern)).cast("timestamp_ntz")
 
 
-def parse_offset(text: Column, shape: Shape) -> Column:
+def _offset(text: Column, name: Column, shapes: tuple[Shape, ...]) -> Column:
     """Minutes east of UTC as written; null without a zone."""
-    if not shape.zoned:
-        return F.lit(None).cast("int")
-    if shape.pattern.startswith("unix:") or shape.regex.endswith("Z"):
-        return F.lit(0)
-    hours, minutes = (F.regexp_extract(text, r"[+-](\d{2}):?(\d{2})$", i).try_cast("int") for i in (1, 2))
-    value = hours * 60 + minutes
-    return F.when(text.rlike(r"-\d{2}:?\d{2}$"), -value).when(text.rlike(r"\+\d{2}:?\d{2}$"), value).otherwise(0)  # a failing cast is slow
+    utc = [s.name for s in shapes if s.zoned and (s.pattern.startswith("unix:") or s.regex.endswith("Z"))]
+    zoned = [s.name for s in shapes if s.zoned and s.name not in utc]
+    out = F.lit(None).cast("int")
+    if zoned:
+        hours, minutes = (F.regexp_extract(text, r"[+-](\d{2}):?(\d{2})$", i).try_cast("int") for i in (1, 2))
+        value = hours * 60 + minutes
+        given = F.when(text.rlike(r"-\d{2}:?\d{2}$"), -value).when(text.rlike(r"\+\d{2}:?\d{2}$"), value).otherwise(0)  # a failing cast is slow
+        out = F.when(name.isin(zoned), given)
+    return F.when(name.isin(utc), 0).otherwise(out) if utc else out
 
 
-def confidence(text: Column, ts: Column, shape: Shape, now: datetime) -> Column:
+def _by_name(shapes: tuple[Shape, ...], value) -> Column:
+    """A map from the shapes' names to numbers, as one literal."""
+    return F.expr("map(" + ", ".join(f"'{s.name}', {value(s)!r}D" for s in shapes) + ")")
+
+
+def confidence(text: Column, ts: Column, name: Column, now: datetime, shapes: tuple[Shape, ...] = SHAPES) -> Column:
     """The base, raised for precise shapes, zones and fractions, lowered for US order and for far dates, Unix times once more; 0 to 1."""
     days = F.abs(F.date_diff(ts.cast("date"), F.lit(now.date())))
-    base = F.lit(shape.base * (0.95 if shape.name == "python_logging" else 1.0))
-    if shape.pattern.startswith("unix:"):
-        base = base * F.when(days > 50 * 365.25, 0.7).when(days > 10 * 365.25, 0.9).otherwise(1.0)
-    out = base + F.lit({"high": 0.05, "medium": 0.02, "low": 0.0}[shape.specificity] + 0.03 * shape.zoned - 0.05 * shape.name.startswith("us_")) + (F.when(F.contains(text, F.lit(".")), 0.02).otherwise(0.0) if shape.micros else F.lit(0.0))
+    base = _by_name(shapes, lambda s: float(s.base * (0.95 if s.name == "python_logging" else 1.0)))[name]
+    if any(s.pattern.startswith("unix:") for s in shapes):
+        base = F.when(name.startswith("unix_"), base * F.when(days > 50 * 365.25, 0.7).when(days > 10 * 365.25, 0.9).otherwise(1.0)).otherwise(base)
+    bonus = _by_name(shapes, lambda s: float({"high": 0.05, "medium": 0.02, "low": 0.0}[s.specificity] + 0.03 * s.zoned - 0.05 * s.name.startswith("us_")))[name]
+    micros = [s.name for s in shapes if s.micros]
+    out = base + bonus + (F.when(name.isin(micros) & F.contains(text, F.lit(".")), 0.02).otherwise(0.0) if micros else F.lit(0.0))
     out = out * F.when(days > 3652, 0.8).otherwise(1.0)
     n = F.char_length(text)
     out = out + F.when((n >= 19) & (n <= 35), 0.02).when(n < 10, -0.05).otherwise(0.0) + F.when(text.rlike(r"\d{4}"), 0.01).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 6)
 
 
-def _reader(shape: Shape, now: datetime):
-    def read(x: Column) -> Column:  # the time is worked out once, under the name of an element
-        fields = lambda ts: F.struct(ts.alias("ts"), parse_offset(x, shape).alias("offset_min"), F.lit(shape.name).alias("format"), confidence(x, ts, shape, now).alias("confidence"))
-        return F.get(F.transform(F.array(parse_shape(x, shape, now)), fields), F.lit(0))
+def _read_any(x: Column, now: datetime, shapes: tuple[Shape, ...] = SHAPES) -> Column:
+    """The reading of the first shape that the whole text has, null if it has none.
 
-    return read
+    The shape and the time are worked out once, under the names of elements; what depends on
+    the shape alone is looked up, so the expression stays small.
+    """
 
+    def of_shape(name: Column) -> Column:
+        ts = F.lit(None).cast("timestamp_ntz")
+        for shape in reversed(shapes):
+            ts = F.when(name == shape.name, parse_shape(x, shape, now)).otherwise(ts)
+        fields = lambda t: F.struct(t.alias("ts"), _offset(x, name, shapes).alias("offset_min"), name.alias("format"), confidence(x, t, name, now, shapes).alias("confidence"))
+        return F.when(name.isNotNull(), F.get(F.transform(F.array(ts), fields), F.lit(0)))
 
-def _read_any(x: Column, now: datetime, shapes: tuple[Shape, ...] = SHAPES) -> Column:
-    """The reading of the first shape that the whole text has, null if it has none."""
-    out = F.lit(None)
-    for shape in reversed(shapes):
-        out = F.when(x.rlike(f"^(?:{shape.regex})$"), _reader(shape, now)(x)).otherwise(out)
-    return out
+    return F.get(F.transform(F.array(whole_shape(x, shapes)), of_shape), F.lit(0))
 
 
 #: Shapes that stand inside of others and are looked for where those fail: without an offset, then dates and times alone.
@@ -168,16 +178,23 @@ def extract_timestamps(text: Column, now: datetime, least: float = 0.5) -> Colum
     return F.filter(detect_timestamps(text, now), lambda x: x["confidence"] >= least)
 
 
+def first_timestamp(values: Column, now: datetime) -> Column:
+    """The best timestamp of the first text in an array that has any; texts behind it aren't searched."""
+    best = lambda v: F.when(F.coalesce(v, F.lit("")) != "", best_timestamp(v, now))
+    none = F.get(F.lit([]).cast(DETECTED), F.lit(0))
+    return F.aggregate(values, none, lambda found, v: F.coalesce(found, best(v)))
+
+
 def read_timestamp(text: Column, now: datetime, shapes: tuple[str, ...]) -> Column:
     """The timestamp of a column whose usual shapes are known; a text of another shape is searched like any."""
     known = F.get(_valid(F.array(_read_any(text, now, tuple(BY_NAME[name] for name in shapes)))), F.lit(0))
     return F.when(text.isNotNull(), F.coalesce(known, best_timestamp(text, now)))
 
 
-def whole_shape(text: Column) -> Column:
+def whole_shape(text: Column, shapes: tuple[Shape, ...] = SHAPES) -> Column:
     """The name of the first shape that the whole text has, null if it has none."""
     out = F.lit(None).cast("string")
-    for s in reversed(SHAPES):
+    for s in reversed(shapes):
         out = F.when(text.rlike(f"^(?:{s.regex})$"), F.lit(s.name)).otherwise(out)
     return out
 

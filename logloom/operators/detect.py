@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
@@ -13,30 +14,50 @@ from ..functions.patterns import PATTERNS, TYPES, Pattern, pairs
 from ..functions.timestamps import ANY, BY_NAME, whole_shape
 from ..functions.values import infer_type, strip
 from ..model import Detection, Field, distinct_names
-from .parse import extract
+from .parse import _OWN_PARSERS, extract
 
 
 def _line() -> Column:
     return F.col("raw_line")
 
 
+WEB = ("apache_combined", "apache_common", "apache_extended", "nginx_error", "nginx_access", "generic_web")
 DELIMITERS = ("|", ";", ":", "\t", "~")
 #: Detectors in order of preference, with the least confidence that they accept (fixed values).
 THRESHOLDS = {
     "json": 0.8, "syslog": 0.7, "python_log": 0.8, "systemd_journal": 0.6, "apache_combined": 0.7, "apache_common": 0.7, "apache_extended": 0.7, "nginx_error": 0.7, "nginx_access": 0.7,
     "ltsv": 0.7, "csv": 0.6, "generic_web": 0.6, "basic_log": 0.7, "custom_delimited": 0.5, "key_value": 0.6,
 }
-#: Formats that callers have added.
-_ADDED: list[str] = []
+#: Formats that callers have added, with their own test of a line where they have one.
+_ADDED: dict[str, Callable[[Column], Column] | None] = {}
 
 
-def register_format(name: str, patterns: tuple[Pattern, ...], threshold: float = 0.7) -> None:
-    """Add a format: lines that one of the patterns (a regular expression and the names of its groups) has are of it."""
+def register_format(
+    name: str, patterns: tuple[Pattern, ...] = (), threshold: float = 0.7, *, detector: Callable[[Column], Column] | None = None, parser: Callable[[Column, Detection], Column] | None = None
+) -> None:
+    """Add a format.
+
+    ``patterns``: regular expressions in Java's dialect (found anywhere in a line unless
+    anchored) with the names of their groups. ``detector``: whether a line is of the format,
+    in place of the patterns. ``parser``: a map of texts from a line and its detection, null
+    for lines that aren't of the format, in place of the patterns as well.
+    """
     if name in THRESHOLDS and name not in _ADDED:
         raise ValueError(f"{name} is a format already")
-    PATTERNS[name], THRESHOLDS[name] = tuple(patterns), threshold
-    if name not in _ADDED:
-        _ADDED.append(name)
+    if not patterns and (detector is None or parser is None):
+        raise ValueError("without patterns a format needs a detector and a parser")
+    THRESHOLDS[name], _ADDED[name] = threshold, detector
+    for table, value in ((PATTERNS, tuple(patterns) or None), (_OWN_PARSERS, parser)):
+        table.pop(name, None)
+        if value is not None:
+            table[name] = value
+
+
+def unregister_format(name: str) -> None:
+    """Take an added format away again."""
+    del _ADDED[name], THRESHOLDS[name]
+    PATTERNS.pop(name, None)
+    _OWN_PARSERS.pop(name, None)
 
 
 def _any(kind: str, patterns: slice = slice(None)) -> Column:
@@ -50,7 +71,7 @@ def line_tests() -> dict[str, Column]:
     """Whether a line is of a format."""
     ltsv = F.filter(F.split(_line(), "\t"), lambda x: x.rlike(r"^[^:=]+:[^=]*"))
     return {
-        "json": F.expr("try_parse_json(raw_line) is not null"),
+        "json": F.expr("""try_parse_json(concat('{"line":', raw_line, '}')) is not null"""),  # alone, a number before other text would pass
         "syslog": _any("syslog", slice(0, 2)),
         "python_log": _any("python_log"),
         "apache_combined": _line().rlike(PATTERNS["apache_combined"][0][0]),
@@ -62,7 +83,7 @@ def line_tests() -> dict[str, Column]:
         "generic_web": _any("generic_web"),
         "basic_log": _any("basic_log"),
         "key_value": F.size(pairs(_line(), "key_value")) >= 2,
-    } | {name: _any(name) for name in _ADDED}
+    } | {name: test(_line()) if test else _any(name) for name, test in _ADDED.items()}
 
 
 def scores(lines: DataFrame, sample: int = 100) -> DataFrame:
@@ -75,9 +96,8 @@ def scores(lines: DataFrame, sample: int = 100) -> DataFrame:
     near = full & (F.col("line_number") <= sample)
     tests = line_tests()
     share = lambda test, within: F.coalesce(F.try_divide(F.count_if(test & within), F.count_if(within)), F.lit(0.0))
-    web = ("apache_combined", "apache_common", "apache_extended", "nginx_error", "nginx_access", "generic_web")
     columns = {k: share(t, full & (F.col("line_number") <= 50) if k == "json" else near) for k, t in tests.items()}
-    columns = {k: F.least(F.lit(1.0), c + F.when(c > 0.8, 0.1).otherwise(0.0)) if k in web else c for k, c in columns.items()}
+    columns = {k: F.least(F.lit(1.0), c + F.when(c > 0.8, 0.1).otherwise(0.0)) if k in WEB else c for k, c in columns.items()}
     # journal lines that are fields, and blocks for every ten lines
     keyed = _line().rlike(r"^[_A-Z][A-Z0-9_]*=")
     blocks = F.count_if(keyed & F.coalesce(~F.col("_before"), F.lit(True)))
@@ -143,6 +163,8 @@ def field_schema(lines: DataFrame, detection: Detection) -> DataFrame:
     fixed = F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.lit(v))])
     kind = F.coalesce(fixed[F.col("field")] if detection.format in PATTERNS else F.lit(None).cast("string"), infer_type(F.col("first")))
     stamp = F.col("stamped") & ~kind.isin("integer", "float", "boolean") & ~F.col("field").isin("message", "request")
+    if detection.metadata.get("patterns", detection.format) in WEB:  # fields of web logs are times by their names
+        stamp = F.lower("field").rlike("time|date")
     out = out.withColumn("data_type", kind).withColumn("is_timestamp", stamp).join(n, "source_file").join(samples, ["source_file", "field"])
     sure = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("frequency") / F.col("lines")) + F.when(F.col("is_timestamp"), 0.2).otherwise(0.0) + F.when(F.col("data_type") != "unknown", 0.1).otherwise(0.0))
     return out.withColumn("confidence", sure).orderBy("source_file", "place").select("source_file", "field", "data_type", "frequency", "is_timestamp", "samples", "confidence", "stamps")

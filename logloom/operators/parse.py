@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import LEVELS, PATTERNS, first_match, last_of_keys, pairs
-from ..functions.timestamps import best_timestamp, read_timestamp
+from ..functions.timestamps import best_timestamp, first_timestamp, read_timestamp
 from ..functions.values import convert, strip
 from ..model import Detection, Field, distinct_names
 
 _WEB = ("apache_common", "apache_combined", "apache_extended", "nginx_access", "nginx_error", "generic_web")
 _DELIMITED, _FREE = ("csv", "custom_delimited"), ("python_log", "basic_log")
 _MAP = "map<string,string>"
+#: Parsers of formats that callers have added: from a line and its detection to a map of texts, null if the line isn't of the format.
+_OWN_PARSERS: dict[str, Callable[[Column, Detection], Column]] = {}
 
 
 def _json(line: Column) -> Column:
@@ -28,6 +32,7 @@ def delimiter_of(detection: Detection) -> str:
     """The known delimiter; else the one that cuts the first sample line best into as many values as there are fields."""
     if "delimiter" in detection.metadata:
         return detection.metadata["delimiter"]
+    # fixed values: the delimiters to try, and their score
     usual = (",", ";", "\t", "|") if detection.format == "csv" else ("|", ";", "\t", ",", ":", " ")
     if not detection.samples:
         return usual[0]
@@ -58,6 +63,8 @@ def _split(line: Column, detection: Detection) -> Column:
 def extract(line: Column, detection: Detection) -> Column:
     """The line's fields as a map of texts, null if the line isn't of the format."""
     kind = detection.metadata.get("patterns", detection.format)
+    if kind in _OWN_PARSERS:
+        return _OWN_PARSERS[kind](line, detection).cast(_MAP)
     if kind == "json":
         return _json(line)
     if kind in ("csv", "custom_delimited"):
@@ -82,6 +89,72 @@ def derived(fields: Column, kind: str) -> Column:
     return fields
 
 
+class _Plan:
+    """The columns of one detection's parser, each built on those before: ``_all``, ``fields``, ``_ts``, ``parse_errors``."""
+
+    def __init__(self, detection: Detection, now: datetime, derive: bool):
+        self.detection, self.now, self.derive = detection, now, derive
+        self.kind = detection.metadata.get("patterns", detection.format)
+        self.names = distinct_names(list(detection.names)) if self.kind in _DELIMITED else detection.names
+        self.stamp = next((f.name for f in detection.fields if f.is_timestamp), None)
+        self.line = F.col("raw_line")
+
+    @property
+    def is_header(self) -> Column:
+        """The first line of a CSV source is no data if it is the header; a later line like it is."""
+        header = self.detection.metadata.get("header", delimiter_of(self.detection).join(self.detection.names))
+        return F.coalesce((F.col("line_number") == 1) & (self.line == header), F.lit(False)) if self.kind == "csv" else F.lit(False)
+
+    @property
+    def found(self) -> Column:
+        out = extract(self.line, self.detection)
+        return derived(out, self.kind) if self.derive and self.detection.format not in _OWN_PARSERS else out
+
+    @property
+    def best(self) -> Column:
+        """The time of a whole line that matches no pattern: the line is the message, and the timestamp's text if it has one."""
+        return best_timestamp(self.line, self.now)
+
+    @property
+    def fields(self) -> Column:
+        out = _wanted(F.col("_all"), self.names, self.kind, self.derive)
+        if self.kind not in _FREE:
+            return out
+        told = [n for n in ("timestamp", "message") if n in self.detection.names or not self.detection.fields]
+        if not told:
+            return out
+        texts = F.map_from_entries(F.array_compact(F.array(*[F.when(self.best.isNotNull() if n == "timestamp" else F.lit(True), F.struct(F.lit(n).alias("key"), self.line.alias("value"))) for n in told])))
+        return F.when(F.col("_all").isNull(), texts).otherwise(out)
+
+    @property
+    def time(self) -> Column:
+        """Of the declared field; else of the first value, in order of the schema, that holds one; of line patterns the line's."""
+        if self.stamp:
+            source = F.col("fields")[self.stamp]
+            if self.kind in _FREE:
+                source = F.when(F.col("_all").isNull(), self.line).otherwise(source)
+            shapes = self.detection.metadata.get("stamps")  # usual shapes of the field
+            return read_timestamp(source, self.now, tuple(shapes.split(","))) if shapes else best_timestamp(source, self.now)
+        if self.kind in PATTERNS:
+            return best_timestamp(self.line, self.now)
+        # numbers and booleans are no texts to look at, but between delimiters all parts are
+        texts = [f.name for f in self.detection.fields if self.kind in _DELIMITED or f.data_type not in ("integer", "float", "boolean")]
+        values = F.array(*[F.col("fields")[n] for n in texts]) if texts else F.array().cast("array<string>")
+        return first_timestamp(values if self.detection.fields else F.map_values("fields"), self.now)
+
+    @property
+    def errors(self) -> Column:
+        failed = F.when(F.col("_all").isNull(), F.lit("line does not match the format"))
+        # patterns of one format differ in their fields: only the other formats know what each line must have
+        missing = [F.when(F.col("_all").isNotNull() & ~F.map_contains_key("fields", F.lit(n)), F.lit(f"missing field {n}")) for n in (self.names if self.kind not in PATTERNS else ())]
+        unread = F.when(F.col("fields")[self.stamp].isNotNull() & F.col("_ts").isNull(), F.lit(f"unreadable timestamp in {self.stamp}")) if self.stamp else F.lit(None).cast("string")
+        extra = F.lit(None).cast("string")
+        if self.kind in _DELIMITED and self.detection.fields:
+            more = _parts(self.line, self.detection)[1] - len(self.names)
+            extra = F.when(more > 0, F.concat(more.cast("string"), F.lit(" values too many")))
+        return F.array_compact(F.array(failed, *missing, extra, unread))
+
+
 def parse(lines: DataFrame, detection: Detection, now: datetime, derive: bool = False) -> DataFrame:
     """Entries: the line with ``fields``, ``ts`` (as written) and its offset, format and confidence, ``parse_errors``, ``is_malformed``, ``confidence``.
 
@@ -91,40 +164,44 @@ def parse(lines: DataFrame, detection: Detection, now: datetime, derive: bool =
     format is an entry with an error. Keys are found whatever their case, exact ones first.
     A line of an application log that matches no pattern is the message.
     """
-    kind = detection.metadata.get("patterns", detection.format)
-    if kind == "systemd_journal":
-        return parse_journal(lines, detection, now)
-    line = F.col("raw_line")
-    rows = lines.filter(strip(line) != "").withColumn("raw_line", strip(line))
-    if kind == "csv":
-        rows = rows.filter(line != detection.metadata.get("header", delimiter_of(detection).join(detection.names)))
-    rows = rows.withColumn("_all", extract(line, detection))
-    if derive:
-        rows = rows.withColumn("_all", derived(F.col("_all"), kind))
-    names = distinct_names(list(detection.names)) if kind in _DELIMITED else detection.names
-    rows = rows.withColumn("fields", _wanted(F.col("_all"), names, kind, derive))
-    free = kind in _FREE
-    if free:  # the whole line is the message, and the timestamp's text if it has one
-        best = best_timestamp(line, now)
-        told = [n for n in ("timestamp", "message") if n in detection.names or not detection.fields]
-        texts = F.map_from_entries(F.array_compact(F.array(*[F.when(best.isNotNull() if n == "timestamp" else F.lit(True), F.struct(F.lit(n).alias("key"), line.alias("value"))) for n in told]))) if told else F.col("fields")
-        rows = rows.withColumn("fields", F.when(F.col("_all").isNull(), texts).otherwise(F.col("fields")))
-    stamp = next((f.name for f in detection.fields if f.is_timestamp), None)
-    source = F.col("fields")[stamp] if stamp else (F.array_join(F.map_values("fields"), " ") if kind not in PATTERNS else line)
-    if free and stamp:
-        source = F.when(F.col("_all").isNull(), line).otherwise(source)
-    shapes = detection.metadata.get("stamps")  # usual shapes of the field
-    rows = rows.withColumn("_ts", read_timestamp(source, now, tuple(shapes.split(","))) if shapes and stamp else best_timestamp(source, now))
-    # patterns of one format differ in their fields: only the other formats know what each line must have
-    required = names if kind not in PATTERNS else ()
-    failed = F.when(F.col("_all").isNull(), F.lit("line does not match the format"))
-    missing = [F.when(F.col("_all").isNotNull() & ~F.map_contains_key("fields", F.lit(n)), F.lit(f"missing field {n}")) for n in required]
-    unread = F.when(F.col("fields")[stamp].isNotNull() & F.col("_ts").isNull(), F.lit(f"unreadable timestamp in {stamp}")) if stamp else F.lit(None).cast("string")
-    extra = F.lit(None).cast("string")
-    if kind in _DELIMITED and detection.fields:
-        more = _parts(line, detection)[1] - len(names)
-        extra = F.when(more > 0, F.concat(more.cast("string"), F.lit(" values too many")))
-    return _entries(rows.withColumn("parse_errors", F.array_compact(F.array(failed, *missing, extra, unread))))
+    return parse_sources(lines, [(detection, None)], now, derive)
+
+
+def parse_sources(lines: DataFrame, plans: list[tuple[Detection, list[str] | None]], now: datetime, derive: bool = False) -> DataFrame:
+    """Entries of sources of several formats in one pass over the lines: each line takes its own source's parser.
+
+    ``plans`` has the detections with the names of their sources (null: all). Lines of other
+    sources are left out. Only journals, whose entries are blocks of lines, are gone through
+    apart.
+    """
+    journals = [(d, s) for d, s in plans if d.metadata.get("patterns", d.format) == "systemd_journal"]
+    rest = [(_Plan(d, now, derive), s) for d, s in plans if (d, s) not in journals]
+    parts = [parse_journal(lines if s is None else lines.filter(F.col("source_file").isin(s)), d, now) for d, s in journals]
+    if rest:
+        line = F.col("raw_line")
+        rows = lines.filter(strip(line) != "").withColumn("raw_line", strip(line))
+        which = F.lit(None).cast("int")
+        for i, (_, sources) in enumerate(rest):
+            which = F.when(F.col("source_file").isin(sources) if sources is not None else F.lit(True), F.coalesce(which, F.lit(i))).otherwise(which)
+        if len(rest) == 1 and rest[0][1] is None:
+            choose = lambda name: getattr(rest[0][0], name)
+        else:
+            rows = rows.withColumn("_plan", which).filter("_plan is not null")
+
+            def choose(name: str) -> Column:
+                out = F.when(F.col("_plan") == 0, getattr(rest[0][0], name))
+                for i, (plan, _) in enumerate(rest[1:], 1):
+                    out = out.when(F.col("_plan") == i, getattr(plan, name))
+                return out
+
+        if any(p.kind == "csv" for p, _ in rest):
+            rows = rows.filter(~choose("is_header"))
+        for column, name in (("_all", "found"), ("fields", "fields"), ("_ts", "time"), ("parse_errors", "errors")):
+            rows = rows.withColumn(column, choose(name))
+        parts.append(_entries(rows))
+    if not parts:
+        return parse_sources(lines.filter("false"), [(Detection("json"), None)], now)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _wanted(found: Column, names: tuple[str, ...], kind: str, derive: bool) -> Column:

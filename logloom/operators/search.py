@@ -114,13 +114,17 @@ def filter_condition(f: SearchFilter) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def bounds(t: TimeFilter, now: datetime) -> tuple[datetime | None, datetime | None]:
+    if t.last_hours:
+        return now - timedelta(hours=t.last_hours), now
+    if t.last_minutes:
+        return now - timedelta(minutes=t.last_minutes), now
+    return t.start, t.end
+
+
 def time_condition(t: TimeFilter, now: datetime) -> Column:
     """Offsets are taken off before comparing; entries without a time only pass if there are no bounds."""
-    start, end = t.start, t.end
-    if t.last_hours:
-        start, end = now - timedelta(hours=t.last_hours), now
-    elif t.last_minutes:
-        start, end = now - timedelta(minutes=t.last_minutes), now
+    start, end = bounds(t, now)
     at = F.col("ts") - F.make_dt_interval(mins=F.coalesce("ts_offset_min", F.lit(0)))
     out = F.lit(True)
     if start is not None:
@@ -170,10 +174,11 @@ def _read_by(query: SearchQuery) -> list[str]:
     return (["fields"] if query.text or query.filters else []) + (["ts", "ts_offset_min"] if query.time else [])
 
 
-def search(entries: DataFrame, query: SearchQuery, now: datetime) -> SearchResult:
+def search(entries: DataFrame, query: SearchQuery, now: datetime, stored: bool = False) -> SearchResult:
+    """``stored``: the entries are columns on disk, so filters may move down to the reader."""
     if query.offset < 0 or (query.limit or 0) < 0:
         raise ValueError("offset and limit can't be negative")
-    names = _read_by(query)
+    names = [] if stored else _read_by(query)
     found = (held(entries, *names) if names else entries).filter(condition(query, now))
     page = found.orderBy(*ORDER)
     page = page.offset(query.offset) if query.offset else page

@@ -9,28 +9,6 @@ from ..model import Detection
 from .parse import extraction_rates, parse_statistics
 
 
-def field_profile(entries: DataFrame, most: int = 5, detection: Detection | None = None) -> DataFrame:
-    """For each field: presence and its rate, nulls (empty texts) and their rate, distinct values, the most frequent ones.
-
-    With a detection also its type, confidence and whether it is a time, and fields of the
-    schema that never occur.
-    """
-    total = entries.agg(F.count(F.lit(1)).alias("entries"))
-    each = entries.select("source_file", "line_number", F.explode("fields").alias("field", "value"))
-    values = each.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_file", "line_number")).alias("first"))
-    # Spark keeps the first rows of each field in every task before it sorts a field's values
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "first"))).filter(F.col("rank") <= most)
-    top = ranked.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"], x["n"])).alias("top_values"))
-    out = values.groupBy("field").agg(F.sum("n").alias("present"), F.sum(F.when(F.col("value") == "", F.col("n")).otherwise(0)).alias("nulls"), F.count(F.lit(1)).alias("distinct_values")).join(top, "field")
-    columns = ["field", "present", "extraction_rate", "null_rate", "distinct_values", "top_values"]
-    if detection is not None:
-        known = entries.sparkSession.createDataFrame([(f.name, f.data_type, float(f.confidence), f.is_timestamp) for f in detection.fields], "field string, data_type string, confidence double, is_timestamp boolean")
-        out = out.join(known, "field", "full").fillna(0, ["present", "nulls", "distinct_values"]).withColumns({"data_type": F.coalesce("data_type", F.lit("string")), "confidence": F.coalesce("confidence", F.lit(0.0)), "is_timestamp": F.coalesce("is_timestamp", F.lit(False))})
-        columns += ["data_type", "confidence", "is_timestamp"]
-    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("entries")), F.lit(0.0))
-    return out.join(F.broadcast(total)).withColumns({"extraction_rate": share("present"), "null_rate": share("nulls")}).select(*columns)  # one row
-
-
 def hourly(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.hour("ts").cast("long").alias("hour")).agg(F.count("ts").alias("n")).filter("n > 0")
 

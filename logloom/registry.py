@@ -11,11 +11,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import shared_folder
 from .functions import timestamps
 from .functions.values import infer_type
 from .model import Detection, Field, distinct_names, fields_of
-from .operators import detect, parse, search, stats
+from .operators import detect, overview, parse, search, stats
 from .operators.search import QueryBuilder, SearchFilter, SearchQuery, TimeFilter
+from .plans.index import LogIndex
 from .sources.lines import lines_of
 
 NOW = datetime(2024, 1, 31)
@@ -186,11 +188,11 @@ def time_series(spark, sf_dir):
 
 
 def field_profile(spark, sf_dir):
-    return stats.field_profile(_entries(spark, sf_dir)).select("field", "present", "extraction_rate", "null_rate", "distinct_values").filter("field in ('event_id', 'user_id', 'event_type')")
+    return overview.profile(overview.overview(_entries(spark, sf_dir))).select("field", "present", "extraction_rate", "null_rate", "distinct_values").filter("field in ('event_id', 'user_id', 'event_type')")
 
 
 def top5_values(spark, sf_dir):
-    return stats.field_profile(_entries(spark, sf_dir)).filter("field = 'event_type'").select(F.explode("top_values").alias("x")).select("x.value", "x.n")
+    return overview.profile(overview.overview(_entries(spark, sf_dir))).filter("field = 'event_type'").select(F.explode("top_values").alias("x")).select("x.value", "x.n")
 
 
 _BROKEN = f"case when event_id % 10 = 3 then 'broken line' when event_id % 10 = 7 then concat('{{\"event_id\": \"', event_id, '\", \"ts\": \"never\", \"event_type\": \"', event_type, '\"}}') else {_JSON_LINE} end"
@@ -214,7 +216,7 @@ def quality_score(spark, sf_dir):
 
 def recommendations(spark, sf_dir):
     entries = _broken(spark, sf_dir, "cast(event_id % 10 as string)")
-    files = stats.file_statistics(entries, JSON.names, 0.6).join(stats.file_details(entries, JSON), "source_file")
+    files = overview.files(overview.overview(entries), JSON, 0.6)
     return stats.recommendations(files).select("source_file", F.explode("recommendations").alias("hint"))
 
 
@@ -409,13 +411,104 @@ def level_counts(spark, sf_dir):
 def report(spark, sf_dir):
     from .plans.session import LogSession
 
-    return LogSession(spark, NOW).report(_broken(spark, sf_dir), JSON).filter("section = 'file' or label = 'event_type'")
+    return LogSession(spark, NOW).report(_broken(spark, sf_dir), JSON).filter("section = 'file' or section = 'field' and label = 'event_type'")
+
+
+def analysis_report(spark, sf_dir):
+    """The report's figures of parsing and of time."""
+    return overview.report(overview.overview(_broken(spark, sf_dir)), JSON).filter("section in ('parsing', 'error', 'time') and label not in ('first', 'last')")
+
+
+def problem_issues(spark, sf_dir):
+    files = overview.files(overview.overview(_broken(spark, sf_dir, "cast(event_id % 10 as string)")), JSON, 0.6)
+    return overview.problem_files(files, 0.9).select("source_file", F.round("quality", 9).alias("quality"), F.array_join("issues", "; ").alias("issues"))
+
+
+def rate_bars(spark, sf_dir):
+    return overview.rate_bars(overview.overview(_broken(spark, sf_dir)), JSON).select("field", F.round("rate", 9).alias("rate"), "bar")
+
+
+def gauges(spark, sf_dir):
+    files = overview.files(overview.overview(_broken(spark, sf_dir, "cast(event_id % 10 as string)")), JSON, 0.6)
+    return overview.gauges(files).filter("gauge <> 'quality'").select("source_file", "gauge", F.round("value", 9).alias("value"), "bar")
+
+
+def timestamp_fallback(spark, sf_dir):
+    """Texts whose first shape isn't a valid time: a date or a time inside of them remains."""
+    text = """case event_id % 5 when 0 then concat('at ', date_format(ts, 'yyyy-MM-dd'), ' 25:', date_format(ts, 'mm:ss')) when 1 then concat(date_format(ts, 'yyyy-MM-dd HH:mm'), ':60 it began')
+      when 2 then concat('2024-13-45 ', date_format(ts, 'HH:mm:ss')) when 3 then concat('Feb 30 ', date_format(ts, 'HH:mm:ss'), ' host') else concat(date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +9999') end"""
+    best = timestamps.best_timestamp(F.expr(text), NOW)
+    return _events(spark, sf_dir).select("event_id", best.alias("b")).select("event_id", "b.ts", "b.format")
+
+
+def first_field_time(spark, sf_dir):
+    """Without a declared time the first field that holds one gives it, also where a later one is surer."""
+    line = f"""concat('{{"id": ', event_id, ', "day": "', case when event_id % 3 = 0 then 'none' else date_format(ts, 'yyyy-MM-dd') end, '", "at": "', {_ISO}, '"}}')"""
+    entries = parse.parse(_lines(spark, sf_dir, line), Detection("json", 1.0, fields_of(id="integer", day="string", at="string")), NOW)
+    return entries.select("line_number", "ts", F.col("ts_format").alias("format"))
+
+
+def csv_header_once(spark, sf_dir):
+    """The header is left out where it is the first line; elsewhere a line like it is data."""
+    line = "case when event_id % 7 = 1 then 'id,kind' else concat_ws(',', event_id, event_type) end"
+    entries = parse.parse(_lines(spark, sf_dir, line), Detection("csv", 1.0, fields_of(id="string", kind="string"), metadata={"delimiter": ",", "header": "id,kind"}), NOW)
+    return entries.select("line_number", F.col("fields")["id"].alias("id"), F.col("fields")["kind"].alias("kind"))
+
+
+def mixed_formats(spark, sf_dir):
+    """Sources of four formats in one scan, each line by its own source's parser."""
+    kv = "concat('event_id=', event_id, ' event_type=', event_type, ' ts=', {})".format(_ISO)
+    csv = f"concat_ws(',', event_id, event_type, {_ISO})"
+    log = f"concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS'), ' - ', event_id, ' - ', {_LEVEL}, ' - ', event_type)"
+    lines = _lines(spark, sf_dir, f"case event_id % 4 when 0 then {_JSON_LINE} when 1 then {kv} when 2 then {csv} else {log} end", "concat('s', event_id % 4)")
+    own = fields_of(event_id="integer", event_type="string", ts="timestamp")
+    plans = [(Detection("json", 1.0, own), ["s0"]), (Detection("key_value", 1.0, own), ["s1"]), (Detection("csv", 1.0, own, metadata={"delimiter": ","}), ["s2"])]
+    plans.append((Detection("python_log", 1.0, fields_of(timestamp="timestamp", logger="string", level="string", message="string")), ["s3"]))
+    f = F.col("fields")
+    return parse.parse_sources(lines, plans, NOW).select("source_file", F.coalesce(f["event_id"], f["logger"]).cast("bigint").alias("event_id"), F.coalesce(f["event_type"], f["message"]).alias("event_type"), "ts", "is_malformed")
+
+
+def index_search(spark, sf_dir):
+    """A search in time for a value over an index written and opened again."""
+    path = shared_folder(spark, "index")
+    LogIndex.build(_entries(spark, sf_dir), path, ("event_type",), NOW)
+    query = QueryBuilder.combined(filters=(SearchFilter("event_type", "equals", "Error"), SearchFilter("value", "gt", "10")), time=TimeFilter(datetime(2024, 1, 3), datetime(2024, 1, 20)))
+    return _typed(LogIndex(spark, path, NOW).search(query).matches, fields_of(event_id="integer"), "event_id")
+
+
+def added_formats(spark, sf_dir):
+    """Formats of callers: a pattern found anywhere in a line, with a group inside of a group, and an own test and parser."""
+    detect.register_format("level_note", ((r"lvl=((\w)\w*) msg=(.*)", ("level", "initial", "msg")),))
+    parts = lambda line: F.split(line, " -> ")
+    detect.register_format("arrows", detector=lambda line: F.contains(line, F.lit(" -> ")), parser=lambda line, d: F.when(F.size(parts(line)) == 2, F.create_map(F.lit("from"), F.get(parts(line), F.lit(0)), F.lit("to"), F.get(parts(line), F.lit(1)))))
+    try:
+        line = f"case when event_id % 2 = 0 then concat(event_id, ' lvl=', {_LEVEL}, ' msg=of ', user_id) else concat(event_id, ' -> ', event_type) end"
+        lines = _lines(spark, sf_dir, line, "concat('s', event_id % 2)")
+        plans = [(Detection("level_note", 1.0, fields_of(level="string", initial="string", msg="string")), ["s0"]), (Detection("arrows", 1.0, fields_of(**{"from": "integer", "to": "string"})), ["s1"])]
+        found = detect.best_formats(detect.scores(lines)).select(F.col("source_file").alias("_s"), "format")
+        entries = parse.parse_sources(lines, plans, NOW)
+        f = F.col("fields")
+        return entries.join(found, F.col("source_file") == F.col("_s")).select("line_number", "format", *[f[n].alias(n) for n in ("level", "initial", "msg", "from", "to")], "is_malformed")
+    finally:
+        detect.unregister_format("level_note")
+        detect.unregister_format("arrows")
+
+
+def web_field_schema(spark, sf_dir):
+    """Fields of web logs are times by their names."""
+    lines = _lines(spark, sf_dir, f"concat({_CLF}, {_AGENT}, ' ', event_id % 7, '.25')")
+    return detect.field_schema(lines, Detection("nginx_access", 1.0)).select("field", "is_timestamp", F.col("frequency").cast("long").alias("frequency"))
+
+
+_SEARCHES["search_python_regex"] = (QueryBuilder.regex_search("event_type", r"^(?P<first>[^[\W])(?:rr|[i-i&&]e)(?P<last>or|w)\Z(?!\\Z)"), "event_type in ('error', 'view')")
+_SEARCHES["search_conditional_regex"] = (QueryBuilder.regex_search("event_type", r"^(?P<e>e)?(?(e)rror|[^[e]+w)\Z"), "event_type = 'error'")
 
 
 QUERIES = {k: _search(q) for k, (q, _) in _SEARCHES.items()} | {
     f.__name__: f
     for f in (json_parse, journal_parse, search_page, facet_top10, facet_display, field_names, time_range_meta, search_errors, search_by_ip, hourly_counts, daily_counts, time_series, field_profile, top5_values, parse_quality, extraction_rates, quality_score, recommendations, multi_file_global, multi_file_compare, detect_best, detect_format_scores, type_inference, timestamp_formats, timestamp_extract_all, doc_text_search, conversation_search, flagship,
-        dirty_json_parse, dirty_csv_parse, dirty_text_parse, kv_case_parse, journal_short_parse, apache_extended_parse, nginx_timed_parse, field_schema, confidence_words, problem_files, multi_file_consistency, multi_file_totals, multi_file_rates, insufficient_data, hour_bars, results_table, raw_view, level_counts, report)
+        dirty_json_parse, dirty_csv_parse, dirty_text_parse, kv_case_parse, journal_short_parse, apache_extended_parse, nginx_timed_parse, field_schema, confidence_words, problem_files, multi_file_consistency, multi_file_totals, multi_file_rates, insufficient_data, hour_bars, results_table, raw_view, level_counts, report,
+        analysis_report, problem_issues, rate_bars, gauges, timestamp_fallback, first_field_time, csv_header_once, mixed_formats, index_search, added_formats, web_field_schema)
 } | {
     "csv_parse": csv_parse, "custom_delimited_parse": custom_delimited_parse, "ltsv_parse": ltsv_parse, "kv_parse": kv_parse, "apache_common_parse": apache_common_parse, "apache_combined_parse": apache_combined_parse, "nginx_access_parse": nginx_access_parse,
     "nginx_error_parse": nginx_error_parse, "python_log_parse": python_log_parse, "basic_log_parse": basic_log_parse, "syslog3164_parse": syslog3164_parse, "syslog5424_parse": syslog5424_parse,
@@ -483,3 +576,24 @@ ORACLES = {k: _where(w) for k, (_, w) in _SEARCHES.items()} | dict.fromkeys(("js
     "level_counts": f"select {_LEVEL_SQL} as level, count(*) as n from events group by 1",
     "report": f"with f as (select 'events' as source_file, count(*) as n, avg(case when event_id % 10 in (3, 7) then 0.0 else 1.0 end) as success, avg(case event_id % 10 when 3 then 0.0 when 7 then 0.6 else 1.0 end) as extraction, avg(case event_id % 10 when 3 then 0.8 when 7 then 0.4 else 1.0 end) as confidence from events) select 'file' as section, 'events' as label, printf('%d lines, quality %.2f', n, {_QUALITY.format(d='1.0')}) as value from f union all select 'field', 'event_type', printf('%d values, %d distinct', count(*), count(distinct event_type)) from events where event_id % 10 <> 3",
 }
+
+_BAR = "repeat('#', floor(round({share} * 30, 9))::int) || repeat('.', 30 - floor(round({share} * 30, 9))::int)"
+_TIMES = "select event_id, ts from events where event_id % 10 not in (3, 7)"
+ORACLES |= {
+    "analysis_report": f"""with t as ({_TIMES}), h as (select strftime(ts, '%H') as name, count(*) as n, min(ts) as lo from t group by 1), d as (select strftime(ts, '%Y-%m-%d') as name, count(*) as n, min(ts) as lo from t group by 1),
+      e as (select count(*) as n, count(*) filter (event_id % 10 in (3, 7)) as bad, avg(case event_id % 10 when 3 then 0.8 when 7 then 0.4 else 1.0 end) as c, count(*) filter (event_id % 10 = 3) as failed, count(*) filter (event_id % 10 = 7) as few from events)
+      select 'parsing' as section, 'lines' as label, n::varchar as value from e union all select 'parsing', 'parsed', (n - bad)::varchar from e union all select 'parsing', 'malformed', bad::varchar from e union all select 'parsing', 'success', printf('%.1f %%', (n - bad) * 100.0 / n) from e
+      union all select 'parsing', 'mean confidence', printf('%.3f', c) from e union all select 'error', 'format_mismatch', failed::varchar from e union all select 'error', 'field_extraction', (2 * few)::varchar from e union all select 'error', 'timestamp_parsing', few::varchar from e
+      union all select 'time', 'entries with a time', count(*)::varchar from t union all select 'time', 'peak hour', (select name from h order by n desc, lo limit 1) union all select 'time', 'peak day', (select name from d order by n desc, lo limit 1)
+      union all select 'time', 'hours', count(*)::varchar from h union all select 'time', 'days', count(*)::varchar from d union all select 'time', 'entries a second', printf('%.3f', count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6) from t""",
+    "problem_issues": f"with f as (select *, {_QUALITY.format(d='0.6')} as q from ({_FILES.format(source='(event_id % 10)::varchar')})) select source_file, round(q, 9) as quality, 'check the detected format' || case when success < 0.8 then '; many lines fail to parse' else '' end as issues from f where q < 0.9",
+    "rate_bars": f"with r as (select f.field, avg(case when event_id % 10 = 3 or event_id % 10 = 7 and f.field in ('user_id', 'value') then 0.0 else 1.0 end) as rate from events, (values ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value')) f(field) group by 1), m as (select *, rate / (select max(rate) from r) as share from r) select field, round(rate, 9) as rate, {_BAR.format(share='share')} as bar from m",
+    "gauges": f"with f as ({_FILES.format(source='(event_id % 10)::varchar')}), g as (select source_file, unnest(['success', 'detection', 'confidence']) as gauge, unnest([success, 0.6, confidence]) as value from f) select source_file, gauge, round(value, 9) as value, {_BAR.format(share='value')} as bar from g",
+    "timestamp_fallback": "select event_id, case when event_id % 5 < 2 then date_trunc('day', ts)::timestamp when event_id % 5 < 4 then timestamp '2024-01-31' + (date_trunc('second', ts) - date_trunc('day', ts)) else date_trunc('second', ts) end as ts, case when event_id % 5 < 2 then 'iso_date' when event_id % 5 < 4 then 'time_only' else 'apache_common_no_tz' end as format from events",
+    "first_field_time": "select event_id as line_number, case when event_id % 3 = 0 then ts else date_trunc('day', ts)::timestamp end as ts, case when event_id % 3 = 0 then 'iso8601_utc_ms' else 'iso_date' end as format from events",
+    "csv_header_once": "select event_id as line_number, case when event_id % 7 = 1 then 'id' else event_id::varchar end as id, case when event_id % 7 = 1 then 'kind' else event_type end as kind from events where event_id <> 1",
+    "mixed_formats": "select 's' || event_id % 4 as source_file, event_id, event_type, case when event_id % 4 = 3 then date_trunc('millisecond', ts) else ts end as ts, false as is_malformed from events",
+    "index_search": "select event_id from events where event_type = 'error' and value > 10 and ts between timestamp '2024-01-03' and timestamp '2024-01-20'",
+    "added_formats": f"select event_id as line_number, case when event_id % 2 = 0 then 'level_note' else 'arrows' end as format, case when event_id % 2 = 0 then {_LEVEL_SQL} end as level, case when event_id % 2 = 0 then {_LEVEL_SQL}[1] end as initial, case when event_id % 2 = 0 then 'of ' || user_id end as msg, case when event_id % 2 = 1 then event_id::varchar end as from, case when event_id % 2 = 1 then event_type end as to, false as is_malformed from events".replace(" as from,", ' as "from",').replace(" as to,", ' as "to",'),
+    "web_field_schema": "select f as field, f in ('time_local', 'request_time') as is_timestamp, count(*) as frequency from events, (values ('remote_addr'), ('time_local'), ('request'), ('status'), ('bytes_sent'), ('http_referer'), ('http_user_agent'), ('request_time')) v(f) group by 1",
+}

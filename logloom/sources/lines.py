@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import lzma
+import re
 from collections.abc import Iterator
 from itertools import islice
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +21,11 @@ def _text(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), clean.alias("raw_line"))
 
 
+def path_of(source_file: str) -> str:
+    """The path to read a file by that ``source_file`` names; characters that patterns of paths use are plain ones."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(source_file))
+
+
 def _kinds(paths: tuple[str, ...]) -> tuple[list[str], list[str]]:
     packed = [p for p in paths if p.lower().endswith((".xz", ".lzma"))]
     return [p for p in paths if p not in packed], packed

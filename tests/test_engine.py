@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logloom.functions import timestamps
 from logloom.functions.values import convert, infer_type
 from logloom.model import Detection, Field, fields_of
-from logloom.operators import detect, parse, search, stats
+from logloom.operators import detect, overview, parse, search, stats
 from logloom.operators.search import QueryBuilder, SearchFilter, SearchQuery, TimeFilter
 from logloom.plans.session import LogSession
 from logloom.sources.lines import list_sources, read_heads, read_lines
@@ -48,7 +48,7 @@ def test_several_timestamps_in_a_text(spark):
     text = "from 2024-05-06T07:08:09Z to 05/07/2024 01:02:03, not 2024-13-01 00:00:00, day 2024/05/08"
     df = spark.createDataFrame([(text,)], "t string").select(timestamps.detect_timestamps(F.col("t"), NOW).alias("x"), timestamps.extract_timestamps(F.col("t"), NOW, 0.7).alias("y"))
     r = df.first()
-    assert [x["format"] for x in r["x"]] == ["iso8601_utc", "us_slash_datetime", "slash_date"] and [x["format"] for x in r["y"]] == ["iso8601_utc"]
+    assert [x["format"] for x in r["x"]] == ["iso8601_utc", "us_slash_datetime", "slash_date", "time_only"] and [x["format"] for x in r["y"]] == ["iso8601_utc"]
 
 
 def test_types(spark):
@@ -181,7 +181,7 @@ def test_detections_carry_shapes_and_kinds(spark):
     e = LogSession(spark, NOW).parse(text, d)
     assert e.filter("ts is null").isEmpty() and e.count() == 16
     assert stats.best_detection(d).confidence == 1.0 and stats.format_statistics(d["j"])["n_timestamp_fields"] == 1
-    profile = {r["field"]: r for r in stats.field_profile(e.filter("source_file = 'j'"), detection=Detection("json", 1.0, fields_of(n="integer", gone="float"))).collect()}
+    profile = {r["field"]: r for r in overview.profile(overview.overview(e.filter("source_file = 'j'")), Detection("json", 1.0, fields_of(n="integer", gone="float"))).collect()}
     assert (profile["n"]["distinct_values"], profile["n"]["data_type"], profile["gone"]["present"], profile["gone"]["extraction_rate"]) == (8, "integer", 0, 0.0)
 
 
@@ -268,8 +268,8 @@ def test_index(spark, tmp_path):
     d = Detection("json", 1.0, fields_of(a="integer", at="timestamp"))
     e = parse.parse(lines(spark, [f'{{"a": "{i}", "at": "2024-05-0{9 - i}T00:00:00Z"}}' for i in range(1, 9)]), d, NOW)
     kept = LogSession(spark, NOW).index(e, str(tmp_path / "index"))
-    assert kept.dtypes == e.dtypes and search.search(kept, SearchQuery(filters=(SearchFilter("a", "gt", "3"),), time=TimeFilter(end=datetime(2024, 5, 4))), NOW).total == 4
-    plan = search.search(kept, SearchQuery(time=TimeFilter(end=datetime(2024, 5, 4))), NOW).matches._jdf.queryExecution().executedPlan().toString()
+    assert kept.entries.dtypes == e.dtypes and kept.search(SearchQuery(filters=(SearchFilter("a", "gt", "3"),), time=TimeFilter(end=datetime(2024, 5, 4)))).total == 4
+    plan = kept.search(SearchQuery(time=TimeFilter(end=datetime(2024, 5, 4)))).matches._jdf.queryExecution().executedPlan().toString()
     assert "from_json" not in plan
 
 
