@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Staging, keyed_schema, mix, row_chunks, text_buffers
-from .tokens import PLAIN
+from .tokens import _PLAIN as PLAIN
 
 #: Pairs that one shard of the hash holds on average, and that are broadcast at once.
 SHARD_KEYS, RANGE_KEYS = 1 << 18, 1 << 22
