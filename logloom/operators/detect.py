@@ -118,8 +118,9 @@ def scores(lines: DataFrame, sample: int = 100) -> DataFrame:
 
 
 def best_formats(scored: DataFrame) -> DataFrame:
-    """The surest format of each source above its threshold; of equal ones the earlier detector; else ``unknown``."""
-    order = F.create_map(*[x for i, k in enumerate(THRESHOLDS) for x in (F.lit(k), F.lit(i))])
+    """The surest format of each source above its threshold; of equal ones the earlier detector, a caller's before all; else ``unknown``."""
+    ranked = [*_ADDED, *[k for k in THRESHOLDS if k not in _ADDED]]
+    order = F.create_map(*[x for i, k in enumerate(ranked) for x in (F.lit(k), F.lit(i))])
     least = F.create_map(*[x for k, v in THRESHOLDS.items() for x in (F.lit(k), F.lit(v))])
     ok = F.when(F.col("confidence") >= least[F.col("format")], F.struct(F.col("confidence"), (-order[F.col("format")]).alias("o"), "format", "delimiter"))
     best = scored.groupBy("source_file").agg(F.max(ok).alias("b"))

@@ -239,11 +239,14 @@ def parse_journal(lines: DataFrame, detection: Detection, now: datetime) -> Data
     tasks' work.
     """
     blank = (strip(F.col("raw_line")) == "").cast("long")
-    numbered = lines.select("source_file", "line_number", "raw_line", blank.alias("_blank"), F.floor(F.col("line_number") / _CHUNK_LINES).alias("_chunk"))
-    chunks = numbered.groupBy("source_file", "_chunk").agg(F.sum("_blank").alias("_n"))
-    before = chunks.select("source_file", "_chunk", F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.sum("_blank").over(Window.partitionBy("source_file", "_chunk").orderBy("line_number"))
-    placed = numbered.withColumn("_inner", inner).join(before, ["source_file", "_chunk"]).filter("_blank = 0")
+    if "_blanks_before" in lines.columns:  # the reader has counted them
+        placed = lines.select("source_file", "line_number", "raw_line", blank.alias("_blank"), "_chunk", F.col("_blanks_before").alias("_before")).withColumn("_inner", inner).filter("_blank = 0")
+    else:
+        numbered = lines.select("source_file", "line_number", "raw_line", blank.alias("_blank"), F.floor(F.col("line_number") / _CHUNK_LINES).alias("_chunk"))
+        chunks = numbered.groupBy("source_file", "_chunk").agg(F.sum("_blank").alias("_n"))
+        before = chunks.select("source_file", "_chunk", F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        placed = numbered.withColumn("_inner", inner).join(before, ["source_file", "_chunk"]).filter("_blank = 0")
     blocks = placed.groupBy("source_file", (F.col("_inner") + F.col("_before")).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("line_number", "raw_line"))).alias("rows"))
     text = lambda r: strip(r["raw_line"])
     keyed = r"^[A-Z_][A-Z0-9_]*="

@@ -10,7 +10,7 @@ session can open an index by its path.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ _EPOCH = datetime(1970, 1, 1)
 
 
 def instant() -> Column:
-    """An entry's time less its offset, as microseconds since 1970."""
+    """An entry's time less its offset, as microseconds since 1970: a number, since Parquet keeps no statistics of Spark's timestamps by default."""
     at = F.col("ts") - F.make_dt_interval(mins=F.coalesce("ts_offset_min", F.lit(0)))
     return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), at)
 
@@ -38,7 +38,7 @@ class LogIndex:
     @staticmethod
     def build(entries: DataFrame, path: str, exact: tuple[str, ...] = (), now: datetime | None = None, row_group_bytes: int = 64 << 20, partitions: int | None = None) -> LogIndex:
         """Write the index. Entries without a time come first. An existing folder is an error."""
-        columns = [F.timestamp_micros(instant()).alias(_UTC)]
+        columns = [instant().alias(_UTC)]
         columns += [F.lower(F.col("fields")[n]).alias(f"{_EXACT}{i}", metadata={"field": n}) for i, n in enumerate(dict.fromkeys(exact))]
         rows = entries.select("*", *columns)
         by = (F.col(_UTC), F.col("source_file"), F.col("line_number"))
@@ -60,8 +60,7 @@ class LogIndex:
             start, end = search.bounds(query.time, self.now)
             for bound, test in ((start, Column.__ge__), (end, Column.__le__)):
                 if bound is not None:
-                    micros = round((bound - _EPOCH).total_seconds() * 1_000_000)
-                    out = out & test(F.col(_UTC), F.timestamp_micros(F.lit(micros)))
+                    out = out & test(F.col(_UTC), F.lit((bound - _EPOCH) // timedelta(microseconds=1)))
         for f in query.filters:
             if f.operator == "equals" and f.field in self.exact:
                 out = out & (F.col(self.exact[f.field]) == F.lit(f.value.lower()))

@@ -65,7 +65,7 @@ class LogSession:
         journals = [p for p in plans if p[0].format == "systemd_journal"]
         rest = [p for p in plans if p not in journals]
         groups = [journals] * bool(journals) + [rest[i : i + PLANS_AT_ONCE] for i in range(0, len(rest), PLANS_AT_ONCE)]
-        parts = [parse.parse_sources(read_lines(self.spark, *[path_of(s) for _, sources in g for s in sources]), g, self.now, derive) for g in groups]
+        parts = [parse.parse_sources(read_lines(self.spark, *[path_of(s) for _, sources in g for s in sources], blanks=g is journals), g, self.now, derive) for g in groups]
         return reduce(DataFrame.unionByName, parts) if parts else parse.parse_sources(self.spark.createDataFrame([], "source_file string, line_number bigint, raw_line string"), [], self.now)
 
     def parse_line(self, text: str, detection: Detection) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text sources as lines: plain, gzip and bzip2 by Spark's reader, xz and lzma by a streaming decoder."""
+"""Text sources as lines: plain, gzip and bzip2 by Spark's reader, xz by ranges of blocks, other packed files by a streaming decoder."""
 
 from __future__ import annotations
 
@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import strip
+from . import xz
+
 SUFFIXES = (".log", ".txt", ".csv", ".json", ".gz", ".bz2", ".xz", ".lzma")
 
 
@@ -31,24 +34,24 @@ def _kinds(paths: tuple[str, ...]) -> tuple[list[str], list[str]]:
     return [p for p in paths if p not in packed], packed
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+def read_lines(spark: SparkSession, *paths: str, blanks: bool = False) -> DataFrame:
     """``source_file``, ``line_number`` (from 1, blank lines counted), ``raw_line``; bytes that aren't UTF-8 are dropped.
 
     A line's number is its place in its split plus the lines of the file's splits before,
-    so text isn't moved to be numbered and a large file stays spread over its splits.
+    so text isn't moved to be numbered and a large file stays spread over its splits. With
+    ``blanks`` also ``_chunk`` (the split) and ``_blanks_before`` (blank lines of the file's
+    splits before), from the same count.
     """
     plain, packed = _kinds(paths)
-    out = None
-    if plain:
-        text = _text(spark, plain)
-        splits = text.groupBy("source_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        splits = splits.select("source_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
-        out = text.join(splits, ["source_file", "_block"]).select("source_file", (F.col("_id") + F.col("_shift")).alias("line_number"), "raw_line")
-    if packed:
-        more = _packed(spark, packed)
-        out = more if out is None else out.unionByName(more)
-    return out
+    texts = ([_text(spark, plain)] if plain else []) + ([_packed_text(spark, packed)] if packed else [])
+    text = texts[0] if len(texts) == 1 else texts[0].unionByName(texts[1])
+    counts = [F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")] + ([F.count_if(strip(F.col("raw_line")) == "").alias("_empty")] if blanks else [])
+    splits = text.groupBy("source_file", "_block").agg(*counts)
+    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    shifts = [(before("_n") - F.col("_first") + 1).alias("_shift")] + ([before("_empty").alias("_blanks_before")] if blanks else [])
+    numbered = text.join(splits.select("source_file", "_block", *shifts), ["source_file", "_block"])
+    return numbered.select("source_file", (F.col("_id") + F.col("_shift")).alias("line_number"), "raw_line", *([F.col("_block").alias("_chunk"), "_blanks_before"] if blanks else []))
 
 
 def read_heads(spark: SparkSession, *paths: str, most: int = 1000) -> DataFrame:
@@ -65,6 +68,52 @@ def read_heads(spark: SparkSession, *paths: str, most: int = 1000) -> DataFrame:
     return out
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """Files that a path or pattern means: the name that Spark has for each in a row, its path, its size."""
+    path_type = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = path_type(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return [(path_type(x.getPath().toString()).toUri().toString(), x.getPath().toString(), x.getLen()) for x in found or [] if x.isFile()]
+
+
+def _blocked(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[str, str, int, int]], list[str]]:
+    """Ranges of blocks of xz files that tasks can open themselves, and the paths of the other files."""
+    rows, rest = [], []
+    for path in paths:
+        for name, full, _ in _files(spark, path):
+            local = full.removeprefix("file:")
+            try:
+                if full == local or not path.lower().endswith(".xz"):
+                    raise lzma.LZMAError("not a file of blocks")
+                with open(local, "rb") as f:
+                    rows += [(name, local, a, b) for a, b in xz.ranges(xz.blocks(f))]
+            except lzma.LZMAError:
+                rest.append(path_of(name))
+    return rows, rest
+
+
+def _packed_text(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As ``_text``: xz files of many blocks by ranges of blocks, other packed files whole, as streams."""
+    rows, rest = _blocked(spark, paths)
+    schema = "source_file string, _block bigint, raw_line string"
+
+    def of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, path, first, last in batch.itertuples(index=False):
+                found = iter(xz.lines(path, int(first), int(last)))
+                while part := list(islice(found, 50_000)):
+                    yield pd.DataFrame({"source_file": name, "_block": first, "raw_line": [x.decode("utf-8", "ignore") for x in part]})
+
+    parts = []
+    if rows:
+        table = spark.createDataFrame(rows, "source_file string, path string, first int, last int").repartition(len(rows), "source_file", "first")
+        parts.append(table.mapInPandas(of_blocks, schema))
+    if rest:
+        parts.append(_packed(spark, rest).select("source_file", F.lit(0).cast("bigint").alias("_block"), "raw_line"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("source_file", "_block", F.monotonically_increasing_id().alias("_id"), "raw_line")
+
+
 def _packed(spark: SparkSession, paths: list[str], most: int | None = None) -> DataFrame:
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,11 +130,7 @@ def _packed(spark: SparkSession, paths: list[str], most: int | None = None) -> D
 
 def file_sizes(spark: SparkSession, *paths: str) -> DataFrame:
     """``source_file`` and ``file_size_bytes`` of files, empty ones too; their contents aren't read."""
-    rows = []
-    for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
-        rows += [(x.getPath().toString(), x.getLen()) for x in found or [] if x.isFile()]
+    rows = [(name, size) for path in paths for name, _, size in _files(spark, path)]
     return spark.createDataFrame(rows, "source_file string, file_size_bytes bigint")
 
 
