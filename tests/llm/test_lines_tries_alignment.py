@@ -220,6 +220,14 @@ def test_alignment_against_brute_force(spark, texts):
     assert sorted([tuple(r) for r in token_align.align_documents(df, range_keys=300, shard_keys=100).collect()], key=repr) == want
 
 
+def test_queries_over_whole_tables(spark, texts, tmp_path):
+    e = token_align.encoders("byte_bpe_50k.json", "piece_bpe_32k.model")
+    rows = [(d, t) for d, t in texts if d is not None][-60:]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted([tuple(r) for r in token_align.op12_token_align(spark, str(tmp_path)).collect()], key=repr) == alignment_brute(e, rows)
+    assert sorted([tuple(r) for r in line_dedup.op11_line_dedup(spark, str(tmp_path)).collect()], key=repr) == lines_brute(rows)
+
+
 def test_alignment_of_no_rows_and_no_tokens(spark):
     df = spark.createDataFrame([(1, None), (2, "")], DOCS)
     assert sorted(tuple(r) for r in token_align.align_documents(df).collect()) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]

@@ -234,6 +234,7 @@ def test_empty_tables(spark, tables, tmp_path):
     sf, _, _ = tables
     for t in ("documents", "benchmark", "labels", "pages"):
         spark.read.parquet(f"{sf}/{t}.parquet").filter("false").write.parquet(str(tmp_path / f"{t}.parquet"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
 
