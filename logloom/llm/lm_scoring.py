@@ -5,9 +5,12 @@ on either side: their embeddings go through one tanh layer to a softmax over cla
 a softmax over the words of the class, so probabilities are exact and cheap. A document's
 score is the sum of its words' conditional log-probabilities.
 
-A word outside the network's vocabulary has the probability of number 0 times that of the
-word among all such words: by its count in the rest of the corpus, smoothed by its spelling
-(a chain over bytes) with the weight of words that occur once. So what is gathered grows
+The network has a number for every word: frequent words have one of their own, all others
+share the numbers of GROUPS groups, told by their first and last bytes. So it predicts rare
+words from both sides too, and sees them as contexts. A rare word has the probability of
+its group times that of the word in the group: by its count in the rest of the corpus,
+smoothed by its spelling (a chain over bytes, whose mass in each group is worked out
+exactly) with the weight of the group's words that occur once. So what is gathered grows
 with the corpus: the counts of all its words are a table. The counts of the most frequent
 ones are broadcast, those of the long tail are joined.
 
@@ -30,12 +33,15 @@ from pyspark.sql import types as T
 
 from .common import LOWER, Staging, hash_spans, mix, row_chunks, signed, text_buffers, word_spans
 
-CLASSES, PER_CLASS = 64, 64
-VOCABULARY = CLASSES * PER_CLASS  # number 0 stands for all other words
+CLASSES, PER_CLASS = 80, 64
+VOCABULARY = CLASSES * PER_CLASS
+#: Numbers of groups of rare words, a square of a power of two; the numbers after them are frequent words.
+GROUPS = 1024
+_SIDE = 32  # first bytes and last bytes are told apart by so many remainders
 EMBED, HIDDEN, SIDE = 12, 32, 2
 #: A word in so many is a training target, another one in each round: over all rounds, every word once.
 STRIDE = ROUNDS = 2
-#: Words outside the vocabulary whose counts are broadcast (12 bytes each), at most; the counts of others are joined.
+#: Rare words whose counts are broadcast (12 bytes each), at most; the counts of others are joined.
 TABLE = 1 << 20
 _BATCH, _LARGE_BATCH = 2048, 16384  # batches grow with the words seen
 _PIECE = 4096  # parameters in a row when copies are averaged
@@ -167,8 +173,28 @@ def spelled(table: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.nda
     return sums + table[low[ends - 1], 256]
 
 
+def group_mass(table: np.ndarray) -> np.ndarray:
+    """The log of the probability that the chain of spellings makes a word of each group; all sum to 1.
+
+    ``passes[f, l]``, the inverse of 1 - step, is how often a word that begins with byte f is
+    expected to pass byte l. No pivots are needed, as every row's steps sum to less than 1.
+    """
+    step, begin, end = np.exp(table[:256, :256]), np.exp(table[256, :256]), np.exp(table[:256, 256])
+    left, passes = np.eye(256) - step, np.eye(256)
+    for k in range(256):
+        scale = left[k, k]
+        left[k] /= scale
+        passes[k] /= scale
+        factor = left[:, k].copy()
+        factor[k] = 0
+        left -= factor[:, None] * left[k]
+        passes -= factor[:, None] * passes[k]
+    mass = begin[:, None] * passes * end
+    return np.log(mass.reshape(256 // _SIDE, _SIDE, 256 // _SIDE, _SIDE).sum((0, 2)).ravel())
+
+
 def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs of neighbouring bytes in words outside the vocabulary, which lie in a column."""
+    """Counts of pairs of neighbouring bytes in rare words, which lie in a column."""
     pairs = np.zeros(257 * 257, np.int64)
     for batch in batches:
         data, offsets = text_buffers(batch.column(0))
@@ -195,23 +221,33 @@ def spelling(numbered: DataFrame) -> np.ndarray:
     return spelling_table(pairs.reshape(257, 257))
 
 
+def codes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word: a hash of its bytes, with its group in the place of the lowest ten; words of equal codes count as one."""
+    group = (low[starts] % _SIDE).astype(np.uint64) * np.uint64(_SIDE) + low[ends - 1] % _SIDE
+    return hash_spans(low, starts, ends) & ~np.uint64(GROUPS - 1) | group
+
+
+def groups(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(GROUPS - 1)).astype(np.int32)
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, firsts = word_spans(data, offsets)
-    return hash_spans(LOWER[data], starts, ends), firsts
+    return codes(LOWER[data], starts, ends), firsts
 
 
 class Numbers:
-    """Word hashes to vocabulary numbers."""
+    """Codes of words to numbers: a frequent word's own, or its group's."""
 
-    def __init__(self, hashes: np.ndarray):
-        order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], (order + 1).astype(np.int32)
+    def __init__(self, words: np.ndarray):
+        order = np.argsort(words)
+        self.keys, self.ids = words[order], (order + GROUPS).astype(np.int32)
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(words), np.int32)
+            return groups(words)
         at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, self.ids[at], 0).astype(np.int32)
+        return np.where(self.keys[at] == words, self.ids[at], groups(words)).astype(np.int32)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,49 +274,56 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Words:
-    """What is known of the corpus's words: the vocabulary's ``numbers`` and ``frequency``, counts of frequent other words, and the table of the rest."""
+    """What is known of the corpus's words: ``numbers`` and their ``frequency``, counts of the more frequent rare words, and the table of the rest."""
 
     numbers: Numbers
     frequency: np.ndarray  # by number
-    hashes: np.ndarray  # sorted, of other words that occur ``least`` times or more
+    hashes: np.ndarray  # sorted, of rare words that occur ``least`` times or more
     counts: np.ndarray
     least: int
-    rest: DataFrame  # (h, n) of other words that occur less often
-    once: float  # other words that occur once
+    rest: DataFrame  # (h, n) of rare words that occur less often
+    once: np.ndarray  # by group, words that occur once
 
 
-def vocabulary(docs: DataFrame, text: str = "text", stage: Staging | None = None, most: int = TABLE) -> Words:
-    """Counts of all words of all documents; the most frequent ones (ties by hash) are the vocabulary."""
+def vocabulary(docs: DataFrame, text: str = "text", stage: Staging | None = None, most: int = TABLE, own: int = VOCABULARY - GROUPS) -> Words:
+    """Counts of all words of all documents; the ``own`` most frequent ones (ties by code) have numbers of their own."""
     stage = stage or Staging(docs.sparkSession, "words")
     counts = stage.write(docs.select(text).mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - 1).collect()
-    times = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # a row for each count that occurs
-    frequency = np.zeros(VOCABULARY)
-    frequency[1 : len(top) + 1] = [r["n"] for r in top]
-    frequency[0] = sum(n * k for n, k in times) - frequency.sum()
-    least, held = 1 + (times[0][0] if times else 0), 0
-    for n, k in times:
-        if held + k > most + len(top):
+    top = counts.orderBy(F.desc("n"), "h").limit(own).collect()
+    by_group = counts.groupBy(F.col("h").bitwiseAND(F.lit(GROUPS - 1)).alias("g")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect()  # GROUPS rows
+    frequency, once = np.zeros(VOCABULARY), np.zeros(GROUPS)
+    for r in by_group:
+        frequency[r["g"]], once[r["g"]] = r["n"], r["once"]
+    for k, r in enumerate(top):
+        frequency[GROUPS + k] = r["n"]
+        frequency[r["h"] & (GROUPS - 1)] -= r["n"]
+        once[r["h"] & (GROUPS - 1)] -= r["n"] == 1
+    # levels of counts, eight for each doubling, so that the driver gets a few hundred rows at any size
+    level = F.floor(8 * F.log2(F.col("n").cast("double"))).alias("level")
+    levels = counts.groupBy(level).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.max("n").alias("high")).orderBy(F.desc("level")).collect()
+    least, held = 1 + (levels[0]["high"] if levels else 0), 0
+    for r in levels:
+        held += r["k"]
+        if held > most + len(top):
             break
-        least, held = n, held + k
-    known = counts.filter(F.col("n") >= least).toArrow()  # ``most`` rows and the vocabulary
-    hashes, n = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
+        least = r["low"]
+    known = counts.filter(F.col("n") >= least).toArrow()  # ``most`` rows and those with a number
+    words, n = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
     inside = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    other = ~np.isin(hashes, inside)
-    order = np.argsort(hashes[other])
-    once = dict(times).get(1, 0) - sum(r["n"] == 1 for r in top)
-    return Words(Numbers(inside), frequency, hashes[other][order], n[other][order], least, counts.filter(F.col("n") < least), float(max(1, once)))
+    rare = ~np.isin(words, inside)
+    order = np.argsort(words[rare])
+    return Words(Numbers(inside), frequency, words[rare][order], n[rare][order], least, counts.filter(F.col("n") < least), np.maximum(once, 1))
 
 
 def _number(numbers: Numbers, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's words as 16-bit numbers, and those outside the vocabulary in lower case with a blank after each."""
+    """Each row's words as 16-bit numbers, and the rare ones in lower case with a blank after each."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(2))
         for i, j in row_chunks(offsets):
             low = LOWER[data[offsets[i] : offsets[j]]]
             starts, ends, firsts = word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            ids = numbers(hash_spans(low, starts, ends))
-            at = np.flatnonzero(ids == 0)
+            ids = numbers(codes(low, starts, ends))
+            at = np.flatnonzero(ids < GROUPS)
             size = ends[at] - starts[at] + 1
             stop = np.cumsum(size)
             index = np.repeat(starts[at] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
@@ -293,7 +336,7 @@ def _number(numbers: Numbers, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def number(docs: DataFrame, numbers: Numbers, key: str, text: str, stage: Staging, name: str = "numbered") -> DataFrame:
     """``rid``, ``key``, ``ids`` and ``other`` of every row, written once so that no later pass goes through texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)  # VOCABULARY words
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)  # the frequent words
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("other", T.BinaryType())])
     return stage.write(rows.mapInArrow(lambda batches: _number(shared.value, batches), schema), name, codec="zstd")
@@ -380,22 +423,28 @@ def train(numbered: DataFrame, p: dict[str, np.ndarray], rounds: int = ROUNDS, s
     return p
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, most: int = TABLE) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, most: int = TABLE, own: int = VOCABULARY - GROUPS) -> Model:
     """Count the corpus's words, number its texts, train the network and count spellings.
 
     Null, empty and wordless texts add nothing; rows that repeat a key or a whole row count
     each for itself; an empty table gives the untrained network. Other columns aren't read.
     """
     stage = Staging(docs.sparkSession, "lm")
-    words = vocabulary(docs, text, stage, most)
+    words = vocabulary(docs, text, stage, most, own)
     numbered = number(docs, words.numbers, key, text, stage)
     return Model(words, train(numbered, initial(words.frequency), rounds, stride), spelling(numbered), numbered)
 
 
-def among_others(counts: np.ndarray, own: np.ndarray, spelt: np.ndarray, once: float) -> np.ndarray:
-    """log of (count in the rest of the corpus + weight of spellings * probability of the spelling)."""
+def among_others(counts: np.ndarray, own: np.ndarray, novel: np.ndarray) -> np.ndarray:
+    """log of (count in the rest of the corpus + exp(novel), the weight of the word's spelling in its group)."""
     with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(np.maximum(counts - own, 0).astype(float)), np.log(once) + spelt)
+        return np.logaddexp(np.log(np.maximum(counts - own, 0).astype(float)), novel)
+
+
+def _group_sums(of: np.ndarray, row: np.ndarray, rows: int, total: np.ndarray, own: bool) -> np.ndarray:
+    """For each row the sum over its rare words of log(weight of the word's group in the rest of the corpus)."""
+    both, times = np.unique(row * GROUPS + of, return_counts=True)
+    return np.bincount(both // GROUPS, times * np.log(total[both % GROUPS] - times * own), rows)
 
 
 def score(numbered: DataFrame, model: Model, own: bool = True) -> DataFrame:
@@ -406,12 +455,12 @@ def score(numbered: DataFrame, model: Model, own: bool = True) -> DataFrame:
     other; null, empty and wordless texts have 0.
     """
     spark, w = numbered.sparkSession, model.words
-    shared = spark.sparkContext.broadcast((model.p, model.table, w.hashes, w.counts, w.once, float(w.frequency[0])))  # TABLE words and the weights
+    shared = spark.sparkContext.broadcast((model.p, model.table, w.hashes, w.counts, np.log(w.once) - group_mass(model.table), w.frequency[:GROUPS] + w.once))  # TABLE words and the weights
     kind = numbered.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, table, hashes, counts, once, total = shared.value
-        names = ["rid", "key", "n_words", "ll", "h", "k", "spelt"]
+        p, table, hashes, counts, weight, total = shared.value
+        names = ["rid", "key", "n_words", "ll", "h", "k", "novel"]
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             low, bounds = text_buffers(batch.column(3))
@@ -424,32 +473,32 @@ def score(numbered: DataFrame, model: Model, own: bool = True) -> DataFrame:
                     sums[at + 1] = log_probabilities(p, contexts(ids, firsts, at), ids[at])
                 sums = np.cumsum(sums)
                 ll = sums[firsts[1:]] - sums[firsts[:-1]]
-                # words outside the vocabulary: each distinct one of a row, and how often it is there
+                # rare words: each distinct one of a row, and how often it is there
                 part = low[bounds[i] : bounds[j]]
                 starts, ends, cut = word_spans(part, bounds[i : j + 1] - bounds[i])
-                words, spelt, row = hash_spans(part, starts, ends), spelled(table, part, starts, ends), np.repeat(np.arange(rows), np.diff(cut))
+                words, row = codes(part, starts, ends), np.repeat(np.arange(rows), np.diff(cut))
+                novel = spelled(table, part, starts, ends) + weight[groups(words)]
+                ll -= _group_sums(groups(words), row, rows, total, own)
                 order = np.lexsort((words, row))
-                words, spelt, row = words[order], spelt[order], row[order]
+                words, novel, row = words[order], novel[order], row[order]
                 first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])])) if len(words) else np.zeros(0, np.int64)
                 times = np.diff(np.append(first, len(words)))
-                words, spelt, row = words[first], spelt[first], row[first]
+                words, novel, row = words[first], novel[first], row[first]
                 place = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
                 known = hashes[place] == words if len(hashes) else np.zeros(len(words), bool)
                 mine = times if own else 0 * times
-                here = times[known] * among_others(counts[place[known]], mine[known], spelt[known], once)
+                here = times[known] * among_others(counts[place[known]], mine[known], novel[known])
                 ll += np.bincount(row[known], here, rows)
-                others = np.diff(cut)
-                ll -= others * np.log(total - others * own + once)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(n, pa.int64()), pa.array(ll), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64())], names)
                 if (~known).any():
                     at = pa.array(row[~known] + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.nulls(len(at), batch.column(1).type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()), pa.array(signed(words[~known])), pa.array(times[~known], pa.int64()), pa.array(spelt[~known])], names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.nulls(len(at), batch.column(1).type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()), pa.array(signed(words[~known])), pa.array(times[~known], pa.int64()), pa.array(novel[~known])], names)
 
-    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("key", kind), *T.StructType.fromDDL("n_words bigint, ll double, h bigint, k bigint, spelt double").fields])
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("key", kind), *T.StructType.fromDDL("n_words bigint, ll double, h bigint, k bigint, novel double").fields])
     out = Staging(spark, "lm").write(numbered.mapInArrow(run, schema), "scores")
-    tail = out.filter("h is not null").select("rid", "h", "k", "spelt").join(w.rest, "h", "left")
+    tail = out.filter("h is not null").select("rid", "h", "k", "novel").join(w.rest, "h", "left")
     rest = F.coalesce("n", F.lit(0)) - (F.col("k") if own else F.lit(0))
-    novel = F.lit(float(np.log(w.once))) + F.col("spelt")
+    novel = F.col("novel")
     each = F.when(rest > 0, F.log(rest.cast("double")) + F.log1p(F.exp(novel - F.log(rest.cast("double"))))).otherwise(novel)
     more = tail.groupBy("rid").agg(F.sum(F.col("k") * each).alias("more"))
     ll = F.col("ll") + F.coalesce("more", F.lit(0.0))

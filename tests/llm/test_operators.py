@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with nulls, ties, copies and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -495,40 +496,45 @@ def test_best_fit():
 
 
 @pytest.mark.parametrize("most", [1 << 20, 60, 0])
-def test_word_counts(docs, texts, most, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", 64)  # the driver's
+def test_word_counts(docs, texts, most):
     total = Counter(w for t in texts for w in words_of(t))
-    words = lm_scoring.vocabulary(docs, most=most)
+    words = lm_scoring.vocabulary(docs, most=most, own=63)
     assert words.frequency.sum() == sum(total.values()) and len(words.hashes) <= most
     assert len(words.hashes) + words.rest.join(docs.sparkSession.createDataFrame([(int(h),) for h in words.numbers.keys.view(np.int64)], "h bigint"), "h", "left_anti").count() == len(total) - 63
 
 
 def test_pseudo_likelihood_by_hand(spark, docs, texts):
-    model = lm_scoring.fit(docs, most=100)
+    model = lm_scoring.fit(docs, most=100, own=150)
     out = {r["key"]: r for r in lm_scoring.score(model.numbered, model).collect()}
     assert out[79]["n_words"] == 0 and out[79]["log_likelihood"] == out[79]["mean_log_likelihood"] == 0.0 and len(out) == len(texts)
     w, p, table = model.words, model.p, model.table
     total = Counter(x for t in texts for x in words_of(t))
-    code = lambda x: int(hash_spans(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0])
-    numbers = {x: int(w.numbers(np.array([code(x)], np.uint64))[0]) for x in total}
-    unknown = {x: n for x, n in total.items() if not numbers[x]}
-    once, mass = max(1, sum(n == 1 for n in unknown.values())), sum(unknown.values())
-    assert (w.once, w.frequency[0]) == (once, mass)
+    code = lambda x: lm_scoring.codes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))
+    numbers = {x: int(w.numbers(code(x))[0]) for x in total}
+    group = lambda x: 32 * (x.encode()[0] % 32) + x.encode()[-1] % 32
+    rare = {x: n for x, n in total.items() if numbers[x] < lm_scoring.GROUPS}
+    assert len(total) - len(rare) == 150 and all(numbers[x] == group(x) for x in rare)
+    assert min(n for x, n in total.items() if x not in rare) >= max(rare.values())
+    once, mass = Counter(group(x) for x, n in rare.items() if n == 1), Counter()
+    for x, n in rare.items():
+        mass[group(x)] += n
+    assert [(w.once[g], w.frequency[g]) for g in range(lm_scoring.GROUPS)] == [(max(1, once[g]), mass[g]) for g in range(lm_scoring.GROUPS)]
+    spelt_mass = lm_scoring.group_mass(table)
     for i in (0, 45, 80, 81, 85, 88):
         said = words_of(texts[i])
         ids = [numbers[x] for x in said]
-        mine, k, ll = Counter(x for x in said if not numbers[x]), 0, 0.0
-        k = sum(mine.values())
+        mine, ll = Counter(x for x in said if x in rare), 0.0
+        k = Counter(group(x) for x in said if x in rare)
         for at, x in enumerate(said):
             around = [ids[at + d] if 0 <= at + d < len(ids) else lm_scoring.VOCABULARY for d in (-2, -1, 1, 2)]
             h = np.tanh(np.concatenate([p["e"][c] for c in around]).astype(float) @ p["w"] + p["b"])
             c, m = divmod(ids[at], lm_scoring.PER_CLASS)
             a, b = h @ p["c"] + p["d"], h @ p["u"][c] + p["v"][c]
             ll += a[c] - np.log(np.exp(a).sum()) + b[m] - np.log(np.exp(b).sum())
-            if not ids[at]:
-                chain = [256, *x.encode(), 256]
-                spelt = np.exp(sum(table[f, g] for f, g in zip(chain, chain[1:])))
-                ll += np.log((total[x] - mine[x] + once * spelt) / (mass - k + once)) if total[x] - mine[x] + spelt > 0 else np.log(once) + sum(table[f, g] for f, g in zip(chain, chain[1:])) - np.log(mass - k + once)
+            if x in rare:
+                chain, g = [256, *x.encode(), 256], group(x)
+                novel = np.log(max(1, once[g])) + sum(table[e, f] for e, f in zip(chain, chain[1:])) - spelt_mass[g]
+                ll += np.logaddexp(np.log(total[x] - mine[x]) if total[x] > mine[x] else -np.inf, novel) - np.log(mass[g] - k[g] + max(1, once[g]))
         assert abs(out[i]["log_likelihood"] - ll) < 1e-3 * abs(ll) + 1e-3 and out[i]["n_words"] == len(said)
     fresh = lm_scoring.score_texts(docs.limit(3), model).collect()
     assert all(r["log_likelihood"] >= out[r["doc_id"]]["log_likelihood"] - 1e-6 for r in fresh)
@@ -536,6 +542,53 @@ def test_pseudo_likelihood_by_hand(spark, docs, texts):
     assert lm_scoring.score(none.numbered, none).count() == 0
 
 
+def test_mass_of_spellings():
+    """The chain's mass in a group is that of its words, all spelled out."""
+    pairs = np.zeros((257, 257))
+    for x, n in (("ab", 900), ("a", 700), ("ba", 500), ("abb", 300)):
+        chain = [256, *x.encode(), 256]
+        for f, g in zip(chain, chain[1:]):
+            pairs[f, g] += 1e9 * n  # so much that smoothing adds next to nothing
+    table = lm_scoring.spelling_table(pairs)
+    mass = np.exp(lm_scoring.group_mass(table))
+    assert abs(mass.sum() - 1) < 1e-9
+    words = ["".join(x) for n in range(1, 15) for x in itertools.product("ab", repeat=n)]
+    for first, last in itertools.product("ab", repeat=2):
+        own = 0.0
+        for x in words:
+            if x[0] == first and x[-1] == last:
+                chain = [256, *x.encode(), 256]
+                own += np.exp(sum(table[f, g] for f, g in zip(chain, chain[1:])))
+        assert abs(mass[32 * (ord(first) % 32) + ord(last) % 32] - own) < 2e-3
+
+
+def test_rare_words_depend_on_both_sides(spark):
+    """Words of which each occurs once: those like others at such a place are likelier there than where words of another kind stand."""
+    rng = random.Random(8)
+    kind = {"the": "a", "we": "b"}
+    novel = lambda first: first + "".join(rng.choice("mnopqr") for _ in range(9)) + first
+    lines = [" ".join(f"{x} {novel(kind[x])} {'of' if x == 'the' else 'it'}" for x in (rng.choice(["the", "we"]) for _ in range(60))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model = lm_scoring.fit(docs.coalesce(1), rounds=12, stride=1, own=8)  # small tables make few steps in a round
+    new = [(novel("a"), novel("b")) for _ in range(40)]
+    right = [(i, f"the {a} of we {b} it") for i, (a, b) in enumerate(new)]
+    swapped = [(100 + i, f"the {b} of we {a} it") for i, (a, b) in enumerate(new)]
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_scoring.score_texts(spark.createDataFrame(right + swapped, "doc_id long, text string"), model).collect()}
+    assert all(got[i] > got[100 + i] + 0.5 for i in range(40))
+
+
+def test_shuffled_text_is_less_likely(spark):
+    """Sentences of one grammar with many names that occur a few times: shuffled words score below, name for name."""
+    rng = random.Random(9)
+    names = ["".join(rng.choice("klmnt") + rng.choice("aeiou") for _ in range(4)) for _ in range(500)]
+    say = lambda: " ".join(f"old {rng.choice(names)} went to see {rng.choice(names)} by the river" for _ in range(8))
+    model = lm_scoring.fit(spark.createDataFrame([(i, say()) for i in range(200)], "doc_id long, text string").coalesce(1), rounds=12, stride=1, own=20)
+    fresh = [say().split() for _ in range(20)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(fresh)] + [(100 + i, " ".join(rng.sample(x, len(x)))) for i, x in enumerate(fresh)]
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[i] > got[100 + i] for i in range(20))
+
+
 def test_gradients():
     """The trainer's steps are those of the gradient of the summed negative log-likelihood, by finite differences."""
     rng = np.random.default_rng(6)
