@@ -73,12 +73,17 @@ def contexts(ids: np.ndarray, firsts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _log_share(x: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of each row's softmax at one place; uses up x."""
+    x += bias
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(1))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    x += bias
     x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
     x /= x.sum(1, keepdims=True)
@@ -97,10 +102,9 @@ def log_probabilities(p: dict[str, np.ndarray], around: np.ndarray, target: np.n
     order, runs = _by_class(target)
     cls, within = target[order] // PER_CLASS, target[order] % PER_CLASS
     h = np.tanh(p["e"].take(around.take(order, axis=0), axis=0).reshape(len(around), -1) @ p["w"] + p["b"])
-    some = _log_softmax(h @ p["c"] + p["d"])[np.arange(len(h)), cls]
+    some = _log_share(h @ p["c"], p["d"], cls)
     for k, rows in runs:
-        x = h[rows] @ p["u"][k] + p["v"][k]
-        some[rows] += _log_softmax(x)[np.arange(len(x)), within[rows]]
+        some[rows] += _log_share(h[rows] @ p["u"][k], p["v"][k], within[rows])
     out = np.empty_like(some)
     out[order] = some
     return out
@@ -124,12 +128,12 @@ class Trainer:
         x = p["e"].take(around, axis=0).reshape(n, -1)
         h = np.tanh(x @ p["w"] + p["b"])
         cls, within = target // PER_CLASS, target % PER_CLASS
-        dc = _softmax(h @ p["c"] + p["d"])
+        dc = _softmax(h @ p["c"], p["d"])
         dc[np.arange(n), cls] -= 1
         dh = dc @ p["c"].T
         scale = np.float32(1 / np.sqrt(n))
         for k, rows in runs:
-            d = _softmax(h[rows] @ p["u"][k] + p["v"][k])
+            d = _softmax(h[rows] @ p["u"][k], p["v"][k])
             d[np.arange(len(d)), within[rows]] -= 1
             dh[rows] += d @ p["u"][k].T
             self._step("u", k, h[rows].T @ d * scale)
