@@ -3,12 +3,13 @@
 The index is a table: for every block of training documents and every term in it the places
 where the term stands, as differences; and for every block its documents. It is written
 once, and any number of benchmarks is looked up in it without reading a text again. Blocks
-spread each term, so a frequent one is no task's burden.
+spread each term, so a frequent one is no task's burden. An index that is written to a path
+of the caller's stays there, and any later application opens it.
 
 A benchmark window starts from the places of the term that is rarest over all training
 tokens, shifted by the term's offset, and is intersected with the places of its other terms,
 rarer ones first. Only lists of terms that a benchmark has are fetched, and none for windows
-whose rarest term never occurs.
+whose rarest term never occurs; a block looks at the windows of its own rarest terms alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,15 +69,28 @@ class PositionalIndex:
     """The postings of all tokens of ``docs``, written to a table.
 
     ``key`` may be of any type, null or repeated: every row is a document of its own. A
-    null text has no words. Other columns aren't looked at.
+    null text has no words. Other columns aren't looked at. With ``path``, which must not
+    exist, the table is written there and stays; otherwise it goes with the application.
     """
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text"):
-        self.key, self.stage = key, Staging(docs.sparkSession, "postings")
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None):
+        self.key = key
         rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
         own = T.ArrayType(keyed_schema(rows, "key", "n_words bigint"))
         schema = T.StructType([*T.StructType.fromDDL("block bigint, term bigint, n int, places binary").fields, T.StructField("docs", own)])
-        self.table = self.stage.write(rows.mapInArrow(_postings, schema), "index", codec="zstd")
+        postings = rows.mapInArrow(_postings, schema)
+        if path is None:
+            self.table = Staging(docs.sparkSession, "postings").write(postings, "index", codec="zstd")
+        else:
+            postings.write.option("compression", "zstd").parquet(path)
+            self.table = docs.sparkSession.read.schema(schema).parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, key: str = "doc_id") -> PositionalIndex:
+        """The index that was written to ``path``; searches name the documents' ids ``key``."""
+        index = cls.__new__(cls)
+        index.key, index.table = key, spark.read.parquet(path)
+        return index
 
     def search(self, benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = 10, slop: int = 0, block: int = BLOCK_WINDOWS) -> DataFrame:
         """For every document: ``n_words``, ``spans`` (runs of hit words) and ``items`` (ids of items that occur, sorted as text).
@@ -175,8 +189,13 @@ class Windows:
         number = np.full(len(self.vocabulary) + 1, -1, np.int32)
         number[used] = np.arange(len(used))
         self.vocabulary = self.vocabulary[used]
+        order = np.argsort(sizes[live], axis=1, kind="stable")
+        # windows stand together by their rarest terms, so that a block looks its own up
+        lead = number[self.terms[live, order[:, 0]]]
+        by = np.argsort(lead, kind="stable")
+        live, self.order = live[by], order[by]
+        self.first = np.searchsorted(lead[by], np.arange(len(used) + 1))
         self.terms, self.lengths, self.items = number[self.terms[live]], self.lengths[live], [self.items[k] for k in live.tolist()]
-        self.order = np.argsort(sizes[live], axis=1, kind="stable")
 
     def occurrences(self, numbers: np.ndarray, sizes: np.ndarray, places: np.ndarray, owner: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, first word) of every occurrence, some windows at a time, from the lists of a block."""
@@ -187,8 +206,10 @@ class Windows:
         lists[numbers], begin[numbers] = sizes, np.cumsum(sizes) - sizes
         term = np.full(n, -1, np.int32)  # which list each place is on
         term[places] = np.repeat(numbers, sizes)
-        has = (lists[np.maximum(self.terms, 0)] > 0) | (self.terms < 0)
-        live = np.flatnonzero(has.all(1))
+        most = self.first[numbers + 1] - self.first[numbers]
+        live = np.repeat(self.first[numbers] - (np.cumsum(most) - most), most) + np.arange(most.sum())
+        own = self.terms[live]
+        live = live[((lists[np.maximum(own, 0)] > 0) | (own < 0)).all(1)]
         offset = self.order[live, 0]
         lead = self.terms[live, offset]
         shifts = np.arange(-slop, slop + 1)

@@ -260,6 +260,38 @@ def test_decontamination(spark, docs, texts):
     assert [decontam.contamination(text, near, slop=k).first()["items"] for k in (0, 1)] == [[], ["0"]]
 
 
+def test_an_index_is_opened_by_its_path(spark, docs, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(decontam, "INDEX_BLOCK", 2000)  # many blocks
+    rng, path = random.Random(5), str(tmp_path / "index")
+    decontam.PositionalIndex(docs, path=path)
+    ask = [(k, " ".join(t.split()[3:17])) for k, t in enumerate(texts) if t and len(t.split()) > 30]
+    ask += [(1000 + k, " ".join(rng.sample((texts[k] or "").split(), 12))) for k in range(20)]  # words of texts, in no text
+    benchmark = spark.createDataFrame(ask, "item_id bigint, text string")
+    opened = decontam.PositionalIndex.open(spark.newSession(), path, "id")
+    again = opened.table.sparkSession.createDataFrame(ask, "item_id bigint, text string")
+    want = {r["doc_id"]: tuple(r)[1:] for r in decontam.contamination(docs, benchmark).collect()}
+    got = {r["id"]: tuple(r)[1:] for r in opened.search(again).collect()}
+    assert got == want and len(got) == len(texts)
+    found = {i for _, _, items in got.values() for i in items}
+    assert {str(k) for k, _ in ask if k < 1000} == found
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        decontam.PositionalIndex(docs, path=path)
+    empty = str(tmp_path / "empty")
+    decontam.PositionalIndex(docs.filter("false"), path=empty)
+    assert decontam.PositionalIndex.open(spark, empty).search(benchmark).count() == 0
+
+
+def test_shards_are_written_whole(spark, docs, awkward, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = docs.unionByName(awkward)
+    sharding.write_shards(rows, path, 4)
+    got = spark.read.parquet(path)
+    assert sorted(map(str, (tuple(r["row"]) for r in got.collect()))) == sorted(map(str, map(tuple, rows.collect())))
+    slots = [sorted(r["slot"] for r in got.filter(F.col("shard") == k).collect()) for k in range(4)]
+    assert all(x == list(range(len(x))) for x in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+    assert len(list((tmp_path / "shards").glob("shard=*"))) == 4
+
+
 def test_sharding(docs, texts):
     out = sharding.shard(docs, 7, bucket_bytes=4000).collect()
     assert sorted(r["row"]["doc_id"] for r in out) == list(range(len(texts)))
