@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Staging, hash_spans, mix, row_chunks, row_keys, shingles, signed, text_buffers, whole_row, with_row_key, word_spans
+from .common import LOWER, Staging, hash_spans, mix, row_chunks, row_keys, settings, shingles, signed, text_buffers, whole_row, with_row_key, word_spans
 
 WORDS = 5
 #: Cells of the table of class counts (a byte each), and documents of one stretch of a task's text that make a token count.
@@ -41,6 +41,8 @@ _SHIFT = np.uint64(64 - 22)
 #: Text bytes of a stretch, and of one in which copies are told.
 _COUNT_BYTES, _LOCAL_BYTES = 16 << 20, 32 << 20
 _COUNT_ROWS = 1 << 16  # cells in a row of partial counts
+#: Bytes of an Arrow batch, which the JVM and the Python worker of each task both hold.
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: Times the mean count beyond which a class is frequent.
 _FREQUENT = 4
 #: Bits of the small bitmaps that joins look at, and sizes from which they can't tell sets apart.
@@ -112,8 +114,9 @@ def class_counts(docs: DataFrame, text: str) -> np.ndarray:
     """For each class of tokens 0 if it is rare, else a level that grows with how often stretches met its tokens in OFTEN documents or more; covers all documents."""
     parts = docs.select(text).mapInArrow(_class_counts, "k int, x binary").groupBy("k").applyInArrow(_sum_counts, "k int, x binary")
     out = np.zeros(CELLS, np.uint8)
-    for r in parts.toLocalIterator():  # a byte for each of CELLS
-        out[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), np.uint8)
+    with settings(docs.sparkSession, _BATCH):
+        for r in parts.toLocalIterator():  # a byte for each of CELLS
+            out[r["k"] : r["k"] + _COUNT_ROWS] = np.frombuffer(bytes(r["x"]), np.uint8)
     return frequent(out)
 
 
@@ -265,6 +268,11 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
 def _similarity_components(docs: DataFrame) -> DataFrame:
     """Of documents with ``_rid``, ``_key`` and ``_text``."""
+    with settings(docs.sparkSession, _BATCH):  # all tables are written before it ends
+        return _joined(docs)
+
+
+def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     stage = Staging(spark, "jaccard")
     shared = spark.sparkContext.broadcast(class_counts(docs, "_text"))  # CELLS numbers
