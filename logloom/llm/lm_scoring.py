@@ -44,6 +44,8 @@ STRIDE = ROUNDS = 2
 #: Rare words whose counts are broadcast (12 bytes each), at most; the counts of others are joined.
 TABLE = 1 << 20
 _BATCH, _LARGE_BATCH = 2048, 16384  # batches grow with the words seen
+_ROWS = 2048  # rows of a batch that are worked on at once, so that they stay in a core's cache
+_FAR = 60  # exp of numbers nearer to 0 is safe in float32
 _PIECE = 4096  # parameters in a row when copies are averaged
 _HELD = np.array([LOWER[b] == b and b not in b" \t\n\x0b\x0c\r" for b in range(256)])  # bytes of words
 _SHAPES = {"e": (VOCABULARY + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "d": (CLASSES,), "u": (CLASSES, HIDDEN, PER_CLASS), "v": (CLASSES, PER_CLASS)}
@@ -73,40 +75,80 @@ def contexts(ids: np.ndarray, firsts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_share(x: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _tame(x: np.ndarray) -> np.ndarray:
+    """x, with rows moved by their maxima where exp could leave float32; no softmax changes by it."""
+    if x.size and max(x.max(), -x.min()) > _FAR:
+        x -= x.max(1, keepdims=True)
+    return x
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)  # BLAS takes a third of the time of sum(1)
+
+
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log of each row's softmax at one place; uses up x."""
-    x += bias
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(1))
-
-
-def _softmax(x: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    x += bias
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    own = _tame(x)[np.arange(len(x)), at]
+    return own - np.log(_row_sums(np.exp(x, out=x)))
+
+
+def _gradient(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row's softmax less 1 at one place, in x."""
+    np.exp(_tame(x), out=x)
+    x /= _row_sums(x)[:, None]
+    x[np.arange(len(x)), at] -= 1
     return x
 
 
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """An order of the rows by class, and the classes' runs in it."""
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, list[tuple[int, slice]]]]]:
+    """An order of the rows by class, and blocks of it that fit a core's cache, each with the classes' runs in it."""
     cls = (target // PER_CLASS).astype(np.uint8)  # small numbers are sorted by radix
     order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    return order, [(int(k), slice(bounds[k], bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds))]
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    blocks, k = [], 0
+    for i in range(0, len(cls), _ROWS):
+        j, runs = min(i + _ROWS, len(cls)), []
+        while bounds[k + 1] <= i:
+            k += 1
+        for c in range(k, CLASSES):
+            if bounds[c] >= j:
+                break
+            if bounds[c] < bounds[c + 1]:
+                runs.append((c, slice(max(bounds[c], i) - i, min(bounds[c + 1], j) - i)))
+        blocks.append((slice(i, j), runs))
+    return order, blocks
+
+
+def _with_biases(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of words in classes, each with its biases as the last row."""
+    return np.concatenate([p["c"], p["d"][None]]), np.concatenate([p["u"], p["v"][:, None]], 1)
+
+
+def _hidden(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The hidden layer, and a last column of ones for the biases."""
+    h = x @ p["w"]
+    h += p["b"]
+    out = np.ones((len(h), HIDDEN + 1), h.dtype)
+    out[:, :-1] = np.tanh(h, out=h)
+    return out
 
 
-def log_probabilities(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    order, runs = _by_class(target)
-    cls, within = target[order] // PER_CLASS, target[order] % PER_CLASS
-    h = np.tanh(p["e"].take(around.take(order, axis=0), axis=0).reshape(len(around), -1) @ p["w"] + p["b"])
-    some = _log_share(h @ p["c"], p["d"], cls)
+def _inside(h: np.ndarray, words: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
+    """The logits of the words of each row's class; one array, so that all classes' softmaxes are taken at once."""
+    out = np.empty((len(h), PER_CLASS), h.dtype)
     for k, rows in runs:
-        some[rows] += _log_share(h[rows] @ p["u"][k], p["v"][k], within[rows])
-    out = np.empty_like(some)
-    out[order] = some
+        np.matmul(h[rows], words[k], out=out[rows])
+    return out
+
+
+def log_probabilities(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    order, blocks = _by_class(target)
+    around, target = around.take(order, axis=0), target[order]
+    classes, words = _with_biases(p)
+    out = np.empty(len(target), classes.dtype)
+    for at, runs in blocks:
+        h = _hidden(p, p["e"].take(around[at], axis=0).reshape(-1, 2 * SIDE * EMBED))
+        out[order[at]] = _log_share(h @ classes, target[at] // PER_CLASS) + _log_share(_inside(h, words, runs), target[at] % PER_CLASS)
     return out
 
 
@@ -114,40 +156,41 @@ class Trainer:
     """Adagrad on mini-batches."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float = 0.08):
-        self.p, self.rate, self.seen = {k: v.copy() for k, v in p.items()}, rate, 0
-        self.g = {k: np.full_like(v, 0.1) for k, v in p.items()}
-
-    def _step(self, k: str, at, grad: np.ndarray) -> None:
-        self.g[k][at] += grad * grad
-        self.p[k][at] -= self.rate * grad / np.sqrt(self.g[k][at])
+        self.rate, self.seen = rate, 0
+        classes, words = _with_biases(p)
+        self.arrays = {"e": p["e"].copy(), "w": p["w"].copy(), "b": p["b"].copy(), "classes": classes, "words": words}
+        self.g = {k: np.full_like(v, 0.1) for k, v in self.arrays.items()}
+        # views of the arrays
+        self.p = {k: self.arrays[k] for k in "ewb"} | {"c": classes[:-1], "d": classes[-1], "u": words[:, :-1], "v": words[:, -1]}
 
     def train(self, around: np.ndarray, target: np.ndarray) -> None:
-        order, runs = _by_class(target)
+        order, blocks = _by_class(target)
         around, target = around.take(order, axis=0), target[order]
-        p, n = self.p, len(target)
-        x = p["e"].take(around, axis=0).reshape(n, -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        cls, within = target // PER_CLASS, target % PER_CLASS
-        dc = _softmax(h @ p["c"], p["d"])
-        dc[np.arange(n), cls] -= 1
-        dh = dc @ p["c"].T
+        p, n, words = self.p, len(target), self.arrays["words"]
+        grad = {k: np.zeros_like(v) for k, v in self.arrays.items()}
+        grad["e"] = np.zeros_like(p["e"], order="F")  # a column stays in the nearest cache while it is added to
+        for at, runs in blocks:
+            x = p["e"].take(around[at], axis=0).reshape(-1, 2 * SIDE * EMBED)
+            h = _hidden(p, x)
+            dc = _gradient(h @ self.arrays["classes"], target[at] // PER_CLASS)
+            grad["classes"] += h.T @ dc
+            dw, dh = _gradient(_inside(h, words, runs), target[at] % PER_CLASS), np.empty((len(h), HIDDEN), h.dtype)
+            for k, rows in runs:
+                grad["words"][k] += h[rows].T @ dw[rows]
+                np.matmul(dw[rows], p["u"][k].T, out=dh[rows])
+            dh += dc @ p["c"].T
+            h = h[:, :-1]
+            dh *= 1 - h * h
+            grad["w"] += x.T @ dh
+            grad["b"] += np.ones(len(dh), dh.dtype) @ dh
+            near, dx = around[at].T.ravel().astype(np.intp), (p["w"] @ dh.T).reshape(2 * SIDE, EMBED, -1)
+            for k in range(EMBED):
+                np.add.at(grad["e"][:, k], near, dx[:, k].ravel())
         scale = np.float32(1 / np.sqrt(n))
-        for k, rows in runs:
-            d = _softmax(h[rows] @ p["u"][k], p["v"][k])
-            d[np.arange(len(d)), within[rows]] -= 1
-            dh[rows] += d @ p["u"][k].T
-            self._step("u", k, h[rows].T @ d * scale)
-            self._step("v", k, d.sum(0) * scale)
-        self._step("c", slice(None), h.T @ dc * scale)
-        self._step("d", slice(None), dc.sum(0) * scale)
-        da = dh * (1 - h * h)
-        dx = (da @ p["w"].T).reshape(-1, EMBED)
-        self._step("w", slice(None), x.T @ da * scale)
-        self._step("b", slice(None), da.sum(0) * scale)
-        flat = around.ravel().astype(np.uint16)
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        self._step("e", ids, np.add.reduceat(dx.take(order, axis=0), first, axis=0) * scale)
+        for k, v in grad.items():
+            v *= scale
+            self.g[k] += v * v
+            self.arrays[k] -= self.rate * v / np.sqrt(self.g[k])
         self.seen += n
 
 

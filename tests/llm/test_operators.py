@@ -2,9 +2,13 @@
 
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -641,6 +645,70 @@ def test_gradients():
             assert abs((loss(near) - loss(far)) / 2e-5 - grad[at]) < 1e-3 * max(1, abs(grad[at]))
 
 
+@pytest.mark.parametrize("far", [10, 4000])
+def test_batches_of_several_blocks(far):
+    """A step and the log-probabilities over several blocks, with logits that leave float32's range too, are those worked out plainly in float64."""
+    rng = np.random.default_rng(16)
+    p = lm_scoring.initial(rng.integers(1, 50, lm_scoring.VOCABULARY).astype(float))
+    for k, times in (("e", 70), ("w", 10), ("c", far), ("u", far)):
+        p[k] *= times
+    n = 5000
+    target = np.minimum(rng.geometric(0.002, n) - 1, lm_scoring.VOCABULARY - 1).astype(np.int32)
+    around = rng.integers(0, lm_scoring.VOCABULARY + 1, (n, 4)).astype(np.int32)
+    trainer = lm_scoring.Trainer(p)
+    trainer.train(around, target)
+
+    q, cls, within, rows = {k: v.astype(float) for k, v in p.items()}, target // lm_scoring.PER_CLASS, target % lm_scoring.PER_CLASS, np.arange(n)
+    x = q["e"][around].reshape(n, -1)
+    h = np.tanh(x @ q["w"] + q["b"])
+    a, b = h @ q["c"] + q["d"], np.einsum("ni,nij->nj", h, q["u"][cls]) + q["v"][cls]
+    assert far == 10 or max(np.abs(a).max(), np.abs(b).max()) > 100  # exp leaves float32
+    a, b = a - a.max(1, keepdims=True), b - b.max(1, keepdims=True)
+    plain = a[rows, cls] - np.log(np.exp(a).sum(1)) + b[rows, within] - np.log(np.exp(b).sum(1))
+    assert np.allclose(lm_scoring.log_probabilities(p, around, target), plain, rtol=1e-3, atol=1e-3)
+
+    a, b = (np.exp(z) / np.exp(z).sum(1, keepdims=True) for z in (a, b))
+    a[rows, cls] -= 1
+    b[rows, within] -= 1
+    da = (a @ q["c"].T + np.einsum("nj,nij->ni", b, q["u"][cls])) * (1 - h * h)
+    grad = {k: np.zeros_like(v) for k, v in q.items()} | {"c": h.T @ a, "d": a.sum(0), "w": x.T @ da, "b": da.sum(0)}
+    np.add.at(grad["u"], cls, h[:, :, None] * b[:, None])
+    np.add.at(grad["v"], cls, b)
+    np.add.at(grad["e"], around, (da @ q["w"].T).reshape(n, 4, -1))
+    for k in q:
+        g = grad[k] / np.sqrt(n)
+        assert np.allclose(trainer.p[k], q[k] - trainer.rate * g / np.sqrt(0.1 + g * g), rtol=1e-3, atol=1e-3), k
+
+
+def test_cost_of_a_word():
+    """Training on a word and scoring it take few times the CPU of the bare products of their matrices."""
+    code = """
+import time
+import numpy as np
+from logloom.llm import lm_scoring as lm
+
+rng, n = np.random.default_rng(1), 16384
+often = 1e6 / np.arange(1, lm.VOCABULARY + 1)
+p = lm.initial(often)
+pick = lambda *shape: np.minimum(np.searchsorted(np.cumsum(often / often.sum()), rng.random(shape)), lm.VOCABULARY - 1).astype(np.int32)
+trainer, (x, h) = lm.Trainer(p), (rng.random((n, k), np.float32) for k in (2 * lm.SIDE * lm.EMBED, lm.HIDDEN))
+batches = [(pick(n, 2 * lm.SIDE), pick(n)) for _ in range(8)]
+
+def least(work):
+    took = []
+    for batch in batches:
+        began = time.process_time()
+        work(*batch)
+        took.append(time.process_time() - began)
+    return min(took)
+
+bare = least(lambda around, target: (x @ p["w"], h @ p["c"], h @ p["u"][0]))
+print((least(trainer.train) + least(lambda around, target: lm.log_probabilities(p, around, target))) / bare)
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, cwd=Path(lm_scoring.__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert float(ran.stdout) < 6
+
+
 def test_copies_are_likelier(spark):
     """A text that occurs twice is likelier than such texts that occur once: what is gathered takes in the whole corpus."""
     rng = random.Random(10)
