@@ -165,6 +165,27 @@ def test_ngram_join(docs, texts, often, monkeypatch):
     assert got == jaccard_components(enumerate(texts))
 
 
+def test_copies_add_no_keys_and_sets(spark, monkeypatch):
+    """Copies in all tasks, the least key last: bitmaps, classes and sets are of one document of each set, and no link is lost."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    different = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(5)]
+    different += [f"{different[0]} end", f"other {different[1]}"]
+    rows = list(enumerate([x for t in different for x in (t, t.upper())] * 6))
+    counts, write = {}, common.Staging.write
+
+    def counted(self, df, name, **k):
+        out = write(self, df, name, **k)
+        counts[name] = out.select("rid").distinct().count() if name in ("bits", "groups", "sets") else 0
+        return out
+
+    monkeypatch.setattr(common.Staging, "write", counted)
+    df = spark.createDataFrame(rows[::-1], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_components(df).collect()}
+    assert got == jaccard_components(rows)
+    assert (counts["bits"], counts["groups"], counts["sets"]) == (7, 4, 4)
+
+
 @pytest.mark.parametrize("shape", ["shuffled chain", "chain in order", "star", "two rings"])
 def test_components_need_few_rounds(spark, shape, monkeypatch):
     n = 10_000 if shape == "shuffled chain" else 2000
