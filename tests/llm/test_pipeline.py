@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logloom.llm import toxicity
+from logloom.llm import common, toxicity
 
 SCHEMA = "doc_id bigint, text string, n_chars bigint, row string, key string, score double, spans string"
 
@@ -68,3 +68,24 @@ def test_stages(spark, tmp_path):
     got = whole(corpus_pipeline.run(spark, sf))
     assert got == whole(stages["packing"](spark, data, sf)) and all(n == m for _, n, m in got)
     assert {i for i, _, _ in got} == {r["doc_id"] for r in data.collect()}
+
+
+def test_near_duplicates_hold_copies_once(spark, monkeypatch):
+    """Copies under keys of their own and rows repeated whole, in all tasks, have one set and one bitmap."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 300)) for _ in range(n))
+    texts = [say(60) for _ in range(6)]
+    texts.append(texts[0] + " end")
+    counts, write = {}, common.Staging.write
+
+    def counted(self, df, name, **k):
+        out = write(self, df, name, **k)
+        counts[name] = out.count() if name in ("bits", "sets") else 0
+        return out
+
+    monkeypatch.setattr(common.Staging, "write", counted)
+    for shift in (7, 0):
+        rows = [(shift * k + i, t, len(t), "r", "k", 0.5, "s") for k in range(8) for i, t in enumerate(texts)]
+        out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "")
+        assert sorted(tuple(r) for r in out.collect()) == rows[:6]
+        assert (counts["bits"], counts["sets"]) == (7, 2)
